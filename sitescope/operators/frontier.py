@@ -83,10 +83,11 @@ def link_frontier(
     home = F.struct(
         F.lit(0).alias("pos"), F.col("home_url").alias("url"), F.lit("home").alias("page_type")
     )
-    firsts = [
-        F.get(F.filter("typed", lambda t, want=kind: t["page_type"] == want), F.lit(0))
-        for kind in TARGET_TYPES
-    ]
+
+    def first_of(kind: str) -> Column:
+        return F.get(F.filter("typed", lambda t: t["page_type"] == kind), F.lit(0))
+
+    firsts = [first_of(kind) for kind in TARGET_TYPES]
     candidates = found.select(
         "host", F.inline(F.array_compact(F.array(home, *firsts)))
     )

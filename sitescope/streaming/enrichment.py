@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sitescope.operators.detect import detect_marketing, detect_technologies
 from sitescope.operators.maintenance import KeyedTable
@@ -92,7 +93,8 @@ def start_enrichment(
         records = page_records(batch)
         store.write_pages(batch_id, records)
         spark = store.spark
-        schema = records.schema.add("_bucket", "int").add("batch", "int")
+        places = [StructField(name, IntegerType()) for name in ("_bucket", "batch")]
+        schema = StructType([*records.schema.fields, *places])
         written = spark.read.schema(schema).parquet(f"{store.path}/pages/batch={batch_id}")
         touched = written.select("company_id").distinct()
         pages = store.pages_of(touched, schema)

@@ -61,7 +61,12 @@ def start_job_state(
     store, which is spread by event, not by job. Each micro-batch is folded with
     plain aggregates, so a job with a flood of events does not tie up one task.
     """
-    once = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
+    once = (
+        events.withColumn("_time", F.col("ts").cast("timestamp"))
+        .withWatermark("_time", lateness)
+        .dropDuplicatesWithinWatermark(["event_id"])
+        .drop("_time")
+    )
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         key = list(store.key)
