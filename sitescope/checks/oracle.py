@@ -637,5 +637,5 @@ ORACLES["stats_pipeline"] = M + (
 )
 ORACLES["crawl_throughput"] = M + (
     "select to_timestamp(floor(epoch(fetched_at) / 2592000) * 2592000)::timestamp as window_start, count(*) as pages, "
-    "count_if(http_status <> 200) as failed, round(count_if(http_status <> 200) / count(*), 6) as error_rate from job_pages group by 1"
+    "cast(count_if(http_status <> 200) as bigint) as failed, round(count_if(http_status <> 200) / count(*), 6) as error_rate from job_pages group by 1"
 )

@@ -17,7 +17,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitescope.functions.urls import WHITESPACE, let, strip_ws
+from sitescope.functions.urls import let, strip_ws
 
 _TAG_BODY = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 _ATTRIBUTE = r"""[^\s"'<>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
@@ -28,6 +28,12 @@ _COMMENT = r"<!--.*?(?:-->|\z)"
 OPAQUE = rf"(?is){_COMMENT}|{_SCRIPT}|{_STYLE}"
 TEMPLATE = rf"(?is)<template\b{_TAG_BODY}.*?(?:</template\s*+>|\z)"
 ANY_TAG = rf"(?is)</?[a-z]{_TAG_BODY}|<[!?][^>]*+>"
+SPACE_REFERENCE = r"&(?:nbsp|ensp|emsp|thinsp|#160|#[xX][aA]0|#32|#[xX]20);"
+# A run of characters that are not Unicode white space, commonest ranges first.
+WORD = (
+    r"[!-~\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}"
+    r"\x{2060}-\x{2fff}\x{3001}-\x{10ffff}\x{86}-\x{9f}\x{7f}-\x{84}\x00-\x08\x0e-\x1b]++"
+)
 TITLE = rf"(?is)<title(?=[\s>/]){_TAG_BODY}(.*?)(?:</title\s*+>|\z)"
 
 
@@ -129,8 +135,14 @@ def has_json_ld(page: Column) -> Column:
 def word_count(markup: Column) -> Column:
     """White-space separated tokens of the text, every tag acting as a break."""
     text = F.regexp_replace(F.regexp_replace(markup, TEMPLATE, " "), ANY_TAG, " ")
-    spaced = F.regexp_replace(text, r"(?i)&(?:nbsp|ensp|emsp|thinsp|#160|#xa0|#32|#x20);", " ")
-    return F.regexp_count(spaced, F.lit(f"[^{WHITESPACE}]+"))
+
+    def with_spaces(t: Column) -> Column:
+        # Both tests are cheap searches; few pages need the replacement.
+        return F.when(
+            t.contains("sp;") | t.contains("&#"), F.regexp_replace(t, SPACE_REFERENCE, " ")
+        ).otherwise(t)
+
+    return F.regexp_count(let(text, with_spaces), F.lit(WORD))
 
 
 def hrefs(markup: Column) -> Column:

@@ -181,16 +181,16 @@ def java_regex(pattern: str) -> str:
     return "(?iud)" + pattern.replace("(?P<", "(?<")
 
 
-def required_literal(pattern: str) -> str | None:
-    """A lower-case text that every match must contain, or None if none is certain.
+def required_literals(pattern: str) -> list[str] | None:
+    """Lower-case texts of which every match contains at least one; None if unknown.
 
-    Only plain characters outside groups and classes count; a character that a
-    quantifier may drop is taken back. An outer alternative, a coded escape or an
+    One text per outer alternative. Only plain characters outside groups and classes
+    count, and one that a quantifier may drop is taken back. A coded escape or an
     escape inside a class gives up, which only costs speed.
     """
     if re.search(r"\\[xuUN0-9]|\[[^\]]*\\[\[\]]", pattern):
         return None
-    runs, run, depth, i = [], "", 0, 0
+    branches, runs, run, depth, i = [], [], "", 0, 0
     while i < len(pattern):
         ch = pattern[i]
         literal = None
@@ -204,7 +204,8 @@ def required_literal(pattern: str) -> str | None:
         elif ch == ")":
             depth -= 1
         elif ch == "|" and depth == 0:
-            return None
+            branches.append([*runs, run])
+            runs, run = [], ""
         elif ch in "?*{":
             run = run[:-1]
             i = pattern.index("}", i) if ch == "{" else i
@@ -216,5 +217,5 @@ def required_literal(pattern: str) -> str | None:
             runs.append(run)
             run = ""
         i += 1
-    best = max([*runs, run], key=len).lower()
-    return best if len(best) >= 3 else None
+    best = [max(texts, key=len).lower() for texts in [*branches, [*runs, run]]]
+    return best if all(len(text) >= 2 and text.isascii() for text in best) else None

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, spelled so that both Java and RE2 read it the same way.
-WHITESPACE = (
-    r"\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Unicode white space.
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.-]*"
@@ -43,7 +44,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip_ws(text: Column) -> Column:
     """Trim Unicode white space from both ends."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.trim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def scheme_of(url: Column) -> Column:
@@ -79,9 +80,12 @@ def host_of(url: Column) -> Column:
 
 def normalize_hostname(raw: Column) -> Column:
     """Trimmed, lower-cased host without ``www.``; NULL when it is not a hostname."""
-    host = F.lower(strip_ws(raw))
-    valid = host.contains(".") & ~host.contains("/") & ~host.contains(" ")
-    return F.when(valid, F.regexp_replace(host, r"^www\.", ""))
+
+    def checked(host: Column) -> Column:
+        valid = host.contains(".") & ~host.contains("/") & ~host.contains(" ")
+        return F.when(valid, F.regexp_replace(host, r"^www\.", ""))
+
+    return let(F.lower(strip_ws(raw)), checked)
 
 
 def normalize_url(raw: Column) -> Column:
@@ -144,7 +148,8 @@ def _resolve_dots(segments: Column) -> Column:
         F.aggregate(segments, start, step),
         F.when(ends_in_dots, F.array(F.lit(""))).otherwise(start),
     )
-    return let(F.array_join(kept, "/"), lambda path: F.when(path == "", "/").otherwise(path))
+    # ".." at the root also takes the leading empty segment, hence the slash.
+    return F.regexp_replace(F.array_join(kept, "/"), "^/?", "/")
 
 
 def resolve_url(base: Column, href: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from sitescope.functions.rules import (
     RulePattern,
     java_regex,
     marketing_rules,
-    required_literal,
+    required_literals,
     technology_rules,
 )
 
@@ -60,48 +61,52 @@ def _hits(text: Column, rules: Sequence[tuple[int, RulePattern]], guard=None) ->
     return F.array_compact(F.array(*tests))
 
 
-def page_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
-    """HTML pattern hits per page: company_id, domain_id, page_id, number, version.
+def _with_lower(pages: DataFrame) -> DataFrame:
+    """Adds the lower-cased page, and whether it holds letters lower() treats apart."""
+    folded = reduce(lambda a, b: a | b, [F.col("html").contains(c) for c in _FOLDING_LETTERS])
+    return pages.withColumn("_lower", F.lower("html")).withColumn("_folded", folded)
 
-    ``number`` indexes ``rules``. A pattern text that occurs twice in the set is
-    searched once. Before its regular expression runs, a pattern's required
-    literal is looked up in the lower-cased page.
-    """
+
+def _may_match(pattern: str) -> Column:
+    """Cheap necessary test: some required literal stands in the lower-cased page."""
+    literals = required_literals(pattern)
+    if literals is None:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.col("_lower").contains(t) for t in literals], F.col("_folded"))
+
+
+def _html_hits(rules: Sequence[RulePattern]) -> Column:
+    """Hits of all HTML patterns of a rule set; equal patterns are searched once."""
     numbered = [(n, r) for n, r in enumerate(rules) if r.kind == HTML]
-    first = {}
+    same: dict[str, list[tuple[int, RulePattern]]] = {}
     for number, rule in numbered:
-        first.setdefault(rule.pattern, (number, rule))
-    copies = {
-        n: [m for m, r in numbered if r.pattern == pattern] for pattern, (n, _) in first.items()
-    }
-
-    def guard(rule: RulePattern) -> Column:
-        literal = required_literal(rule.pattern)
-        if literal is None or not literal.isascii():
-            return F.lit(True)
-        return F.col("_folded") | F.col("_lower").contains(literal)
-
-    found = (
-        pages.filter(F.col("html") != "")
-        .select("company_id", "domain_id", "page_id", "html")
-        .withColumn("_lower", F.lower("html"))
-        .withColumn("_folded", F.col("html").rlike(_FOLDING_LETTERS))
-        .select(
-            "company_id",
-            "domain_id",
-            "page_id",
-            F.explode(_hits(F.col("html"), list(first.values()), guard)).alias("hit"),
+        same.setdefault(rule.pattern, []).append((number, rule))
+    once = [group[0] for group in same.values()]
+    found = _hits(F.col("html"), once, lambda r: _may_match(r.pattern))
+    if len(once) == len(numbered):
+        return found
+
+    def repeated(hit: Column) -> Column:
+        numbers = F.array(hit["number"])
+        for group in same.values():
+            if len(group) > 1:
+                copies = _literal_array([n for n, _ in group], "int")
+                numbers = F.when(hit["number"] == group[0][0], copies).otherwise(numbers)
+        return F.transform(
+            numbers, lambda n: F.struct(n.alias("number"), hit["version"].alias("version"))
         )
-        .select("company_id", "domain_id", "page_id", "hit.number", "hit.version")
+
+    return F.flatten(F.transform(found, repeated))
+
+
+def page_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
+    """HTML pattern hits per page: company_id, domain_id, page_id, number, version.
+
+    ``number`` indexes ``rules``. Row-local.
+    """
+    return _with_lower(pages.filter(F.col("html") != "")).select(
+        "company_id", "domain_id", "page_id", F.inline(_html_hits(rules))
     )
-    repeated = [ns for ns in copies.values() if len(ns) > 1]
-    if not repeated:
-        return found
-    number = F.col("number")
-    all_numbers = F.array(number)
-    for ns in repeated:
-        all_numbers = F.when(number == ns[0], _literal_array(ns, "int")).otherwise(all_numbers)
-    return found.withColumn("number", F.explode(all_numbers))
 
 
 def _first_page(value: str) -> Column:
@@ -127,13 +132,17 @@ def merged_headers(pages: DataFrame, names: Sequence[str] | None = None) -> Data
     )
 
 
+def _generator() -> Column:
+    return F.regexp_extract("html", java_regex(GENERATOR_PATTERN), 1)
+
+
 def generators(pages: DataFrame) -> DataFrame:
     """First generator named by the pages of each company."""
     named = pages.select(
         "company_id",
         "domain_id",
         "page_id",
-        F.regexp_extract("html", java_regex(GENERATOR_PATTERN), 1).alias("generator"),
+        _generator().alias("generator"),
     )
     return (
         named.filter(F.col("generator") != "")
@@ -155,31 +164,58 @@ def _empty_text_hits(
     return without.select("company_id", F.inline(_hits(F.lit(""), rules)))
 
 
+def _header_value(name: str) -> Column:
+    same = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name)
+    return F.get(same, F.lit(0))["value"]
+
+
 def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
-    """company_id, number, version over all three kinds of pattern."""
-    numbered = list(enumerate(rules))
-    matched = page_matches(pages, rules)
-    found = matched.groupBy("company_id", "number").agg(_first_page("version").alias("version"))
-    on_empty = _matches_nothing([(n, r) for n, r in numbered if r.kind == HTML])
-    if on_empty:
-        with_text = pages.filter(F.col("html") != "").select("company_id")
-        found = found.unionByName(_empty_text_hits(pages, with_text, on_empty))
+    """company_id, number, version over all three kinds of pattern.
 
+    Pages are read once: their HTML hits, generator and the headers some rule asks
+    for travel together as (slot, value), and the first page of a company wins per
+    slot. Slots below ``len(rules)`` are pattern numbers.
+    """
+    numbered = list(enumerate(rules))
+    by_html = [(n, r) for n, r in numbered if r.kind == HTML]
     by_generator = [(n, r) for n, r in numbered if r.kind == GENERATOR]
-    if by_generator:
-        named = generators(pages)
-        hits = named.select("company_id", F.inline(_hits(F.col("generator"), by_generator)))
-        found = found.unionByName(hits)
-        on_empty = _matches_nothing(by_generator)
-        if on_empty:
-            found = found.unionByName(_empty_text_hits(pages, named, on_empty))
-
     by_header = [(n, r) for n, r in numbered if r.kind == HEADER]
+    generator_slot = len(numbered)
+    slots = {h: generator_slot + 1 + i for i, h in enumerate(sorted({r.header for _, r in by_header}))}
+
+    def slot(number: int, value: Column) -> Column:
+        return F.struct(F.lit(number).alias("number"), value.alias("version"))
+
+    extra = [F.when(_header_value(h).isNotNull(), slot(n, _header_value(h))) for h, n in slots.items()]
+    if by_generator:
+        named = F.when(_may_match(GENERATOR_PATTERN), _generator())
+        extra.append(F.when(named != "", slot(generator_slot, named)))
+    signals = F.coalesce(_html_hits(rules), F.array().cast("array<struct<number:int,version:string>>"))
+    if extra:
+        signals = F.concat(signals, F.array_compact(F.array(*extra)))
+    first = (
+        _with_lower(pages)
+        .select("company_id", "domain_id", "page_id", F.inline(signals))
+        .groupBy("company_id", "number")
+        .agg(_first_page("version").alias("version"))
+    )
+    number, value = F.col("number"), F.col("version")
+    hits = F.when(number < generator_slot, F.array(F.struct(number, value)))
+    if by_generator:
+        hits = hits.when(number == generator_slot, _hits(value, by_generator))
     if by_header:
-        headers = merged_headers(pages, sorted({r.header for _, r in by_header}))
-        same_name = lambda r: F.col("header") == r.header
-        hits = headers.select("company_id", F.inline(_hits(F.col("value"), by_header, same_name)))
-        found = found.unionByName(hits)
+        hits = hits.when(
+            number > generator_slot, _hits(value, by_header, lambda r: number == slots[r.header])
+        )
+    found = first.select("company_id", F.inline(hits))
+
+    on_empty = _matches_nothing(by_html)
+    if on_empty:
+        with_text = pages.filter(F.col("html") != "").select("company_id")
+        found = found.unionByName(_empty_text_hits(pages, with_text, on_empty))
+    on_empty = _matches_nothing(by_generator)
+    if on_empty:
+        found = found.unionByName(_empty_text_hits(pages, generators(pages), on_empty))
     return found
 
 
