@@ -55,54 +55,60 @@ def count_tags(markup: Column, name: str) -> Column:
     return F.regexp_count(markup, F.lit(_open_tag(name)))
 
 
-def _code_point(digits: Column, base: int) -> Column:
-    def safe(code: Column) -> Column:
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(valid, code).otherwise(F.lit(0xFFFD))
+def sql_string(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    code = let(F.conv(digits, base, 10).cast("long"), safe)
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
+def _applied(value: Column, body: str) -> Column:
+    """SQL text ``body`` over the variable ``v``, which stands for ``value``.
 
-def _named_entities() -> Column:
+    These bodies are used many times per query; as text each is one call to the
+    JVM, where built from columns it would be several hundred.
+    """
+    lambda_ = F.expr(f"v -> {body}")
+    return F.get(F.call_function("transform", F.array(value), lambda_), F.lit(0))
+
+
+def _named_entities() -> str:
     names = {name: chr(code) for name, code in html.entities.name2codepoint.items()}
     names["apos"] = "'"
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return f"from_json({sql_string(json.dumps(names))}, 'map<string,string>')"
 
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references, each once and from left to right."""
+_REFERENCE = sql_string(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
 
-    def piece(part: Column, index: Column) -> Column:
-        ref = F.regexp_extract(
-            part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1
-        )
-        return F.when(index == 0, part).otherwise(let(ref, lambda r: replaced(part, r)))
 
-    def replaced(part: Column, ref: Column) -> Column:
-        plain = (
-            F.when(ref.rlike("^#[xX]"), _code_point(F.substring(ref, 3, 6), 16))
-            .when(ref.startswith("#"), _code_point(F.substring(ref, 2, 7), 10))
-            .otherwise(F.element_at(_named_entities(), ref))
-        )
-        rest = F.substring(part, F.length(ref) + 2, F.length(part))
-        return F.coalesce(F.concat(plain, rest), F.concat(F.lit("&"), part))
+def _decoded(text: str) -> str:
+    """SQL for ``text`` with character references replaced.
 
-    def decoded(whole: Column) -> Column:
-        joined = F.array_join(F.transform(F.split(whole, "&", -1), piece), "")
-        return F.when(whole.contains("&"), joined).otherwise(whole)
+    The text is split at ``&``; a piece that starts with a known reference has it
+    replaced, any other gets its ``&`` back. So each is decoded once, left to right.
+    """
+    digits = "if(rlike(r, '^#[xX]'), conv(substring(r, 3), 16, 10), conv(substring(r, 2), 10, 10))"
+    valid = "c between 1 and 55295 or c between 57344 and 1114111"
+    code = f"get(transform(array(cast({digits} as bigint)), c -> if({valid}, c, 65533)), 0)"
+    character = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
+    plain = f"if(startswith(r, '#'), {character}, element_at({_named_entities()}, r))"
+    piece = f"""if(i = 0, p, get(transform(array(regexp_extract(p, {_REFERENCE}, 1)),
+        r -> coalesce(concat({plain}, substring(p, length(r) + 2)), concat('&', p))), 0))"""
+    joined = f"array_join(transform(split(t, '&', -1), (p, i) -> {piece}), '')"
+    return f"get(transform(array({text}), t -> if(contains(t, '&'), {joined}, t)), 0)"
 
-    return let(text, decoded)
+
+def decode_entities(text: Column) -> Column:
+    """Replace character references, each once and from left to right."""
+    return _applied(text, _decoded("v"))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute with references decoded; NULL when the tag lacks it."""
-    pairs = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))
-    pair = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
-    value = F.regexp_replace(pair, r"^[^=]*=\s*", "")
-    return decode_entities(
-        F.regexp_replace(value, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")
-    )
+    pairs = f"regexp_extract_all(v, {sql_string(_ATTRIBUTE)}, 0)"
+    own = sql_string(rf"(?i)^{name}\s*=")
+    pair = f"get(filter({pairs}, a -> rlike(a, {own})), 0)"
+    value = f"regexp_replace({pair}, {sql_string(r'^[^=]*=\s*')}, '')"
+    quotes = sql_string(r"""(?s)^"(.*)"$|^'(.*)'$""")
+    return _applied(tag, _decoded(f"regexp_replace({value}, {quotes}, '$1$2')"))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitescope.functions.html import sql_string
 from sitescope.functions.rules import (
     GENERATOR,
     GENERATOR_PATTERN,
@@ -35,30 +36,31 @@ _FOLDING_LETTERS = "[İıſK]"
 
 
 def _literal_array(values: Sequence, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+    literals = [sql_string(v) if isinstance(v, str) else str(v) for v in values]
+    return F.expr(f"cast(array({', '.join(literals)}) as array<{kind}>)")
 
 
-def _version(text: Column, rule: RulePattern) -> Column:
+def _version(text: str, rule: RulePattern) -> str:
     if not rule.has_version:
-        return F.lit(None).cast("string")
-    found = F.regexp_extract(text, java_regex(rule.pattern), rule.version_group)
-    return F.nullif(found, F.lit(""))
+        return "cast(null as string)"
+    regex = sql_string(java_regex(rule.pattern))
+    return f"nullif(regexp_extract({text}, {regex}, {rule.version_group}), '')"
 
 
-def _hits(text: Column, rules: Sequence[tuple[int, RulePattern]], guard=None) -> Column:
-    """Array of (number, version) for the patterns found in ``text``."""
+def _hits(text: str, rules: Sequence[tuple[int, RulePattern]], guard=None) -> Column:
+    """Array of (number, version) for the patterns found in the SQL value ``text``.
+
+    ``guard`` gives a SQL test per rule that is made before the regular expression.
+    Written as SQL text, so that a rule set becomes one expression at once.
+    """
     tests = []
     for number, rule in rules:
-        found = text.rlike(java_regex(rule.pattern))
+        found = f"rlike({text}, {sql_string(java_regex(rule.pattern))})"
         if guard is not None:
-            found = guard(rule) & found
-        tests.append(
-            F.when(
-                found,
-                F.struct(F.lit(number).alias("number"), _version(text, rule).alias("version")),
-            )
-        )
-    return F.array_compact(F.array(*tests))
+            found = f"({guard(rule)}) and {found}"
+        hit = f"named_struct('number', {number}, 'version', {_version(text, rule)})"
+        tests.append(f"case when {found} then {hit} end")
+    return F.expr(f"array_compact(array({', '.join(tests)}))")
 
 
 def _with_lower(pages: DataFrame) -> DataFrame:
@@ -67,12 +69,12 @@ def _with_lower(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_lower", F.lower("html")).withColumn("_folded", folded)
 
 
-def _may_match(pattern: str) -> Column:
+def _may_match(pattern: str) -> str:
     """Cheap necessary test: some required literal stands in the lower-cased page."""
     literals = required_literals(pattern)
     if literals is None:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [F.col("_lower").contains(t) for t in literals], F.col("_folded"))
+        return "true"
+    return " or ".join(["_folded", *[f"contains(_lower, {sql_string(t)})" for t in literals]])
 
 
 def _html_hits(rules: Sequence[RulePattern]) -> Column:
@@ -82,7 +84,7 @@ def _html_hits(rules: Sequence[RulePattern]) -> Column:
     for number, rule in numbered:
         same.setdefault(rule.pattern, []).append((number, rule))
     once = [group[0] for group in same.values()]
-    found = _hits(F.col("html"), once, lambda r: _may_match(r.pattern))
+    found = _hits("html", once, lambda r: _may_match(r.pattern))
     if len(once) == len(numbered):
         return found
 
@@ -161,7 +163,7 @@ def _empty_text_hits(
 ) -> DataFrame:
     """Hits on the empty text for companies that have no text of the kind."""
     without = pages.select("company_id").distinct().join(with_text, "company_id", "left_anti")
-    return without.select("company_id", F.inline(_hits(F.lit(""), rules)))
+    return without.select("company_id", F.inline(_hits("''", rules)))
 
 
 def _header_value(name: str) -> Column:
@@ -188,7 +190,7 @@ def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFram
 
     extra = [F.when(_header_value(h).isNotNull(), slot(n, _header_value(h))) for h, n in slots.items()]
     if by_generator:
-        named = F.when(_may_match(GENERATOR_PATTERN), _generator())
+        named = F.when(F.expr(_may_match(GENERATOR_PATTERN)), _generator())
         extra.append(F.when(named != "", slot(generator_slot, named)))
     signals = F.coalesce(_html_hits(rules), F.array().cast("array<struct<number:int,version:string>>"))
     if extra:
@@ -202,10 +204,10 @@ def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFram
     number, value = F.col("number"), F.col("version")
     hits = F.when(number < generator_slot, F.array(F.struct(number, value)))
     if by_generator:
-        hits = hits.when(number == generator_slot, _hits(value, by_generator))
+        hits = hits.when(number == generator_slot, _hits("version", by_generator))
     if by_header:
         hits = hits.when(
-            number > generator_slot, _hits(value, by_header, lambda r: number == slots[r.header])
+            number > generator_slot, _hits("version", by_header, lambda r: f"number = {slots[r.header]}")
         )
     found = first.select("company_id", F.inline(hits))
 

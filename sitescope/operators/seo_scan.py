@@ -29,17 +29,22 @@ SIGNALS = (
 VITALS = ("cwv_lcp_ms", "cwv_cls", "cwv_inp_ms")
 
 
-def _meta_content(name: str) -> Column:
-    first = F.get(
-        F.filter("_metas", lambda m: H.attribute(m, "name") == name), F.lit(0)
+def _parsed_meta(tag: Column) -> Column:
+    return F.struct(
+        H.attribute(tag, "name").alias("name"),
+        H.attribute(tag, "property").alias("property"),
+        H.attribute(tag, "content").alias("content"),
     )
-    return H.blank_to_null(H.attribute(first, "content"))
+
+
+def _meta_content(name: str) -> Column:
+    first = F.get(F.filter("_metas", lambda m: m["name"] == name), F.lit(0))
+    return H.blank_to_null(first["content"])
 
 
 def _has_meta_prefix(prefix: str) -> Column:
     def key(meta: Column) -> Column:
-        named = F.nullif(H.attribute(meta, "property"), F.lit(""))
-        return F.lower(F.coalesce(named, H.attribute(meta, "name"), F.lit("")))
+        return F.lower(F.coalesce(F.nullif(meta["property"], F.lit("")), meta["name"], F.lit("")))
 
     return F.exists("_metas", lambda m: key(m).startswith(prefix))
 
@@ -70,7 +75,7 @@ def seo_signals(pages: DataFrame) -> DataFrame:
     listed = cleaned.select(
         *kept,
         H.raw_title(F.col("_markup")).alias("title"),
-        H.tags(F.col("_markup"), "meta").alias("_metas"),
+        F.transform(H.tags(F.col("_markup"), "meta"), _parsed_meta).alias("_metas"),
         H.tags(F.col("_markup"), "link").alias("_links"),
         H.tags(F.col("_markup"), "img").alias("_images"),
         H.hrefs(F.col("_markup")).alias("_hrefs"),

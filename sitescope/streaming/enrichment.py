@@ -56,20 +56,21 @@ def refresh(
     """Recompute and replace everything derived for the touched companies."""
     mine = companies.join(touched, "company_id", "left_semi")
     own_domains = domains.join(touched, "company_id", "left_semi")
+    stored = {}
     for name, frame in (
         ("technologies", detect_technologies(pages)),
         ("marketing", detect_marketing(pages)),
         ("seo_profiles", seo_scan(pages)),
     ):
-        store.table(name, frame).replace(touched, frame)
-    detected = store.table("technologies", detect_technologies(pages)).read()
-    profiles = store.table("seo_profiles", seo_scan(pages)).read()
+        table = store.table(name, frame)
+        table.replace(touched, frame)
+        stored[name] = table.read().join(touched, "company_id", "left_semi")
     documents = search_projection(
         mine,
         own_domains,
         pages,
-        detected.join(touched, "company_id", "left_semi"),
-        profiles.join(touched, "company_id", "left_semi"),
+        stored["technologies"],
+        stored["seo_profiles"],
         as_of,
     )
     store.table("documents", documents).replace(touched, documents)
