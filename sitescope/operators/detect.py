@@ -140,11 +140,12 @@ def _generator() -> Column:
 
 def generators(pages: DataFrame) -> DataFrame:
     """First generator named by the pages of each company."""
+    # inline() keeps the HTML out of the aggregate's map-side sort.
     named = pages.select(
         "company_id",
         "domain_id",
         "page_id",
-        _generator().alias("generator"),
+        F.inline(F.array(F.struct(_generator().alias("generator")))),
     )
     return (
         named.filter(F.col("generator") != "")

@@ -69,7 +69,8 @@ def fold_events(
         opened = opened.join(old, key, "left").fillna(
             {"_state": PENDING, "_attempts": 0, "_pages": 0, "_illegal": 0, "_events": 0}
         )
-    placed = attach(events, opened.select(*key, "_start", "_state"), key, ["event_id"], "left", hot_rows)
+    counts = opened.select(*key, "_n")
+    placed = attach(events, opened, key, ["event_id"], "left", hot_rows, counts)
     pending, running = F.col("_state") == PENDING, F.col("_state") == RUNNING
     after_start = F.coalesce(pending & (order > F.col("_start")), F.lit(False)) | running
     closes = (F.col("step") == "fail") | ((F.col("step") == "complete") & (F.col("pages") >= 0))
@@ -77,12 +78,14 @@ def fold_events(
     closed = placed.groupBy(*key).agg(
         F.min(F.when(closes & after_start, F.struct("ts", "event_id", "step", "pages"))).alias("_end"),
         F.count_if((F.col("step") == "enqueue") & early).alias("_waits"),
+        # The same on every row of a job.
+        *[F.any_value(c).alias(c) for c in opened.columns if c not in key],
     )
     starts_now = pending & F.col("_start").isNotNull()
     ends_now = F.col("_end").isNotNull()
     done = F.when(F.col("_end.step") == "complete", COMPLETED).otherwise(FAILED)
     legal = F.col("_waits") + starts_now.cast("int") + ends_now.cast("int")
-    return opened.join(closed, key).select(
+    return closed.select(
         *key,
         F.when(ends_now, done)
         .when(starts_now, RUNNING)

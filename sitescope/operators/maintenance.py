@@ -119,7 +119,7 @@ class KeyedTable:
         old = self._stored().join(F.broadcast(touched), "_bucket", "left_semi").drop("_bucket")
         new = self._bucketed(change(old).select(*self.schema.fieldNames()))
         (
-            new.repartition("_bucket")
+            new.hint("rebalance", "_bucket")  # few files per bucket, large buckets split
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("_bucket")

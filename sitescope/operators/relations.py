@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 
 from sitescope.operators.skew import attach, page_of
 
-# List page sizes and the worker's batch.
+# List page sizes, the worker's batch, and the largest page.
 DEFAULT_PAGE_SIZE = 25
 CATALOG_PAGE_SIZE = 50
 WORKER_BATCH = 50
+MAX_PAGE_SIZE = 200
+
+
+def _listed(rows: DataFrame, order: list, page: int, page_size: int) -> DataFrame:
+    """A page of a listing; the sizes a listing accepts are bounded."""
+    if not 1 <= page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"page_size must lie in 1..{MAX_PAGE_SIZE}")
+    return page_of(rows, order, page, page_size)
 
 
 def rows_with_parent(
@@ -31,7 +39,7 @@ def company_listing(
     companies: DataFrame, domains: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:
     """A page of companies, newest first, with their domains."""
-    listed = page_of(companies, [F.desc("created_at"), F.desc("company_id")], page, page_size)
+    listed = _listed(companies, [F.desc("created_at"), F.desc("company_id")], page, page_size)
     listed = F.broadcast(listed)  # one page
     return listed.join(domains, "company_id", "left")
 
@@ -49,7 +57,7 @@ def list_jobs(
 ) -> DataFrame:
     """A page of crawl jobs, newest first, optionally of one status."""
     rows = jobs if status is None else jobs.filter(F.col("status") == status)
-    return page_of(rows, [F.desc("created_at"), F.desc("job_id")], page, page_size)
+    return _listed(rows, [F.desc("created_at"), F.desc("job_id")], page, page_size)
 
 
 def pending_jobs(jobs: DataFrame, limit: int = WORKER_BATCH) -> DataFrame:
@@ -74,7 +82,7 @@ def pages_per_job(jobs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def catalog_page(technologies: DataFrame, page: int = 1, page_size: int = CATALOG_PAGE_SIZE):
     """A page of the technology catalog by name."""
-    return page_of(technologies, [F.asc("technology")], page, page_size)
+    return _listed(technologies, [F.asc("technology")], page, page_size)
 
 
 def with_catalog(company_technologies: DataFrame, technologies: DataFrame) -> DataFrame:

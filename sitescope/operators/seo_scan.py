@@ -127,9 +127,15 @@ def homepage_keys(pages: DataFrame) -> DataFrame:
     rank = (
         F.when(has_html & (F.col("page_type") == "home"), 0).when(has_html, 1).otherwise(2)
     )
-    key = F.struct(rank.alias("rank"), "domain_id", "page_id")
-    return pages.groupBy("company_id").agg(F.min(key).alias("k")).select(
-        "company_id", F.col("k.page_id").alias("page_id")
+    # inline() pins the narrow keys below the aggregate; as a plain projection they
+    # would be folded into it, and the map-side sort would carry the HTML.
+    keys = pages.select(
+        "company_id", F.inline(F.array(F.struct(rank.alias("rank"), "domain_id", "page_id")))
+    )
+    return (
+        keys.groupBy("company_id")
+        .agg(F.min(F.struct("rank", "domain_id", "page_id")).alias("k"))
+        .select("company_id", F.col("k.page_id").alias("page_id"))
     )
 
 

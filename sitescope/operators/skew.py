@@ -26,19 +26,21 @@ def attach(
     spread_by: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join a per-key ``lookup`` (unique on ``on``) to ``rows`` with skewed keys.
 
     A key with n rows is cut into ``ceil(n / hot_rows)`` shares by a hash of
     ``spread_by`` and only such keys are repeated in the lookup, once per share.
     There are at most ``count(rows) / hot_rows`` of them, which bounds both the
-    repetition and the broadcast of their list.
+    repetition and the broadcast of their list. ``counts`` (keys and ``_n``) spares
+    the counting pass where the caller has the counts already.
     """
     on = list(on)
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
     hot = (
-        rows.groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
+        counts.filter(F.col("_n") > hot_rows)
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
     )
     hot = F.broadcast(hot)

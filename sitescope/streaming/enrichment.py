@@ -29,6 +29,7 @@ class EnrichmentStore:
         bucket = F.pmod(F.xxhash64("company_id"), self.buckets).cast("int")
         (
             pages.withColumn("_bucket", bucket)
+            .hint("rebalance", "_bucket")
             .write.mode("overwrite")
             .partitionBy("_bucket")
             .parquet(f"{self.path}/pages/batch={batch}")

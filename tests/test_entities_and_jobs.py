@@ -144,6 +144,8 @@ def test_listings(spark):
     newest = sorted(data, key=lambda d: (d[3], d[0]), reverse=True)
     assert [r.job_id for r in relations.list_jobs(frame, None, 2, 7).collect()] == [d[0] for d in newest[7:14]]
     pending = [d[0] for d in newest if d[2] == "pending"]
+    with pytest.raises(ValueError):
+        relations.list_jobs(frame, None, 1, 201)
     assert [r.job_id for r in relations.pending_jobs(frame, 5).collect()] == pending[:5]
     pages = spark.createDataFrame([(1, 1, "u"), (1, 2, "v"), (3, 1, "w"), (99, 1, "orphan")], "job_id long, page_no int, url string")
     detail = relations.job_detail(frame, pages)
