@@ -231,8 +231,9 @@ def first_link_per_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def _homes(spark: SparkSession, sf: str) -> DataFrame:
     """The first page with HTML of every host stands in for its home page."""
-    pages = B.crawled_pages(spark, sf).filter("html is not null")
-    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    pages = B.crawled_pages(spark, sf)
+    with_html = pages.filter("http_status > 0 and content_type = 'text/html'")
+    first = with_html.groupBy("host").agg(F.min("page_id").alias("page_id"))
     return pages.select("page_id", "html").join(first, "page_id").select("host", "html")
 
 

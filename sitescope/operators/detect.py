@@ -106,7 +106,7 @@ def page_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
 
     ``number`` indexes ``rules``. Row-local.
     """
-    return _with_lower(pages.filter(F.col("html") != "")).select(
+    return _with_lower(pages).select(
         "company_id", "domain_id", "page_id", F.inline(_html_hits(rules))
     )
 
