@@ -97,12 +97,19 @@ def _tags(text: str, name: str) -> str:
     return f"regexp_extract_all({text}, {q(rf'(?is)<{name}(?:>|[\s/]{_BODY})')}, 0)"
 
 
+def _decode(text: str) -> str:
+    """The references that occur in the test pages; the ampersand comes last."""
+    for reference, character in (("&quot;", '"'), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, {q(reference)}, {q(character)})"
+    return text
+
+
 def _attr(tag: str, name: str, var: str) -> str:
     pairs = f"regexp_extract_all({tag}, {q(_ATTR)}, 0)"
     pair = f"list_filter({pairs}, lambda {var}: regexp_matches({var}, {q(rf'(?i)^{name}\s*=')}))[1]"
     value = rf"regexp_replace({pair}, '^[^=]*=\s*', '')"
     quotes = q(r"""(?s)^"(.*)"$|^'(.*)'$""")
-    return rf"replace(regexp_replace({value}, {quotes}, '\1\2'), '&amp;', '&')"
+    return _decode(rf"regexp_replace({value}, {quotes}, '\1\2')")
 
 
 _MARKUP = f"regexp_replace(coalesce(html, ''), {q(_OPAQUE)}, ' ', 'g')"
@@ -118,7 +125,7 @@ listed as (select *, {_tags('markup', 'meta')} as metas, {_tags('markup', 'link'
  regexp_extract_all(markup, {q(_TITLE)}, 1)[1] as raw_title,
  regexp_extract_all(coalesce(html, ''), {q(_OPAQUE)}, 0) as blocks from marked),
 signals as (select page_id, company_id, url,
- nullif(trim(replace(raw_title, '&amp;', '&')), '') as title,
+ nullif(trim({_decode('raw_title')}), '') as title,
  nullif(trim({_attr("list_filter(metas, lambda m: " + _attr('m', 'name', 'p') + " = 'description')[1]", 'content', 'p')}), '') as meta_description,
  nullif(trim({_attr("list_filter(links, lambda m: list_contains(string_split(" + _attr('m', 'rel', 'p') + ", ' '), 'canonical'))[1]", 'href', 'p')}), '') as canonical,
  nullif(trim({_attr("list_filter(metas, lambda m: " + _attr('m', 'name', 'p') + " = 'robots')[1]", 'content', 'p')}), '') as meta_robots,
@@ -161,7 +168,7 @@ def _with(*parts: str) -> str:
 ORACLES["page_capture"] = (
     _with(CAPTURES, f"m as (select *, {_MARKUP} as markup from site_pages)")
     + f"""select page_id, url, page_type, http_status, content_type,
- case when http_status = 200 and content_type = 'text/html' then trim(replace(regexp_extract_all(markup, {q(_TITLE)}, 1)[1], '&amp;', '&')) end as title,
+ case when http_status = 200 and content_type = 'text/html' then trim({_decode(f"regexp_extract_all(markup, {q(_TITLE)}, 1)[1]")}) end as title,
  sha256(coalesce(html, '')) as content_hash, cast(length(html) as int) as html_length,
  case when not failed and hkey = 'server' then hval end as server, case when failed then 0 else 2 end as header_count from m"""
 )
