@@ -312,6 +312,10 @@ TECH = (_rules(technology_rules()), CAPTURES, MATCHES, COMPANY_MATCHES)
 ORACLES["page_matches"] = _with(_rules(technology_rules()), CAPTURES, MATCHES) + (
     "select page_id, cast(number as int) as number, version from hits"
 )
+ORACLES["rule_coverage"] = _with(_rules(technology_rules() + marketing_rules()), CAPTURES, MATCHES) + (
+    "select cast(number as int) as number, any_value(name) as name, any_value(category) as category, any_value(conf) as confidence, "
+    "any_value(pattern) as pattern, count(page_id) as pages from rules left join hits using (number) where kind = 'html' group by number"
+)
 ORACLES["merged_headers"] = _with(*TECH) + "select * from merged"
 ORACLES["generators"] = _with(*TECH) + "select * from gens"
 ORACLES["detect_technologies"] = _with(*TECH) + "select * from technologies"
@@ -439,6 +443,12 @@ ORACLES["search_far_page"] = _page("true", _BY_SCORE_UP, 25, 1000)
 ORACLES["search_total_filtered"] = _with(DOCS) + f"select count(*) as total from docs where {_FLAGSHIP}"
 
 
+ORACLES["upsert_documents"] = _with(DOCS) + (
+    "select company_id, display_name, case when company_id % 5 = 0 or company_id % 6 = 0 then 99.0::double else seo_score end as seo_score, "
+    "case when company_id % 5 = 0 or company_id % 6 = 0 then ['Rescan'] else technologies end as technologies, has_ssl, indexed_at from docs"
+)
+
+
 def _facet(fields: list[str], where: str = "true") -> str:
     parts = []
     for f in fields:

@@ -280,6 +280,18 @@ def page_matches(spark: SparkSession, sf: str) -> DataFrame:
     return detect.page_matches(pages, detect.technology_rules()).select("page_id", "number", "version")
 
 
+@query
+def rule_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every HTML pattern of both rule sets with the pages it occurs on, also none."""
+    rules = detect.technology_rules() + detect.marketing_rules()
+    found = detect.page_matches(B.crawled_pages(spark, sf), rules)
+    pages = found.groupBy("number").agg(F.count("*").alias("pages"))
+    table = detect.rule_table(spark, rules).filter("kind = 'html'")
+    return table.join(pages, "number", "left").select(
+        "number", "name", "category", "confidence", "pattern", F.coalesce("pages", F.lit(0)).alias("pages")
+    )
+
+
 @query
 def merged_headers(spark: SparkSession, sf: str) -> DataFrame:
     return detect.merged_headers(B.crawled_pages(spark, sf))
@@ -413,6 +425,21 @@ def search_projection(spark: SparkSession, sf: str) -> DataFrame:
     return _site_documents(spark, sf).drop("indexed_at")
 
 
+@query
+def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of some companies rescored and replaced, one new company added."""
+    stored = B.search_documents(spark, sf).filter("company_id % 6 <> 0")
+    fresh = (
+        B.search_documents(spark, sf)
+        .filter("company_id % 5 = 0 or company_id % 6 = 0")
+        .withColumn("seo_score", F.lit(99.0))
+        .withColumn("technologies", F.array(F.lit("Rescan")))
+    )
+    return projection.upsert_documents(stored, fresh).select(
+        "company_id", "display_name", "seo_score", "technologies", "has_ssl", "indexed_at"
+    )
+
+
 @query
 def search_over_projection(spark: SparkSession, sf: str) -> DataFrame:
     spec = SearchSpec(

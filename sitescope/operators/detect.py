@@ -15,7 +15,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitescope.functions.html import sql_string
@@ -280,6 +280,19 @@ def detect_marketing(pages: DataFrame, rules: Sequence[RulePattern] | None = Non
     )
 
 
+def rule_table(spark: SparkSession, rules: Sequence[RulePattern]) -> DataFrame:
+    """A rule set as rows, one per pattern; ``number`` is the one in the matches."""
+    data = [
+        (n, r.rule, r.name, r.category, r.kind, r.header or None, r.confidence, r.pattern)
+        for n, r in enumerate(rules)
+    ]
+    return spark.createDataFrame(
+        data,
+        "number int, ord int, name string, category string, kind string, header string, "
+        "confidence double, pattern string",
+    )
+
+
 def companies_by_technology(company_technologies: DataFrame) -> DataFrame:
     """How many companies use each technology."""
     return company_technologies.groupBy("technology").agg(

@@ -13,11 +13,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, MapType, StructField, StructType
 
 from sitescope.operators.skew import attach
 
 
+def stamped(frame: DataFrame, column: str, as_of=None) -> DataFrame:
+    """Adds the time of a run: now, or a given time where a run has to be repeatable."""
+    time = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    return frame.withColumn(column, time)
+
+
 def upsert_latest(
     existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: str
 ) -> DataFrame:
@@ -27,7 +33,11 @@ def upsert_latest(
     versions sends one row per task.
     """
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    others = sorted(set(existing.columns) - {*key, order})
+    others = [  # makes the pick among equals repeatable; maps cannot be ordered
+        f.name
+        for f in sorted(existing.schema.fields, key=lambda f: f.name)
+        if f.name not in {*key, order} and not isinstance(f.dataType, MapType)
+    ]
     latest = W.partitionBy(*key).orderBy(
         F.desc("_new"), F.desc_nulls_last(order), *[F.desc_nulls_last(c) for c in others]
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions.seo import seo_grade
+from sitescope.operators.maintenance import stamped, upsert_latest
 from sitescope.operators.skew import attach
 
 # Which page type sets which flag.
@@ -87,7 +88,7 @@ def search_projection(
     technologies = F.coalesce("technologies", F.array().cast("array<string>"))
     no = F.lit(False)
     unknown = F.lit(None).cast("string")
-    return joined.select(
+    documents = joined.select(
         "company_id",
         "display_name",
         "primary_domain",
@@ -102,7 +103,10 @@ def search_projection(
         F.coalesce("has_ssl", no).alias("has_ssl"),
         *[F.coalesce(flag, no).alias(flag) for flag in PAGE_FLAGS],
         text_blob(F.col("display_name"), F.col("industry"), technologies).alias("text_blob"),
-        (F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")).alias(
-            "indexed_at"
-        ),
     )
+    return stamped(documents, "indexed_at", as_of)
+
+
+def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The search table after inserting documents or replacing them whole."""
+    return upsert_latest(existing, incoming, ["company_id"], "indexed_at")

@@ -6,6 +6,8 @@ parent with very many children is never gathered in one place.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def _listed(rows: DataFrame, order: list, page: int, page_size: int) -> DataFram
     return page_of(rows, order, page, page_size)
 
 
+@dataclass(frozen=True)
+class Listing:
+    """One page of a listing with the total over all pages, as lazy frames."""
+
+    items: DataFrame
+    total: DataFrame
+    page: int
+    page_size: int
+
+
+def listing(rows: DataFrame, order: list, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> Listing:
+    total = rows.agg(F.count("*").alias("total"))
+    return Listing(_listed(rows, order, page, page_size), total, page, page_size)
+
+
 def rows_with_parent(
     children: DataFrame, parents: DataFrame, key: str, child_id: str
 ) -> DataFrame:

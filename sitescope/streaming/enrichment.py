@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sitescope.operators.detect import detect_marketing, detect_technologies
-from sitescope.operators.maintenance import KeyedTable
+from sitescope.operators.maintenance import KeyedTable, stamped
 from sitescope.operators.projection import search_projection
 from sitescope.operators.seo_scan import seo_scan
 from sitescope.sources.capture import page_records
@@ -59,9 +59,9 @@ def refresh(
     own_domains = domains.join(touched, "company_id", "left_semi")
     stored = {}
     for name, frame in (
-        ("technologies", detect_technologies(pages)),
-        ("marketing", detect_marketing(pages)),
-        ("seo_profiles", seo_scan(pages)),
+        ("technologies", stamped(detect_technologies(pages), "detected_at", as_of)),
+        ("marketing", stamped(detect_marketing(pages), "detected_at", as_of)),
+        ("seo_profiles", stamped(seo_scan(pages), "scanned_at", as_of)),
     ):
         table = store.table(name, frame)
         table.replace(touched, frame)

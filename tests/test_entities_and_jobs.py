@@ -2,6 +2,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from sitescope.operators import entities, jobs, relations
@@ -144,6 +145,8 @@ def test_listings(spark):
     newest = sorted(data, key=lambda d: (d[3], d[0]), reverse=True)
     assert [r.job_id for r in relations.list_jobs(frame, None, 2, 7).collect()] == [d[0] for d in newest[7:14]]
     pending = [d[0] for d in newest if d[2] == "pending"]
+    envelope = relations.listing(frame, [F.asc("job_id")], 3, 7)
+    assert ([r.job_id for r in envelope.items.collect()], envelope.total.first().total) == (list(range(14, 21)), 30)
     with pytest.raises(ValueError):
         relations.list_jobs(frame, None, 1, 201)
     assert [r.job_id for r in relations.pending_jobs(frame, 5).collect()] == pending[:5]

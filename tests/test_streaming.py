@@ -1,6 +1,7 @@
 from conftest import rows
 from sitescope.checks.queries import AS_OF
 from sitescope.operators.detect import detect_marketing, detect_technologies
+from sitescope.operators.maintenance import stamped
 from sitescope.operators.projection import search_projection
 from sitescope.operators.seo_scan import seo_scan
 from sitescope.sources import bindings as B
@@ -46,9 +47,9 @@ def test_enrichment_equals_batch_and_survives_a_replay(spark, tmp_path, sf_dir):
     detected, profiles = detect_technologies(pages), seo_scan(pages)
     documents = search_projection(companies, domains, pages, detected, profiles, AS_OF)
     want = {
-        "technologies": detected,
-        "marketing": detect_marketing(pages),
-        "seo_profiles": profiles,
+        "technologies": stamped(detected, "detected_at", AS_OF),
+        "marketing": stamped(detect_marketing(pages), "detected_at", AS_OF),
+        "seo_profiles": stamped(profiles, "scanned_at", AS_OF),
         "documents": documents,
     }
     run("checkpoint")
