@@ -354,7 +354,7 @@ ORACLES["seo_profiles"] = (
     _with(
         CAPTURES,
         SEO,
-        "vitals as (select url, min(page_id) as n from captures where page_id % 2 = 0 group by url)",
+        "vitals as (select url, min(page_id) as n from captures where starts_with(url, 'https:') group by url)",
     )
     + """select company_id, url, score, grade, is_indexable, word_count, cast(n % 4000 as int) as cwv_lcp_ms,
  (n % 10 / 10)::double as cwv_cls, cast(n % 300 as int) as cwv_inp_ms from graded join homes using (page_id, company_id) left join vitals using (url)"""
@@ -444,8 +444,8 @@ ORACLES["search_total_filtered"] = _with(DOCS) + f"select count(*) as total from
 
 
 ORACLES["upsert_documents"] = _with(DOCS) + (
-    "select company_id, display_name, case when company_id % 5 = 0 or company_id % 6 = 0 then 99.0::double else seo_score end as seo_score, "
-    "case when company_id % 5 = 0 or company_id % 6 = 0 then ['Rescan'] else technologies end as technologies, has_ssl, indexed_at from docs"
+    "select company_id, display_name, case when industry = 'BUILDING' or size_bucket = '1-10' then 99.0::double else seo_score end as seo_score, "
+    "case when industry = 'BUILDING' or size_bucket = '1-10' then ['Rescan'] else technologies end as technologies, has_ssl, indexed_at from docs"
 )
 
 
@@ -498,7 +498,9 @@ ORACLES["company_listing"] = _with(
     MODEL, "listed as (select * from companies order by created_at desc, company_id desc limit 50 offset 50)"
 ) + f"select {_COMPANY}, {_DOMAIN} from listed left join domains using (company_id)"
 ORACLES["company_detail"] = M + f"select {_COMPANY}, {_DOMAIN} from companies left join domains using (company_id)"
-ORACLES["company_by_id"] = ORACLES["company_detail"] + " where company_id = 99"
+ORACLES["company_by_id"] = M + (
+    f"select {_COMPANY} from companies where company_id in (select user_id * 13 from events)"
+)
 ORACLES["companies_by_hostname"] = (
     M + "select hostname, company_id, display_name, domain_id from domains join companies using (company_id)"
 )
@@ -547,12 +549,12 @@ ORACLES["pending_jobs"] = M + "select * from jobs where status = 'pending' order
 ORACLES["job_detail"] = M + (
     "select job_id, status, page_no, url, page_type, http_status from jobs left join job_pages using (job_id)"
 )
-ORACLES["job_pages_in_order"] = M + "select job_id, page_no, url from job_pages where job_id = 77"
+ORACLES["job_pages_in_order"] = M + "select job_id, page_no, url from job_pages"
 ORACLES["pages_per_job"] = M + (
     "select job_id, any_value(status) as status, count(page_no) as pages_crawled from jobs left join job_pages using (job_id) group by job_id"
 )
 ORACLES["company_technology_list"] = M + "select * from detections left join catalog using (technology)"
-ORACLES["company_facts"] = M + "select * from detections where company_id = 42"
+ORACLES["company_facts"] = M + "select * from detections"
 ORACLES["company_seo"] = "select c_custkey as company_id, c_name as display_name, case when c_custkey % 10 <> 0 then ((c_custkey * 37) % 101)::double end as seo_score from customer"
 ORACLES["missing_companies"] = M + (
     "select distinct user_id * 13 as company_id from events where user_id * 13 not in (select company_id from companies)"
@@ -574,8 +576,8 @@ ORACLES["upsert_latest"] = """with r as (select o_custkey as company_id, o_total
 select company_id, score, scanned_at from r where rn = 1 union all
 select c_custkey, round(c_acctbal, 2), timestamp '1999-01-01 00:00:00' from customer where c_custkey not in (select o_custkey from orders)"""
 ORACLES["replace_for_company"] = M + (
-    "select company_id, technology, confidence from detections where company_id % 3 <> 0 union all "
-    "select company_id, 'Rescan', 0.5 from companies where company_id % 3 = 0 and company_id % 2 = 0"
+    "select company_id, technology, confidence from detections join companies using (company_id) where industry not in ('MACHINERY', 'BUILDING') union all "
+    "select company_id, 'Rescan', 0.5::double from companies where industry = 'BUILDING'"
 )
 ORACLES["update_domain_status"] = _with(
     MODEL,

@@ -375,7 +375,7 @@ def seo_profiles(spark: SparkSession, sf: str) -> DataFrame:
     """One profile per company, with page speeds joined in for a part of the URLs."""
     vitals = (
         B.captures(spark, sf)
-        .filter("page_id % 2 = 0")
+        .filter(F.col("url").startswith("https:"))
         .groupBy("url")
         .agg(F.min("page_id").alias("n"))
         .select(
@@ -428,10 +428,10 @@ def search_projection(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of some companies rescored and replaced, one new company added."""
-    stored = B.search_documents(spark, sf).filter("company_id % 6 <> 0")
+    stored = B.search_documents(spark, sf).filter("size_bucket <> '1-10'")
     fresh = (
         B.search_documents(spark, sf)
-        .filter("company_id % 5 = 0 or company_id % 6 = 0")
+        .filter("industry = 'BUILDING' or size_bucket = '1-10'")
         .withColumn("seo_score", F.lit(99.0))
         .withColumn("technologies", F.array(F.lit("Rescan")))
     )
@@ -465,7 +465,9 @@ def company_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def company_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.company_detail(B.companies(spark, sf), B.domains(spark, sf), 99)
+    """Companies that a stream of id lookups asks for."""
+    asked = B.table(spark, sf, "events").select((F.col("user_id") * 13).alias("company_id"))
+    return relations.companies_by_id(B.companies(spark, sf), asked)
 
 
 @query
@@ -574,8 +576,8 @@ def job_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def job_pages_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    pages = B.job_pages(spark, sf).filter("job_id = 77")
-    return pages.orderBy("page_no").select("job_id", "page_no", "url")
+    pages = B.job_pages(spark, sf).select("job_id", "page_no", "url")
+    return relations.facts_in_order(pages, "job_id", "page_no")
 
 
 @query
@@ -590,7 +592,7 @@ def company_technology_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def company_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.company_facts(B.company_technologies(spark, sf), 42, "technology")
+    return relations.facts_in_order(B.company_technologies(spark, sf), "company_id", "technology")
 
 
 @query
@@ -650,10 +652,10 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def replace_for_company(spark: SparkSession, sf: str) -> DataFrame:
-    """Detections of every third company replaced by one new row each, or none."""
+    """Detections of two industries replaced: by one new row each, or by none."""
     old = B.company_technologies(spark, sf)
-    keys = B.companies(spark, sf).select("company_id").filter("company_id % 3 = 0")
-    new = keys.filter("company_id % 2 = 0").select(
+    keys = B.companies(spark, sf).filter("industry in ('MACHINERY', 'BUILDING')")
+    new = keys.filter("industry = 'BUILDING'").select(
         "company_id", F.lit("Rescan").alias("technology"), F.lit(0.5).alias("confidence")
     )
     return maintenance.replace_for_keys(old, new, keys, "company_id")

@@ -119,8 +119,9 @@ class KeyedTable:
         return frame.withColumn("_bucket", F.pmod(F.xxhash64(self.key), self.buckets).cast("int"))
 
     def create(self) -> "KeyedTable":
-        empty = self.spark.createDataFrame([], self.schema)
-        empty.write.mode("append").parquet(self.path)
+        """Make the table if it does not exist; a table that does is left alone."""
+        empty = self._bucketed(self.spark.createDataFrame([], self.schema))
+        empty.write.mode("ignore").partitionBy("_bucket").parquet(self.path)
         return self
 
     def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:

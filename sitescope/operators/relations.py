@@ -57,8 +57,9 @@ def company_listing(
 ) -> DataFrame:
     """A page of companies, newest first, with their domains."""
     listed = _listed(companies, [F.desc("created_at"), F.desc("company_id")], page, page_size)
-    listed = F.broadcast(listed)  # one page
-    return listed.join(domains, "company_id", "left")
+    on_page = F.broadcast(listed.select("company_id"))  # one page of ids
+    mine = domains.join(on_page, "company_id", "left_semi")
+    return rows_with_parent(mine, listed, "company_id", "domain_id")
 
 
 def company_detail(companies: DataFrame, domains: DataFrame, company_id: int | None = None):
@@ -108,9 +109,18 @@ def with_catalog(company_technologies: DataFrame, technologies: DataFrame) -> Da
     return attach(company_technologies, dim, ["technology"], ["company_id"])
 
 
-def company_facts(facts: DataFrame, company_id: int, order: str) -> DataFrame:
-    """The rows of one company in their stored order."""
-    return facts.filter(F.col("company_id") == company_id).orderBy(order)
+def facts_in_order(
+    facts: DataFrame, key: str, order: str, value: int | None = None
+) -> DataFrame:
+    """Child rows in their stored order: of one parent, or of all, parent by parent."""
+    if value is not None:
+        facts = facts.filter(F.col(key) == value)
+    return facts.orderBy(key, order)
+
+
+def companies_by_id(companies: DataFrame, requested: DataFrame) -> DataFrame:
+    """The companies whose ids were asked for, each once however often it was."""
+    return companies.join(requested.select("company_id").distinct(), "company_id", "left_semi")
 
 
 def dashboard_kpis(companies: DataFrame, jobs: DataFrame, technologies: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitescope.functions.seo import seo_grade
 from sitescope.functions.urls import host_of, scheme_of
+from sitescope.operators.skew import attach
 from sitescope.sources.capture import page_records
 
 # Spliced before </head>, chosen by company.
@@ -158,7 +159,7 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per host: company_id, domain_id, host, is_primary = lowest domain id."""
     hosts = captures(spark, sf_dir).select("company_id", "domain_id", "host").distinct()
     first = hosts.groupBy("company_id").agg(F.min("domain_id").alias("first_domain"))
-    return hosts.join(first, "company_id").select(
+    return attach(hosts, first, ["company_id"], ["domain_id"], "inner").select(
         "company_id", "domain_id", "host", (F.col("domain_id") == F.col("first_domain")).alias("is_primary")
     )
 

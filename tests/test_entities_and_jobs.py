@@ -155,6 +155,8 @@ def test_listings(spark):
     assert detail.count() == 31
     assert sorted(r.url for r in relations.job_detail(frame, pages, 1).collect()) == ["u", "v"]
     assert [r.url for r in relations.job_detail(frame, pages, 2).collect()] == [None]
+    assert [r.url for r in relations.facts_in_order(pages, "job_id", "page_no", 1).collect()] == ["u", "v"]
+    assert [r.url for r in relations.facts_in_order(pages, "job_id", "page_no").collect()] == ["u", "v", "w", "orphan"]
     counts = {r.job_id: r.pages_crawled for r in relations.pages_per_job(frame, pages).collect()}
     assert (counts[1], counts[2], counts[3]) == (2, 0, 1)
 
