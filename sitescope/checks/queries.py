@@ -776,8 +776,14 @@ def _run_dir(spark: SparkSession, name: str) -> str:
 
 
 def _stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a stream; the pattern lets it be one file as well as a folder."""
-    return read_stream(spark, f"{sf}/{name}.parque[t]", B.table(spark, sf, name).schema)
+    """A table as a stream; the pattern lets it be one file as well as a folder.
+
+    The stream runs in a session of its own with one state partition per core: a
+    stream keeps that number for life, so it should follow the cluster.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return read_stream(own, f"{sf}/{name}.parque[t]", B.table(spark, sf, name).schema)
 
 
 @query

@@ -71,8 +71,12 @@ def start_job_state(
     def apply(batch: DataFrame, batch_id: int) -> None:
         key = list(store.key)
         prior = store.before(batch_id)
-        changed = fold_events(batch, key, prior).select(*key, *STATE_COLUMNS)
-        store.write(batch_id, changed, prior)
+        events = batch.persist()  # the fold reads it several times; without this, so would the state store
+        try:
+            changed = fold_events(events, key, prior).select(*key, *STATE_COLUMNS)
+            store.write(batch_id, changed, prior)
+        finally:
+            events.unpersist()
 
     return (
         once.writeStream.foreachBatch(apply)
