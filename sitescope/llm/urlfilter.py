@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Rows of the labelled table that are used at most, chosen by a hash of the url.
 MAX_LABELLED = 20_000
 FEATURES = 1 << 14
+#: The model blocks a url from this probability on.
+SURE = 0.7
 ALLOW, BLOCK = "allow", "block"
 
 #: The rules of the query: (verdict, host, start of the path).
@@ -69,8 +71,8 @@ def rule_of(name: Column, way: Column, rules=RULES) -> Column:
 
 
 def _grams(text: Column, mark: str, sizes=(3, 4, 5)) -> Column:
-    """The n-grams of ``text`` between border marks, each with the mark of its part."""
-    x = F.concat(F.lit("^"), text, F.lit("$"))
+    """The n-grams of ``text`` between border marks, each with the mark of its part; all digits count as one."""
+    x = F.concat(F.lit("^"), F.translate(text, "123456789", "000000000"), F.lit("$"))
 
     def of(n):
         places = F.sequence(F.lit(1), F.length(x) - n + 1)
@@ -107,7 +109,7 @@ def learn(labelled: DataFrame):
     seen = [r.verdict for r in rows.select("verdict").distinct().collect()]
     if len(seen) < 2:
         return seen[0] if seen else ALLOW
-    return LogisticRegression(maxIter=40, regParam=0.01, aggregationDepth=2).fit(_features(rows))
+    return LogisticRegression(maxIter=40, regParam=0.01, threshold=SURE).fit(_features(rows))
 
 
 def judge(pages: DataFrame, model, rules=RULES, url: str = "url") -> DataFrame:
