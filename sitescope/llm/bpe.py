@@ -28,7 +28,7 @@ from sitescope.llm.common import arrow_rows, widened
 #: A tokenizer file is broadcast; larger files are refused.
 MODEL_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Fixed value: the pre-tokenizer's pattern for byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -125,7 +125,7 @@ class Bpe:
                     key = before << 24 | t
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) >= 2_000_000:
+                        if len(fits) >= 1_000_000:
                             fits.clear()
                         ok = fits[key] = self.compatible(before, t)
                     if ok:

@@ -24,6 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Edges of a task while components are sought; few edges need no shuffle.
+EDGES = 100_000
+
+
 def widened(frame: DataFrame, **kinds: str) -> StructType:
     """The schema of ``frame`` with more columns; the frame's own is not touched."""
     out = StructType(list(frame.schema.fields))
@@ -42,15 +46,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star rounds in turn until the edges are a forest of stars
     that no round changes; each round is an aggregate and a join, and is written to
-    the shared folder. The driver sees one count and one checksum a round.
+    the shared folder. The driver sees one count and one checksum a round. The number of
+    tasks follows the number of edges, so small tables are not spread thin.
     No links give an empty table.
     """
     edges = checkpointed(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     )
-    seen = None
+    parts = 1 + edges.count() // EDGES
+    edges, seen = edges.coalesce(parts), None
     while True:
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
+        both = edges.union(edges.select(F.col("v"), F.col("u"))).coalesce(parts)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
@@ -60,8 +66,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .where("u != v")
+            .coalesce(parts)
             .distinct()
-        )
+        ).coalesce(parts)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
