@@ -1,13 +1,14 @@
 """The stages against plain code, one after the other."""
 
 import public_tokenizers
-from test_decontaminate import brute as windows
-from test_minhash import brute as groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sitescope.llm.common import read
 
+from .test_decontaminate import brute as windows
+from .test_minhash import brute as groups
+
 
 def test_stages(spark, tmp_path, texts):
     sf_dir = "/root/testdata/sf0.01"
