@@ -70,13 +70,31 @@ def _applied(value: Column, body: str) -> Column:
     return F.get(F.call_function("transform", F.array(value), lambda_), F.lit(0))
 
 
+def _map(values: dict[str, str]) -> str:
+    return f"from_json({sql_string(json.dumps(values))}, 'map<string,string>')"
+
+
 def _named_entities() -> str:
-    names = {name: chr(code) for name, code in html.entities.name2codepoint.items()}
-    names["apos"] = "'"
-    return f"from_json({sql_string(json.dumps(names))}, 'map<string,string>')"
+    return _map(html.entities.html5)
+
+
+def _numbered_exceptions() -> str:
+    """Code points whose references stand for something else: the Windows range, and what is no character."""
+    out = {str(c): "" for c in (*range(1, 9), 11, *range(14, 32), 127, *range(0xFDD0, 0xFDF0))}
+    out |= {str(plane * 0x10000 + c): "" for plane in range(17) for c in (0xFFFE, 0xFFFF)}
+    for c in range(128, 160):
+        try:
+            out[str(c)] = bytes([c]).decode("cp1252")
+        except UnicodeDecodeError:
+            out[str(c)] = chr(c)
+    return _map(out | {"0": "\ufffd"})
 
 
-_REFERENCE = sql_string(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);")
+#: A number of any length, a name with its semicolon, or one of the old names that need none.
+_OLD_NAMES = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_NUMBER = sql_string(r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?")
+_NAME = sql_string(r"^[A-Za-z][A-Za-z0-9]*;")
+_OLD_NAME = sql_string("^(?:" + "|".join(_OLD_NAMES) + ")")
 
 
 def _decoded(text: str) -> str:
@@ -85,13 +103,18 @@ def _decoded(text: str) -> str:
     The text is split at ``&``; a piece that starts with a known reference has it
     replaced, any other gets its ``&`` back. So each is decoded once, left to right.
     """
-    digits = "if(rlike(r, '^#[xX]'), conv(substring(r, 3), 16, 10), conv(substring(r, 2), 10, 10))"
+    bare = "regexp_replace(r, '^#[xX]?0*|;$', '')"
+    digits = f"if(length({bare}) > 7, '1114112', if(rlike(r, '^#[xX]'), conv({bare}, 16, 10), {bare}))"
     valid = "c between 1 and 55295 or c between 57344 and 1114111"
-    code = f"get(transform(array(cast({digits} as bigint)), c -> if({valid}, c, 65533)), 0)"
-    character = f"decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32')"
-    plain = f"if(startswith(r, '#'), {character}, element_at({_named_entities()}, r))"
-    piece = f"""if(i = 0, p, get(transform(array(regexp_extract(p, {_REFERENCE}, 1)),
-        r -> coalesce(concat({plain}, substring(p, length(r) + 2)), concat('&', p))), 0))"""
+    character = f"decode(unhex(lpad(hex(if({valid}, c, 65533)), 8, '0')), 'UTF-32')"
+    numbered = f"coalesce(element_at({_numbered_exceptions()}, cast(c as string)), {character})"
+    number = f"get(transform(array(cast(coalesce(nullif({digits}, ''), '0') as bigint)), c -> {numbered}), 0)"
+    name = f"regexp_extract(p, {_NAME}, 0)"
+    found = f"if(element_at({_named_entities()}, {name}) is not null, {name}, regexp_extract(p, {_OLD_NAME}, 0))"
+    reference = f"if(startswith(p, '#'), regexp_extract(p, {_NUMBER}, 0), {found})"
+    plain = f"if(startswith(r, '#'), {number}, element_at({_named_entities()}, r))"
+    piece = f"""if(i = 0, p, get(transform(array({reference}),
+        r -> if(r = '', concat('&', p), concat({plain}, substring(p, length(r) + 1)))), 0))"""
     joined = f"array_join(transform(split(t, '&', -1), (p, i) -> {piece}), '')"
     return f"get(transform(array({text}), t -> if(contains(t, '&'), {joined}, t)), 0)"
 

@@ -56,7 +56,7 @@ def cap_per_site(rows: DataFrame, site: str, order: str, limit: int = MAX_PAGES)
 
 
 def link_frontier(
-    homes: DataFrame, policies: DataFrame | None = None, max_pages: int = MAX_PAGES
+    homes: DataFrame, policies: DataFrame | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """Pages to fetch per site: the home page, then the first link of each target type.
 
@@ -98,4 +98,4 @@ def link_frontier(
         candidates = (
             gated.withColumn("_home_ok", home_ok).filter("allowed and _home_ok").drop("allowed", "_home_ok")
         )
-    return cap_per_site(candidates, "host", "pos", max_pages)
+    return candidates if max_pages is None else cap_per_site(candidates, "host", "pos", max_pages)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, MapType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, MapType, StructField, StructType
 
 from sitescope.operators.skew import attach
 
@@ -99,7 +99,8 @@ class KeyedTable:
     """A Parquet table in ``buckets`` hash partitions of a key.
 
     A change rewrites only the partitions its keys fall in, by dynamic partition
-    overwrite: Spark writes aside and swaps the partitions when the job commits.
+    overwrite: Spark writes aside and swaps the partitions when the job commits. Each of
+    them gets a marker row, so a bucket that ends up empty is overwritten too.
     """
 
     spark: SparkSession
@@ -111,9 +112,13 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._stored().drop("_bucket")
 
+    def _touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of some keys: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in self._bucketed(keys.select(self.key)).select("_bucket").distinct().collect())
+
     def _stored(self) -> DataFrame:
-        fields = [*self.schema.fields, StructField("_bucket", IntegerType())]
-        return self.spark.read.schema(StructType(fields)).parquet(self.path)
+        fields = [*self.schema.fields, StructField("_marker", BooleanType()), StructField("_bucket", IntegerType())]
+        return self.spark.read.schema(StructType(fields)).parquet(self.path).filter("_marker is null").drop("_marker")
 
     def _bucketed(self, frame: DataFrame) -> DataFrame:
         return frame.withColumn("_bucket", F.pmod(F.xxhash64(self.key), self.buckets).cast("int"))
@@ -126,9 +131,13 @@ class KeyedTable:
 
     def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
         """Apply ``change`` to the stored rows of the buckets that ``keys`` touch."""
-        touched = self._bucketed(keys.select(self.key)).select("_bucket").distinct()
-        old = self._stored().join(F.broadcast(touched), "_bucket", "left_semi").drop("_bucket")
+        touched = self._touched(keys)
+        old = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket")
         new = self._bucketed(change(old).select(*self.schema.fieldNames()))
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        marks = self.spark.createDataFrame([(n,) for n in touched], "_bucket int")
+        marks = marks.select(*empty, F.lit(True).alias("_marker"), "_bucket")
+        new = new.withColumn("_marker", F.lit(None).cast("boolean")).unionByName(marks)
         (
             new.hint("rebalance", "_bucket")  # few files per bucket, large buckets split
             .write.mode("overwrite")

@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from sitescope.functions import html as H
 from sitescope.functions.urls import page_type_of
 
-# Fixed value: most characters of a body that are kept.
-MAX_BODY_CHARACTERS = 2_000_000
 
-
-def page_records(captures: DataFrame) -> DataFrame:
+def page_records(captures: DataFrame, max_characters: int | None = None) -> DataFrame:
     """Normalised page records.
 
     ``captures``: url, status (NULL when the request failed), headers (map), body,
     and any key columns, which pass through. Header names become lower case (the
     last of equal names wins), the content type loses its parameters, and a body is
-    kept only when it is HTML. The title is read from successful HTML only.
+    kept only when it is HTML, whole unless ``max_characters`` is given. The title is read from successful HTML only.
     """
     own = {"url", "status", "headers", "body"}
     keys = [c for c in captures.columns if c not in own]
@@ -40,7 +37,7 @@ def page_records(captures: DataFrame) -> DataFrame:
         "_text",
         F.when(
             F.col("status").isNotNull() & F.col("content_type").startswith("text/html"),
-            F.substring("body", 1, MAX_BODY_CHARACTERS),
+            F.col("body") if max_characters is None else F.substring("body", 1, max_characters),
         ),
     )
     ok_html = F.col("status").between(200, 299) & F.col("content_type").startswith("text/html")

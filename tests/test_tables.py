@@ -60,6 +60,11 @@ def test_keyed_table_at_rest(spark, tmp_path):
         assert [r["tool"] for r in got if r["company_id"] in (1, 2)] == ["new", "newer"]
     table.upsert(spark.createDataFrame([(1, "one"), (77, "more")], schema), "tool")
     assert [r["tool"] for r in rows(table.read()) if r["company_id"] in (1, 77)] == ["one", "more"]
+    # Replaced by nothing: also where a key was the only one of its bucket.
+    table.replace(first.select("company_id"), first.limit(0))
+    assert [r["company_id"] for r in rows(table.read())] == [77]
+    table.replace(spark.createDataFrame([(77,)], "company_id long"), first.limit(0))
+    assert table.read().count() == 0
 
 
 def test_integrity_report(spark):
@@ -108,7 +113,7 @@ def test_captures_become_records(spark):
     captures = captures.withColumn("headers", F.when(F.col("page_id") == 1, twice).otherwise(F.col("headers")))
     got = {r.page_id: r for r in page_records(captures).collect()}
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-    assert (got[1].title, len(got[1].html), got[1].content_type, got[1].headers["x-a"]) == ("T", 2_000_000, "text/html", "2")
+    assert (got[1].title, len(got[1].html), got[1].content_type, got[1].headers["x-a"]) == ("T", len(long_body), "text/html", "2")
     assert (got[2].title, got[2].html, got[2].page_type, got[2].http_status) == (None, "<title>gone</title>", "contact", 404)
     assert (got[3].html, got[3].content_hash, got[3].content_type) == (None, empty, "application/pdf")
     assert (got[4].http_status, got[4].content_type, got[4].html) == (0, None, None)
