@@ -221,11 +221,11 @@ ORACLES["first_link_per_type"] = (
     _with(
         CAPTURES,
         LINKS,
-        f"t as (select {host('url')} as host, {page_type('url')} as page_type, page_id * 100000 + pos as pos, url from page_links)",
-        "r as (select *, row_number() over (partition by host, page_type order by pos, url) as rn from t "
+        f"t as (select {host('url')} as host, {page_type('url')} as page_type, page_id, pos, url from page_links)",
+        "r as (select *, row_number() over (partition by host, page_type order by page_id, pos, url) as rn from t "
         "where page_type not in ('home', 'other'))",
     )
-    + "select host, page_type, pos, url from r where rn = 1"
+    + "select host, page_type, page_id, pos, url from r where rn = 1"
 )
 
 
@@ -339,6 +339,7 @@ ORACLES["detect_marketing"] = (
     _with(_rules(marketing_rules()), CAPTURES, MATCHES)
     + "select company_id, ord, name as tool_name, category, arg_min(pattern, number) as evidence from hits join rules using (number) group by company_id, ord, name, category"
 )
+ORACLES["company_marketing"] = ORACLES["detect_marketing"]
 ORACLES["technology_catalog"] = """with known as (select p_brand, min(p_type) as category from part group by 1 having p_brand < 'Brand#20')
 select p_brand as technology, category, cast(null as varchar) as vendor from known
 union all select p_brand, upper(arg_min(p_name, p_partkey)), null from part where p_brand not in (select p_brand from known) group by p_brand"""
@@ -398,7 +399,7 @@ ORACLES["search_over_projection"] = _with(*_SITE) + (
 
 DOCS = """
 brands as (select o_custkey as k, list_sort(list_distinct(list(p_brand))) as techs from orders join lineitem on l_orderkey = o_orderkey
- join part on p_partkey = l_partkey where l_quantity >= 45 group by 1),
+ join part on p_partkey = l_partkey group by 1),
 flags as (select o_custkey as k, bool_or(o_orderpriority = '1-URGENT') as f1, bool_or(o_orderpriority = '2-HIGH') as f2,
  bool_or(o_orderpriority = '3-MEDIUM') as f3, bool_or(o_orderstatus = 'F') as f4, bool_or(o_orderstatus = 'P') as f5, max(o_orderdate) as last from orders group by 1),
 base as (select *, case when c_custkey % 10 <> 0 then ((c_custkey * 37) % 101)::double end as score from customer
@@ -443,6 +444,12 @@ ORACLES["search_far_page"] = _page("true", _BY_SCORE_UP, 25, 1000)
 ORACLES["search_total_filtered"] = _with(DOCS) + f"select count(*) as total from docs where {_FLAGSHIP}"
 
 
+ORACLES["search_suggest"] = _with(DOCS) + (
+    "select company_id, display_name from docs where starts_with(lower(display_name), 'customer#00000001') order by display_name, company_id limit 10"
+)
+ORACLES["technology_json"] = _with(DOCS) + (
+    "select company_id, technologies, '[' || array_to_string(list_transform(technologies, lambda t: '\"' || t || '\"'), ',') || ']' as text from docs"
+)
 ORACLES["upsert_documents"] = _with(DOCS) + (
     "select company_id, display_name, case when industry = 'BUILDING' or size_bucket = '1-10' then 99.0::double else seo_score end as seo_score, "
     "case when industry = 'BUILDING' or size_bucket = '1-10' then ['Rescan'] else technologies end as technologies, has_ssl, indexed_at from docs"
@@ -550,6 +557,10 @@ ORACLES["job_detail"] = M + (
     "select job_id, status, page_no, url, page_type, http_status from jobs left join job_pages using (job_id)"
 )
 ORACLES["job_pages_in_order"] = M + "select job_id, page_no, url from job_pages"
+ORACLES["domain_pages"] = M + "select domain_id, job_id, page_no, url from jobs join job_pages using (job_id)"
+ORACLES["company_pages"] = M + (
+    "select company_id, hostname, domain_id, job_id, page_no, url from domains join jobs using (domain_id) join job_pages using (job_id)"
+)
 ORACLES["pages_per_job"] = M + (
     "select job_id, any_value(status) as status, count(page_no) as pages_crawled from jobs left join job_pages using (job_id) group by job_id"
 )
@@ -587,6 +598,11 @@ ORACLES["update_domain_status"] = _with(
     "select d.domain_id, company_id, hostname, is_primary, coalesce(new_status, crawl_status) as crawl_status "
     "from domains d left join (select * from r where rn = 1) r using (domain_id)"
 )
+ORACLES["update_job_rows"] = M + (
+    "select j.job_id, domain_id, case when n is null then status else 'completed' end as status, coalesce(n, attempts) as attempts, "
+    "case when n is null then error end as error, created_at from jobs j left join "
+    "(select job_id as id, cast(count(*) as int) as n from job_pages group by 1 having max(http_status) = 200) d on d.id = j.job_id"
+)
 ORACLES["unknown_domains_in_jobs"] = M + (
     "select distinct domain_id from jobs where domain_id not in (select domain_id from domains)"
 )

@@ -30,10 +30,11 @@ from sitescope.plans.search import (
     facet_counts,
     search_items,
     search_total,
+    suggest,
 )
 from sitescope.session import shared_dir
 from sitescope.sources import bindings as B
-from sitescope.sources.files import read_headers, read_stream, write_headers
+from sitescope.sources.files import read_headers, read_list, read_stream, write_headers, write_list
 from sitescope.streaming.enrichment import EnrichmentStore, start_enrichment
 from sitescope.streaming.job_state import JobStateStore, job_states, start_job_state
 
@@ -124,6 +125,11 @@ def search_total_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search_total(B.search_documents(spark, sf), SPECS["search_page"])
 
 
+@query
+def search_suggest(spark: SparkSession, sf: str) -> DataFrame:
+    return suggest(B.search_documents(spark, sf), " Customer#00000001 ")
+
+
 @query
 def search_far_page(spark: SparkSession, sf: str) -> DataFrame:
     """The page that starts at the 1001st company, by the path for far pages."""
@@ -162,6 +168,14 @@ def header_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def technology_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Technology lists written as JSON text and read back."""
+    documents = B.search_documents(spark, sf).select("company_id", "technologies")
+    text = write_list(documents).withColumnRenamed("technologies", "text")
+    return read_list(text.withColumn("technologies", F.col("text")))
+
+
 def _raw_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Page URLs, some made dirty by their number."""
     url, n = F.col("url"), F.col("page_id")
@@ -225,8 +239,9 @@ def first_link_per_type(spark: SparkSession, sf: str) -> DataFrame:
     """First link of each type over the pages of a host, page by page."""
     pages = B.crawled_pages(spark, sf).select("page_id", "host", "html", "url")
     links = frontier.extract_links(pages).withColumn("host", U.host_of(F.col("url")))
-    placed = links.select("host", (F.col("page_id") * 100_000 + F.col("pos")).alias("pos"), "url")
-    return frontier.first_link_per_type(placed, "host")
+    placed = links.select("host", F.struct("page_id", "pos").alias("pos"), "url")
+    first = frontier.first_link_per_type(placed, "host")
+    return first.select("host", "page_type", "pos.page_id", "pos.pos", "url")
 
 
 def _homes(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +283,7 @@ def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def polite_schedule(spark: SparkSession, sf: str) -> DataFrame:
     urls = B.captures(spark, sf).select("page_id", "host", "url")
-    return robots.polite_schedule(urls, robots.robots_policies(B.robots(spark, sf)), block=64)
+    return robots.polite_schedule(urls, robots.robots_policies(B.robots(spark, sf)))
 
 
 # --- detection --------------------------------------------------------------
@@ -580,6 +595,20 @@ def job_pages_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return relations.facts_in_order(pages, "job_id", "page_no")
 
 
+@query
+def domain_pages(spark: SparkSession, sf: str) -> DataFrame:
+    found = relations.domain_pages(B.crawl_jobs(spark, sf), B.job_pages(spark, sf))
+    return found.select("domain_id", "job_id", "page_no", "url")
+
+
+@query
+def company_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by company over its domains; some pages belong to domains nobody owns."""
+    pages = relations.domain_pages(B.crawl_jobs(spark, sf), B.job_pages(spark, sf))
+    found = relations.company_pages(B.domains(spark, sf), pages)
+    return found.select("company_id", "hostname", "domain_id", "job_id", "page_no", "url")
+
+
 @query
 def pages_per_job(spark: SparkSession, sf: str) -> DataFrame:
     return relations.pages_per_job(B.crawl_jobs(spark, sf), B.job_pages(spark, sf))
@@ -595,6 +624,12 @@ def company_facts(spark: SparkSession, sf: str) -> DataFrame:
     return relations.facts_in_order(B.company_technologies(spark, sf), "company_id", "technology")
 
 
+@query
+def company_marketing(spark: SparkSession, sf: str) -> DataFrame:
+    """Marketing tools of every company in their stored order."""
+    return relations.facts_in_order(detect.detect_marketing(B.crawled_pages(spark, sf)), "company_id", "ord")
+
+
 @query
 def company_seo(spark: SparkSession, sf: str) -> DataFrame:
     """Companies with their stored score, and those that have none."""
@@ -674,6 +709,20 @@ def update_domain_status(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.update_in_place(B.domains(spark, sf), changes, "domain_id", ["crawl_status"])
 
 
+@query
+def update_job_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs whose pages all came back are completed, and their error is cleared."""
+    done = B.job_pages(spark, sf).groupBy("job_id").agg(
+        F.max("http_status").alias("worst"), F.count("*").cast("int").alias("attempts")
+    )
+    changes = done.filter("worst = 200").select(
+        "job_id", F.lit("completed").alias("status"), "attempts", F.lit(None).cast("string").alias("error")
+    )
+    return maintenance.update_in_place(
+        B.crawl_jobs(spark, sf), changes, "job_id", ["status", "attempts", "error"], null_clears=True
+    )
+
+
 @query
 def unknown_domains_in_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return maintenance.missing_keys(B.crawl_jobs(spark, sf), B.domains(spark, sf), "domain_id")
@@ -799,7 +848,7 @@ def stream_job_state(spark: SparkSession, sf: str) -> DataFrame:
 def stream_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     raw = _stream_of(spark, sf, "pages")
     run = _run_dir(spark, "enrichment")
-    store = EnrichmentStore(spark, f"{run}/tables", buckets=8)
+    store = EnrichmentStore(spark, f"{run}/tables")
     started = start_enrichment(
         B.captures_from(raw),
         store,

@@ -59,17 +59,21 @@ def replace_for_keys(
 
 
 def update_in_place(
-    existing: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]
+    existing: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], null_clears: bool = False
 ) -> DataFrame:
-    """New values where a change has them (NULL means unchanged); keys are unique."""
-    renamed = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """New values for the keys that have a change; keys are unique.
+
+    NULL in a change means unchanged, or clears the value with ``null_clears``.
+    """
+    renamed = changes.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+
+    def new(c: str):
+        if null_clears:
+            return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c))
+        return F.coalesce(f"_new_{c}", c)
+
     joined = existing.join(renamed, key, "left")
-    return joined.select(
-        *[
-            F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c)
-            for c in existing.columns
-        ]
-    )
+    return joined.select(*[new(c).alias(c) if c in columns else F.col(c) for c in existing.columns])
 
 
 def missing_keys(requested: DataFrame, existing: DataFrame, key: str) -> DataFrame:

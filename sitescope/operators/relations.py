@@ -98,6 +98,24 @@ def pages_per_job(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def domain_pages(jobs: DataFrame, pages: DataFrame, domain_id: int | None = None) -> DataFrame:
+    """Pages with the domain whose job recorded them: of one domain, or of all."""
+    if domain_id is not None:
+        jobs = jobs.filter(F.col("domain_id") == domain_id)
+    return pages.join(jobs.select("job_id", "domain_id"), "job_id")
+
+
+def company_pages(domains: DataFrame, pages: DataFrame, company_id: int | None = None) -> DataFrame:
+    """Pages, which know only their domain, with the company that owns it.
+
+    Pages of a domain that no company owns are left out; a domain with very many pages
+    is split by Spark's skew join.
+    """
+    if company_id is not None:
+        domains = domains.filter(F.col("company_id") == company_id)
+    return pages.join(domains.select("domain_id", "company_id", "hostname"), "domain_id")
+
+
 def catalog_page(technologies: DataFrame, page: int = 1, page_size: int = CATALOG_PAGE_SIZE):
     """A page of the technology catalog by name."""
     return _listed(technologies, [F.asc("technology")], page, page_size)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sitescope.functions.urls import (
     fragment_of,
-    host_of,
     query_of,
     raw_path_of,
     strip_ws,
@@ -16,15 +15,40 @@ from sitescope.functions.urls import (
 from sitescope.operators.skew import HOT_ROWS, attach, rank_within
 
 # The agent sent with each request, and the fixed pause where no rule gives one.
-USER_AGENT = "sitescope/0.1 (+https://example.local/bot)"
+USER_AGENT = "sitescope/0.1"
 DEFAULT_DELAY_SECONDS = 1.0
 
+# Where ``str.splitlines`` breaks a text.
+_LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
+_BEFORE_PATH = "^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)"
 _RULES = ("allow", "disallow", "crawl-delay", "request-rate")
 
 
 def _unquote(text: Column) -> Column:
-    """Percent-decoding that keeps ``+`` and leaves text with bad escapes as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    """Percent-decoding, escape by escape: ``+`` and a bad escape stay as they are."""
+    kept = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(kept), text)
+
+
+def _canonical(url: Column) -> Column:
+    """Path, parameters, query and fragment, without the signs of those that are empty."""
+    query, fragment = query_of(url), fragment_of(url)
+    return F.concat(
+        F.regexp_replace(raw_path_of(url), r"(?s)^((?:.*/)?[^/;]*);$", "$1"),
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    )
+
+
+def _cleaned(url: Column) -> Column:
+    """Without leading control characters and blanks, and without tabs and line breaks."""
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+
+def _rule_path(value: Column) -> Column:
+    """The path of a rule in the form that paths of URLs are compared in."""
+    url = _cleaned(value)
+    return F.concat(F.regexp_extract(url, _BEFORE_PATH, 1), _canonical(url))
 
 
 def robots_policies(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
@@ -38,7 +62,7 @@ def robots_policies(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFram
     agent = user_agent.split("/")[0].lower()
     lines = robots.select(
         "host",
-        F.posexplode(F.split(F.regexp_replace("txt", r"\r\n?", "\n"), "\n")).alias("line", "raw"),
+        F.posexplode(F.split("txt", _LINE_BREAK)).alias("line", "raw"),
     )
     text = strip_ws(F.regexp_replace("raw", "#.*$", ""))
     parsed = lines.select(
@@ -81,7 +105,7 @@ def robots_policies(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFram
                 F.collect_list(
                     F.when(
                         path_rule,
-                        F.struct("line", F.col("value").alias("path"), allowed.alias("allowed")),
+                        F.struct("line", _rule_path(F.col("value")).alias("path"), allowed.alias("allowed")),
                     )
                 )
             ).alias("rules"),
@@ -105,12 +129,7 @@ def robots_policies(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFram
 
 
 def _matched_path(url: Column) -> Column:
-    query, fragment = query_of(url), fragment_of(url)
-    whole = F.concat(
-        raw_path_of(url),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
-    )
+    whole = _canonical(_cleaned(url))
     return F.when(whole == "", "/").otherwise(whole)
 
 
@@ -147,7 +166,3 @@ def polite_schedule(
         delay.alias("delay_seconds"),
         ((F.col("turn") - 1) * delay).alias("start_seconds"),
     )
-
-
-def urls_with_host(urls: DataFrame) -> DataFrame:
-    return urls.withColumn("host", host_of(F.col("url")))

@@ -195,14 +195,10 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search documents over customers.
 
-    The technologies of a customer are the distinct brands of its large order
-    lines (there are few brands, so the list is short for any customer).
+    The technologies of a customer are the distinct brands of its order lines
+    (there are few brands, so the list is short for any customer).
     """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .filter("l_quantity >= 45")
-        .select("l_orderkey", "l_partkey")
-    )
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     brands = (

@@ -37,6 +37,16 @@ def write_headers(frame: DataFrame, column: str = "headers") -> DataFrame:
     return frame.withColumn(column, F.to_json(column))
 
 
+def write_list(frame: DataFrame, column: str = "technologies") -> DataFrame:
+    """A list of names becomes JSON text."""
+    return frame.withColumn(column, F.to_json(column))
+
+
+def read_list(frame: DataFrame, column: str = "technologies") -> DataFrame:
+    """A list kept as JSON text becomes an array."""
+    return frame.withColumn(column, F.from_json(column, "array<string>"))
+
+
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """Parquet files that arrive under a path, as a stream."""
     return spark.readStream.schema(schema).parquet(path)

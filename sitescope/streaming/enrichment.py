@@ -38,10 +38,10 @@ class EnrichmentStore:
     def pages_of(self, companies: DataFrame, schema) -> DataFrame:
         """All stored pages of some companies; other buckets are not read."""
         bucket = F.pmod(F.xxhash64("company_id"), self.buckets).cast("int")
-        buckets = companies.select(bucket.alias("_bucket")).distinct()  # at most `buckets` rows
+        touched = [r[0] for r in companies.select(bucket).distinct().collect()]  # at most `buckets` numbers
         stored = self.spark.read.schema(schema).parquet(f"{self.path}/pages")
         return (
-            stored.join(F.broadcast(buckets), "_bucket", "left_semi")
+            stored.filter(F.col("_bucket").isin(touched))
             .join(companies, "company_id", "left_semi")
             .drop("_bucket", "batch")
         )

@@ -7,79 +7,81 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from sitescope.operators.jobs import STATE_COLUMNS, fold_events
-from sitescope.operators.maintenance import upsert_latest
 
 STATE_TYPES = (
     "state string, attempts int, pages_crawled int, started_at timestamp_ntz, "
     "finished_at timestamp_ntz, illegal long, events long"
 )
+EVENT_TYPES = "ts timestamp_ntz, event_id long, step string, pages int"
 
 
 @dataclass(frozen=True)
 class JobStateStore:
-    """States as Parquet, one folder per micro-batch.
+    """Two Parquet tables by bucket of the job: the events as they came, and the states.
 
-    A batch writes the states it changed; every ``full_every``-th batch writes all
-    of them, so a reader needs only the last full folder and those after it. A
-    replayed batch starts from the same earlier folders and overwrites its own.
+    A micro-batch adds its events and recomputes the jobs they belong to from all of
+    their events, so the states equal a fold over everything that has arrived, however
+    the events were ordered, split or repeated, and however late one is. Both writes replace
+    partitions, hence a replayed batch leaves the same tables.
     """
 
     spark: SparkSession
     path: str
     key: tuple[str, ...]
     key_types: str
-    full_every: int = 20
-
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/batch-{batch:09d}"
-
-    def before(self, batch: int) -> DataFrame:
-        """States after all batches below ``batch``."""
-        start = max(0, batch // self.full_every * self.full_every - 1)
-        schema = f"{self.key_types}, {STATE_TYPES}, batch long"
-        folders = [self._folder(b) for b in range(start, batch)]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(schema).parquet(*folders)
-        return upsert_latest(stored.limit(0), stored, self.key, "batch")
-
-    def write(self, batch: int, changed: DataFrame, prior: DataFrame) -> None:
-        rows = changed.withColumn("batch", F.lit(batch).cast("long"))
-        if (batch + 1) % self.full_every == 0:
-            rows = prior.join(changed.select(*self.key), list(self.key), "left_anti").unionByName(rows)
-        rows.write.mode("overwrite").parquet(self._folder(batch))
-
-
-def start_job_state(
-    events: DataFrame, store: JobStateStore, checkpoint: str, lateness: str = "1 day"
-) -> StreamingQuery:
-    """Fold a stream of job events into ``store``, everything available, then stop.
-
-    Events delivered again within ``lateness`` are dropped by id in Spark's state
-    store, which is spread by event, not by job. Each micro-batch is folded with
-    plain aggregates, so a job with a flood of events does not tie up one task.
-    """
-    once = (
-        events.withColumn("_time", F.col("ts").cast("timestamp"))
-        .withWatermark("_time", lateness)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .drop("_time")
-    )
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        key = list(store.key)
-        prior = store.before(batch_id)
-        events = batch.persist()  # the fold reads it several times; without this, so would the state store
+    buckets: int = 64
+
+    def bucketed(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), self.buckets).cast("int"))
+
+    def _write(self, frame: DataFrame, name: str, *by: str) -> None:
+        (
+            frame.hint("rebalance", "_bucket")  # few files per bucket, large buckets split
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_bucket", *by)
+            .parquet(f"{self.path}/{name}")
+        )
+
+    def _read(self, name: str, types: str) -> DataFrame:
+        schema = StructType.fromDDL(f"{self.key_types}, {types}, _bucket int")
+        empty = self.spark.createDataFrame([], schema)
+        empty.write.mode("ignore").partitionBy("_bucket").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def states(self) -> DataFrame:
+        return self._read("states", STATE_TYPES).drop("_bucket")
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Take in the events of a micro-batch."""
+        key = list(self.key)
+        fresh = self.bucketed(batch.select(*key, "ts", "event_id", "step", "pages"))
+        self._write(fresh.withColumn("_batch", F.lit(number)), "events", "_batch")
+        jobs = fresh.select(*key, "_bucket").distinct()
+        touched = [r[0] for r in jobs.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        in_touched = F.col("_bucket").isin(touched)
+        stored = self._read("events", f"{EVENT_TYPES}, _batch int").filter(in_touched)
+        events = stored.join(jobs.drop("_bucket"), key, "left_semi").dropDuplicates(["event_id"])
+        changed = self.bucketed(fold_events(events, key).select(*key, *STATE_COLUMNS))
+        others = self._read("states", STATE_TYPES).filter(in_touched).join(jobs.drop("_bucket"), key, "left_anti")
+        self._write(others.unionByName(changed), "states")
+
+
+def start_job_state(events: DataFrame, store: JobStateStore, checkpoint: str) -> StreamingQuery:
+    """Fold a stream of job events into ``store``, everything available, then stop."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        held = batch.persist()  # read for the events, the jobs and the buckets
         try:
-            changed = fold_events(events, key, prior).select(*key, *STATE_COLUMNS)
-            store.write(batch_id, changed, prior)
+            store.apply(held, number)
         finally:
-            events.unpersist()
+            held.unpersist()
 
     return (
-        once.writeStream.foreachBatch(apply)
+        events.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -89,6 +91,4 @@ def start_job_state(
 def job_states(store: JobStateStore, query: StreamingQuery) -> DataFrame:
     """All states once the query has ended."""
     query.awaitTermination()
-    last = query.lastProgress
-    done = last["batchId"] + 1 if last and last["batchId"] >= 0 else 0
-    return store.before(done).drop("batch")
+    return store.states()

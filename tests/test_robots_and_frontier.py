@@ -17,8 +17,14 @@ FILES = {
     "escaped": "user-agent : *\r\ndisallow : /caf%C3%A9\r\nDisallow: /a+b\r\n",
     "token": "User-agent: scope\nDisallow: /t\n",
     "blank": "",
+    "empty-query": "User-agent: *\nDisallow: /search?\nDisallow: /*?\n",
+    "empty-params": "User-agent: *\nDisallow: /s;\nDisallow: /t/a;;\n",
+    "bad-escape": "User-agent: *\nDisallow: /bad%20b\nDisallow: /e%3F\nDisallow: /h%23\n",
+    "breaks": "User-agent: *\x0bDisallow: /v\x85Disallow: /w\u2028Disallow: /y\x1eAllow: /z",
+    "only-sign": "User-agent: *\nAllow: /a\nDisallow: ?\n",
+    "other-host": "User-agent: *\nDisallow: http://else.example/a\nDisallow: /b\n",
 }
-PATHS = ["", "/", "/private/data", "/privat", "/a", "/a/b/c", "/a/c", "/x", "/x/y", "/y", "/z", "/one", "/two", "/q?x=1&y", "/caf%C3%A9/x", "/a+b", "/t", "/p#/x"]
+PATHS = ["", "/", "/private/data", "/privat", "/a", "/a/b/c", "/a/c", "/x", "/x/y", "/y", "/z", "/one", "/two", "/q?x=1&y", "/caf%C3%A9/x", "/a+b", "/t", "/p#/x", "/search/abc", "/*x", "/sb", "/t/a", "/t/a;;b", "/bad%20b%zz", "/e", "/h/x", "/v", "/w", "/b?", "/s;p?q"]
 
 
 def policies(spark):
