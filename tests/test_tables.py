@@ -4,9 +4,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from sitescope.operators import maintenance as M
 from sitescope.operators import projection, quality
-from sitescope.plans.search import Filter, SearchSpec, search
+from sitescope.plans.search import Filter, SearchSpec, search, suggest
 from sitescope.sources.capture import page_records
-from sitescope.sources.demo import demo_tables
 from sitescope.sources.files import read_headers, write_headers, write_pages, write_projection
 
 
@@ -129,34 +128,66 @@ def test_first_domain_becomes_primary(spark):
     assert got == {1: "h3", 2: "h11", 3: "h1"}
 
 
-def test_demo_flow_from_tables_to_search(spark, tmp_path):
-    t = demo_tables(spark)
+def small_site(spark):
+    """Three companies: one with two tools, one with one, one with nothing but a name."""
+    pages = [
+        (1, 10, 100, "https://kiln.example/", "home", 200, "<title>Kiln</title>"),
+        (1, 10, 101, "https://kiln.example/contact", "contact", 200, "<p>x</p>"),
+        (2, 20, 200, "https://loom.example/", "home", 200, "<title>Loom</title>"),
+        (2, 20, 201, "https://loom.example/news", "blog", 200, None),
+    ]
+    names = "company_id long, domain_id long, page_id long, url string, page_type string, http_status int, html string"
+    return {
+        "companies": spark.createDataFrame(
+            [(1, "Kiln Pottery", "Crafts", "1-10"), (2, "Loom Weavers", "Crafts", "11-50"), (3, "Mill", None, None)],
+            "company_id long, display_name string, industry string, size_bucket string",
+        ),
+        "domains": spark.createDataFrame(
+            [(10, 1, "kiln.example", True), (20, 2, "loom.example", True)],
+            "domain_id long, company_id long, hostname string, is_primary boolean",
+        ),
+        "pages": spark.createDataFrame(pages, names),
+        "technologies": spark.createDataFrame(
+            [(1, 1, "Shopify"), (1, 0, "WordPress"), (2, 0, "WordPress")], "company_id long, ord int, technology string"
+        ),
+        "seo_profiles": spark.createDataFrame([(1, True, 95.0), (2, False, 41.5)], "company_id long, has_ssl boolean, score double"),
+    }
+
+
+def test_flow_from_tables_to_search(spark, tmp_path):
+    t = small_site(spark)
     built = projection.search_projection(t["companies"], t["domains"], t["pages"], t["technologies"], t["seo_profiles"], "2024-01-01 00:00:00")
     write_projection(built, str(tmp_path / "docs"))
     documents = spark.read.parquet(str(tmp_path / "docs"))
-    assert rows(documents) == rows(built) and documents.count() == 6
-    acme = documents.filter("company_id = 1").first()
-    assert acme.technologies == ["WordPress", "Meta Pixel", "Google Analytics 4"]
-    assert acme.text_blob == "acme dental dentistry wordpress meta pixel google analytics 4"
-    assert (acme.seo_grade, acme.has_contact_page, acme.has_careers_page, acme.has_blog) == ("D", True, True, False)
-    spec = SearchSpec(
-        filters=(Filter("technology", "contains", ("wordpress",)), Filter("has_contact_page", "is_true")),
-        facets=("industry",),
-    )
+    assert rows(documents) == rows(built) and documents.count() == 3
+    kiln = documents.filter("company_id = 1").first()
+    assert kiln.technologies == ["WordPress", "Shopify"]
+    assert kiln.text_blob == "kiln pottery crafts wordpress shopify"
+    assert (kiln.seo_grade, kiln.has_ssl, kiln.has_contact_page, kiln.has_blog) == ("A", True, True, False)
+    spec = SearchSpec(filters=(Filter("technology", "contains", ("wordpress",)),), facets=("industry", "technology"))
     result = search(documents, spec)
-    assert [r.display_name for r in result.items.collect()] == ["BrightSmile Orthodontics", "GreenLeaf Cafe", "Acme Dental"]
-    assert [(r.value, r["count"]) for r in result.facets.collect()] == [("Dentistry", 2), ("Hospitality", 1)]
+    assert [r.display_name for r in result.items.collect()] == ["Kiln Pottery", "Loom Weavers"]
+    assert {(r.value, r["count"]) for r in result.facets.collect()} == {("Crafts", 2), ("WordPress", 2), ("Shopify", 1)}
+    assert [r.display_name for r in suggest(documents, " lo").collect()] == ["Loom Weavers"]
+
+
+def test_update_in_place_keeps_or_clears(spark):
+    old = spark.createDataFrame([(1, "failed", "late"), (2, "failed", "late")], "job_id long, status string, error string")
+    new = spark.createDataFrame([(1, "completed", None)], "job_id long, status string, error string")
+    got = lambda **how: [tuple(r.values()) for r in rows(M.update_in_place(old, new, "job_id", ["status", "error"], **how))]
+    assert got() == [(1, "completed", "late"), (2, "failed", "late")]
+    assert got(null_clears=True) == [(1, "completed", None), (2, "failed", "late")]
 
 
 def test_company_without_anything_still_gets_a_document(spark):
-    t = {k: v.limit(0) for k, v in demo_tables(spark).items()}
+    t = {k: v.limit(0) for k, v in small_site(spark).items()}
     lone = spark.createDataFrame([(9, "Lone", None, None)], "company_id long, display_name string, industry string, size_bucket string")
     doc = projection.search_projection(lone, t["domains"], t["pages"], t["technologies"], t["seo_profiles"]).first()
     assert (doc.technologies, doc.has_ssl, doc.seo_grade, doc.text_blob, doc.primary_domain) == ([], False, None, "lone", None)
 
 
 def test_page_and_header_files(spark, tmp_path):
-    pages = demo_tables(spark)["pages"].withColumn("fetched_at", F.lit("2024-02-03 10:00:00").cast("timestamp"))
+    pages = small_site(spark)["pages"].withColumn("fetched_at", F.lit("2024-02-03 10:00:00").cast("timestamp"))
     write_pages(pages, str(tmp_path / "pages"))
     back = spark.read.parquet(str(tmp_path / "pages")).filter("fetched_on = date'2024-02-03'")
     assert back.count() == pages.count()
