@@ -339,6 +339,18 @@ ORACLES["detect_marketing"] = (
     _with(_rules(marketing_rules()), CAPTURES, MATCHES)
     + "select company_id, ord, name as tool_name, category, arg_min(pattern, number) as evidence from hits join rules using (number) group by company_id, ord, name, category"
 )
+ORACLES["detect_custom_marketing"] = (
+    _with(
+        r"""rules(number, ord, name, category, kind, header, conf, pattern, evidence, versioned) as (values
+ (0, 0, 'Tracker', 'Custom', 'html', '', 0.5::double, 'track\(\d+\)', '', false),
+ (1, 1, 'Calendar', 'Custom', 'html', '', 0.5::double, 'calendly\.com/x', '', false),
+ (2, 1, 'Calendar', 'Custom', 'html', '', 0.5::double, 'calendly', '', false),
+ (3, 2, 'Nothing', 'Custom', 'html', '', 0.5::double, 'no such text', '', false))""",
+        CAPTURES,
+        MATCHES,
+    )
+    + "select company_id, ord, name as tool_name, category, arg_min(pattern, number) as evidence from hits join rules using (number) group by company_id, ord, name, category"
+)
 ORACLES["company_marketing"] = ORACLES["detect_marketing"]
 ORACLES["technology_catalog"] = """with known as (select p_brand, min(p_type) as category from part group by 1 having p_brand < 'Brand#20')
 select p_brand as technology, category, cast(null as varchar) as vendor from known
@@ -637,6 +649,15 @@ ORACLES["integrity_summary"] = _with(MODEL, DAMAGED) + (
     "select rule, count(*) as violations, cast(sum(rows) as bigint) as rows from report group by 1"
 )
 
+ORACLES["crawl_orphans"] = _with(_rules(marketing_rules()), CAPTURES, MATCHES, MODEL) + (
+    "select 'job_without_domain' as rule, cast(domain_id as varchar) as key, count(*) as rows from jobs "
+    "where domain_id not in (select domain_id from domains) group by domain_id "
+    "union all select 'page_without_job', cast(job_id as varchar), count(*) from job_pages "
+    "where job_id not in (select job_id from jobs where job_id % 50 <> 1) group by job_id "
+    "union all select 'tool_without_company', cast(company_id as varchar), count(distinct ord) from hits join rules using (number) "
+    "where company_id % 4 = 0 group by company_id"
+)
+
 # --- job lifecycle: an ordered walk, event by event -------------------------
 
 ORACLES["job_fold"] = """with recursive ev as (select user_id, cast(ts as date) as day, ts, event_id, event_id % 9 - 1 as pages,

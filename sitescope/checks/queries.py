@@ -32,7 +32,7 @@ from sitescope.plans.search import (
     search_total,
     suggest,
 )
-from sitescope.session import shared_dir
+from sitescope.session import checkpointed, shared_dir
 from sitescope.sources import bindings as B
 from sitescope.sources.files import read_headers, read_list, read_stream, write_headers, write_list
 from sitescope.streaming.enrichment import EnrichmentStore, start_enrichment
@@ -245,22 +245,20 @@ def first_link_per_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _homes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first page with HTML of every host stands in for its home page."""
+    """Pages with HTML; the first one of every host stands in for its home page."""
     pages = B.crawled_pages(spark, sf)
-    with_html = pages.filter("http_status > 0 and content_type = 'text/html'")
-    first = with_html.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    return pages.select("page_id", "html").join(first, "page_id").select("host", "html")
+    return pages.filter("http_status > 0 and content_type = 'text/html'").select("host", "page_id", "html")
 
 
 @query
 def link_frontier(spark: SparkSession, sf: str) -> DataFrame:
     policies = robots.robots_policies(B.robots(spark, sf))
-    return frontier.link_frontier(_homes(spark, sf), policies)
+    return frontier.link_frontier(_homes(spark, sf), policies, order="page_id")
 
 
 @query
 def link_frontier_capped(spark: SparkSession, sf: str) -> DataFrame:
-    return frontier.link_frontier(_homes(spark, sf), None, max_pages=2)
+    return frontier.link_frontier(_homes(spark, sf), None, max_pages=2, order="page_id")
 
 
 @query
@@ -277,7 +275,7 @@ def robots_policies(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def robots_gate(spark: SparkSession, sf: str) -> DataFrame:
     urls = B.captures(spark, sf).select("page_id", "host", "url")
-    return robots.robots_gate(urls, robots.robots_policies(B.robots(spark, sf)), "page_id")
+    return robots.robots_gate(urls, robots.robots_policies(B.robots(spark, sf)))
 
 
 @query
@@ -341,6 +339,20 @@ def detect_custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     return detect.detect_technologies(B.crawled_pages(spark, sf), rules)
 
 
+@query
+def detect_custom_marketing(spark: SparkSession, sf: str) -> DataFrame:
+    """Replaced marketing rule set."""
+    rules = detect.marketing_rules(
+        r"""
+        Tracker | Custom | track\(\d+\)
+        Calendar | Custom | calendly\.com/x
+        Calendar | Custom | calendly
+        Nothing | Custom | no such text
+        """
+    )
+    return detect.detect_marketing(B.crawled_pages(spark, sf), rules)
+
+
 @query
 def detected_companies_by_technology(spark: SparkSession, sf: str) -> DataFrame:
     return detect.companies_by_technology(detect.detect_technologies(B.crawled_pages(spark, sf)))
@@ -424,13 +436,13 @@ def primary_domains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _site_documents(spark: SparkSession, sf: str) -> DataFrame:
-    pages = B.crawled_pages(spark, sf)
+    facts = checkpointed(projection.page_facts(B.crawled_pages(spark, sf)))
     return projection.search_projection(
         B.site_companies(spark, sf),
         B.site_domains(spark, sf),
-        pages,
-        detect.detect_technologies(pages),
-        seo_scan.seo_scan(pages),
+        facts,
+        detect.technologies_of(facts),
+        seo_scan.profiles_of(facts),
         AS_OF,
     )
 
@@ -778,6 +790,20 @@ def integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     return report
 
 
+@query
+def crawl_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs of unknown domains, pages of jobs that are gone, tools of companies that are gone."""
+    jobs_, companies = B.crawl_jobs(spark, sf), B.site_companies(spark, sf)
+    return quality.crawl_orphans(
+        jobs_,
+        B.domains(spark, sf),
+        B.job_pages(spark, sf),
+        jobs_.filter("job_id % 50 <> 1"),
+        detect.detect_marketing(B.crawled_pages(spark, sf)),
+        companies.filter("company_id % 4 <> 0"),
+    )
+
+
 @query
 def integrity_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality.summary(integrity_report(spark, sf))

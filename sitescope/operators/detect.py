@@ -172,19 +172,21 @@ def _header_value(name: str) -> Column:
     return F.get(same, F.lit(0))["value"]
 
 
-def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
-    """company_id, number, version over all three kinds of pattern.
+def _header_slots(rules: Sequence[RulePattern]) -> dict[str, int]:
+    """Slots of the headers some rule asks for, after those of the patterns and the generator."""
+    headers = sorted({r.header for r in rules if r.kind == HEADER})
+    return {h: len(rules) + 1 + i for i, h in enumerate(headers)}
+
+
+def with_hits(pages: DataFrame, rules: Sequence[RulePattern] | None = None) -> DataFrame:
+    """Adds what a rule set finds on a page: ``has_text`` and ``hits``.
 
-    Pages are read once: their HTML hits, generator and the headers some rule asks
-    for travel together as (slot, value), and the first page of a company wins per
-    slot. Slots below ``len(rules)`` are pattern numbers.
+    The HTML hits, the generator and the headers some rule asks for travel together as
+    (number, version), where numbers below ``len(rules)`` are those of patterns. Row-local.
     """
-    numbered = list(enumerate(rules))
-    by_html = [(n, r) for n, r in numbered if r.kind == HTML]
-    by_generator = [(n, r) for n, r in numbered if r.kind == GENERATOR]
-    by_header = [(n, r) for n, r in numbered if r.kind == HEADER]
-    generator_slot = len(numbered)
-    slots = {h: generator_slot + 1 + i for i, h in enumerate(sorted({r.header for _, r in by_header}))}
+    rules = technology_rules() if rules is None else tuple(rules)
+    by_generator = any(r.kind == GENERATOR for r in rules)
+    generator_slot, slots = len(rules), _header_slots(rules)
 
     def slot(number: int, value: Column) -> Column:
         return F.struct(F.lit(number).alias("number"), value.alias("version"))
@@ -193,12 +195,26 @@ def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFram
     if by_generator:
         named = F.when(F.expr(_may_match(GENERATOR_PATTERN)), _generator())
         extra.append(F.when(named != "", slot(generator_slot, named)))
-    signals = F.coalesce(_html_hits(rules), F.array().cast("array<struct<number:int,version:string>>"))
+    hits = F.coalesce(_html_hits(rules), F.array().cast("array<struct<number:int,version:string>>"))
     if extra:
-        signals = F.concat(signals, F.array_compact(F.array(*extra)))
+        hits = F.concat(hits, F.array_compact(F.array(*extra)))
+    has_text = F.coalesce(F.col("html") != "", F.lit(False))
+    return _with_lower(pages).select(*pages.columns, has_text.alias("has_text"), hits.alias("hits"))
+
+
+def _company_matches(found: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
+    """company_id, number, version over all three kinds of pattern.
+
+    ``found`` are narrow rows of ``with_hits``; the first page of a company wins per slot.
+    """
+    numbered = list(enumerate(rules))
+    by_html = [(n, r) for n, r in numbered if r.kind == HTML]
+    by_generator = [(n, r) for n, r in numbered if r.kind == GENERATOR]
+    by_header = [(n, r) for n, r in numbered if r.kind == HEADER]
+    generator_slot, slots = len(rules), _header_slots(rules)
+    # Not inline("hits"): for a plain column Spark adds tests of it, which repeat all patterns.
     first = (
-        _with_lower(pages)
-        .select("company_id", "domain_id", "page_id", F.inline(signals))
+        found.select("company_id", "domain_id", "page_id", F.inline(F.array_compact("hits")))
         .groupBy("company_id", "number")
         .agg(_first_page("version").alias("version"))
     )
@@ -210,16 +226,17 @@ def _company_matches(pages: DataFrame, rules: Sequence[RulePattern]) -> DataFram
         hits = hits.when(
             number > generator_slot, _hits("version", by_header, lambda r: f"number = {slots[r.header]}")
         )
-    found = first.select("company_id", F.inline(hits))
+    matches = first.select("company_id", F.inline(hits))
 
     on_empty = _matches_nothing(by_html)
     if on_empty:
-        with_text = pages.filter(F.col("html") != "").select("company_id")
-        found = found.unionByName(_empty_text_hits(pages, with_text, on_empty))
+        with_text = found.filter("has_text").select("company_id")
+        matches = matches.unionByName(_empty_text_hits(found, with_text, on_empty))
     on_empty = _matches_nothing(by_generator)
     if on_empty:
-        found = found.unionByName(_empty_text_hits(pages, generators(pages), on_empty))
-    return found
+        named = found.filter(F.exists("hits", lambda h: h["number"] == generator_slot))
+        matches = matches.unionByName(_empty_text_hits(found, named.select("company_id"), on_empty))
+    return matches
 
 
 def detect_technologies(
@@ -231,13 +248,18 @@ def detect_technologies(
     page ids give the page order. The strongest pattern wins, the earlier one on a
     tie; the version comes from the first pattern that captured one.
     """
+    return technologies_of(with_hits(pages, rules).drop("html", "headers"), rules)
+
+
+def technologies_of(found: DataFrame, rules: Sequence[RulePattern] | None = None) -> DataFrame:
+    """``detect_technologies`` from rows that ``with_hits`` made, without their HTML."""
     rules = technology_rules() if rules is None else tuple(rules)
     number = F.col("number")
 
     def of(values: Sequence, kind: str) -> Column:
         return F.element_at(_literal_array(values, kind), number + 1)
 
-    scored = _company_matches(pages, rules).select(
+    scored = _company_matches(found, rules).select(
         "company_id",
         "version",
         number,

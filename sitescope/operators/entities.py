@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions.urls import normalize_hostname, strip_ws
-from sitescope.operators.skew import attach
 from sitescope.session import checkpointed
 
 
@@ -63,7 +62,7 @@ def _claims(checked: DataFrame) -> DataFrame:
 def owned_elsewhere(claims: DataFrame, existing_domains: DataFrame) -> DataFrame:
     """Requests that claim a hostname some company already owns."""
     owned = existing_domains.select("hostname", F.lit(True).alias("_owned"))
-    hit = attach(claims, owned, ["hostname"], ["request_id"], "inner")
+    hit = claims.join(owned, "hostname")
     return hit.groupBy("request_id").agg(F.min_by("hostname", "pos").alias("hostname"))
 
 
@@ -79,7 +78,7 @@ def first_come(claims: DataFrame) -> DataFrame:
     open_ = claims.select("request_id", "hostname")
     while True:
         first = open_.groupBy("hostname").agg(F.min("request_id").alias("_first"))
-        placed = attach(open_, first, ["hostname"], ["request_id"])
+        placed = open_.join(first, "hostname")
         wins = checkpointed(
             placed.groupBy("request_id")
             .agg(F.bool_and(F.col("request_id") == F.col("_first")).alias("_wins"))
@@ -89,7 +88,7 @@ def first_come(claims: DataFrame) -> DataFrame:
         accepted = wins if accepted is None else accepted.unionByName(wins)
         taken = open_.join(wins, "request_id", "left_semi").select("hostname")
         taken = taken.distinct().withColumn("_taken", F.lit(True))
-        settled = attach(open_, taken, ["hostname"], ["request_id"], "inner").select("request_id")
+        settled = open_.join(taken, "hostname").select("request_id")
         open_ = checkpointed(open_.join(settled.distinct(), "request_id", "left_anti"))
         if open_.isEmpty():
             return accepted
@@ -132,7 +131,7 @@ def companies_by_hostname(
     hosts = domains.select("hostname", "company_id", "domain_id")
     if hostname is not None:
         hosts = hosts.filter(F.col("hostname") == hostname.lower())
-    return attach(hosts, companies, ["company_id"], ["domain_id"], "inner")
+    return hosts.join(companies, "company_id")
 
 
 def request_crawls(requests: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +145,7 @@ def request_crawls(requests: DataFrame, domains: DataFrame) -> tuple[DataFrame,
         F.col("hostname").alias("requested"),
         normalize_hostname(F.col("hostname")).alias("hostname"),
     )
-    placed = attach(named, domains.select("hostname", "domain_id"), ["hostname"], ["request_id"])
+    placed = named.join(domains.select("hostname", "domain_id"), "hostname", "left")
     jobs = placed.filter("domain_id is not null").select(
         F.col("request_id").alias("job_id"),
         "domain_id",

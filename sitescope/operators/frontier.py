@@ -56,17 +56,23 @@ def cap_per_site(rows: DataFrame, site: str, order: str, limit: int = MAX_PAGES)
 
 
 def link_frontier(
-    homes: DataFrame, policies: DataFrame | None = None, max_pages: int | None = None
+    homes: DataFrame,
+    policies: DataFrame | None = None,
+    max_pages: int | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Pages to fetch per site: the home page, then the first link of each target type.
 
-    ``homes``: host, html (one home page per host). Types are taken in the order
+    ``homes``: host, html (one home page per host; with several, ``order`` names the
+    column whose smallest value decides). Links are read where a page is read, and only
+    the chosen ones, at most one a type, are shuffled. Types are taken in the order
     their first link appears. URLs that robots rules forbid are dropped before the
     cap; a forbidden home page means the site is not followed at all.
     """
     root = F.concat(F.lit("https://"), F.col("host"), F.lit("/"))
     found = homes.select(
         "host",
+        (F.lit(0) if order is None else F.col(order)).alias("_place"),
         root.alias("home_url"),
         F.filter(
             links_of(F.coalesce("html", F.lit("")), root), lambda u: host_of(u) == F.col("host")
@@ -88,9 +94,13 @@ def link_frontier(
         return F.get(F.filter("typed", lambda t: t["page_type"] == kind), F.lit(0))
 
     firsts = [first_of(kind) for kind in TARGET_TYPES]
-    candidates = found.select(
-        "host", F.inline(F.array_compact(F.array(home, *firsts)))
+    # inline() keeps the HTML out of the aggregate.
+    chosen = found.select(
+        "host", F.inline(F.array(F.struct("_place", F.array_compact(F.array(home, *firsts)).alias("_pages"))))
     )
+    if order is not None:
+        chosen = chosen.groupBy("host").agg(F.min_by("_pages", "_place").alias("_pages"))
+    candidates = chosen.select("host", F.inline(F.array_compact("_pages")))
     if policies is not None:
         gated = robots_gate(candidates, policies)
         of_site = W.partitionBy("host")

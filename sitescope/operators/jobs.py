@@ -70,7 +70,7 @@ def fold_events(
             {"_state": PENDING, "_attempts": 0, "_pages": 0, "_illegal": 0, "_events": 0}
         )
     counts = opened.select(*key, "_n")
-    placed = attach(events, opened, key, ["event_id"], "left", hot_rows, counts)
+    placed = attach(events, opened, key, ["event_id"], counts, "left", hot_rows)
     pending, running = F.col("_state") == PENDING, F.col("_state") == RUNNING
     after_start = F.coalesce(pending & (order > F.col("_start")), F.lit(False)) | running
     closes = (F.col("step") == "fail") | ((F.col("step") == "complete") & (F.col("pages") >= 0))

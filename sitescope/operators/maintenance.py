@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, MapType, StructField, StructType
 
-from sitescope.operators.skew import attach
 
 
 def stamped(frame: DataFrame, column: str, as_of=None) -> DataFrame:
@@ -53,8 +52,7 @@ def replace_for_keys(
     ``keys`` may list keys without incoming rows; those end up empty.
     """
     marked = keys.select(key).distinct().withColumn("_gone", F.lit(True))
-    spread = [c for c in existing.columns if c != key] or [key]
-    kept = attach(existing, marked, [key], spread).filter("_gone is null")
+    kept = existing.join(marked, key, "left").filter("_gone is null")
     return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
 
 
@@ -93,8 +91,7 @@ def delete_with_children(
     """Parents without the doomed keys, and children without their rows."""
     gone = doomed.select(key).distinct()
     kept = parents.join(gone, key, "left_anti")
-    spread = [c for c in children.columns if c != key] or [key]
-    marked = attach(children, gone.withColumn("_gone", F.lit(True)), [key], spread)
+    marked = children.join(gone.withColumn("_gone", F.lit(True)), key, "left")
     return kept, marked.filter("_gone is null").select(*children.columns)
 
 

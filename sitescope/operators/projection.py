@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions.seo import seo_grade
+from sitescope.operators.detect import with_hits
 from sitescope.operators.maintenance import stamped, upsert_latest
-from sitescope.operators.skew import attach
+from sitescope.operators.seo_scan import page_signals
 
 # Which page type sets which flag.
 PAGE_FLAGS = {
@@ -19,6 +20,16 @@ PAGE_FLAGS = {
 }
 
 
+def page_facts(pages: DataFrame, rules=None) -> DataFrame:
+    """What the enrichments need of each page, from one pass over its HTML.
+
+    Hits of the technology rules and SEO signals, some hundred bytes a page. Stored
+    once, the rows serve ``technologies_of``, ``profiles_of`` and ``page_flags``.
+    """
+    read = pages.select("company_id", "domain_id", "page_id", "url", "page_type", "headers", "html")
+    return page_signals(with_hits(read, rules).drop("headers"))
+
+
 def page_flags(pages: DataFrame) -> DataFrame:
     """Which kinds of page each company has; never reads the HTML."""
     return pages.groupBy("company_id").agg(
@@ -31,7 +42,7 @@ def with_primary(domains: DataFrame) -> DataFrame:
     per_company = domains.groupBy("company_id").agg(
         F.bool_or("is_primary").alias("_flagged"), F.min("domain_id").alias("_first")
     )
-    placed = attach(domains, per_company, ["company_id"], ["domain_id"])
+    placed = domains.join(per_company, "company_id", "left")
     promoted = ~F.col("_flagged") & (F.col("domain_id") == F.col("_first"))
     return placed.withColumn("is_primary", F.col("is_primary") | promoted).select(*domains.columns)
 

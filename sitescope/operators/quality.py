@@ -11,29 +11,42 @@ from sitescope.functions.urls import normalize_hostname, strip_ws
 from sitescope.operators.maintenance import union_all
 
 
-def _report(rule: str, frame: DataFrame, key: Column, rows: Column | None = None) -> DataFrame:
-    return frame.select(
+def _key(*columns: str) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+
+
+def _mark(rule: str, key: Column, when: Column | None = None, child: int = 1, row: bool = False) -> Column:
+    """One mark of a rule: a child or a parent of a key, or a broken row (which has its own number)."""
+    mark = F.struct(
         F.lit(rule).alias("rule"),
         key.cast("string").alias("key"),
-        (F.lit(1) if rows is None else rows).cast("long").alias("rows"),
+        F.lit(child).cast("long").alias("n"),
+        (F.monotonically_increasing_id() if row else F.lit(-1).cast("long")).alias("row"),
     )
+    return mark if when is None else F.when(when, mark)
 
 
-def failing(rule: str, frame: DataFrame, key: str, bad: Column) -> DataFrame:
-    """Rows that break a row rule; a NULL test counts as broken."""
-    return _report(rule, frame.filter(F.coalesce(bad, F.lit(True))), F.col(key))
+def failing(rule: str, key: str, bad: Column) -> Column:
+    """A row that breaks a row rule; a NULL test counts as broken."""
+    return _mark(rule, F.col(key), F.coalesce(bad, F.lit(True)), row=True)
 
 
-def repeated(rule: str, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once."""
-    counted = frame.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    return _report(rule, counted, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), F.col("_n"))
+def marks(frame: DataFrame, *found: Column) -> DataFrame:
+    """All marks of a table, from one pass over it; ``failing`` gives none for rows that pass."""
+    return frame.select(F.inline(F.array_compact(F.array(*found))))
 
 
-def orphans(rule: str, children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """Foreign keys without a parent, counted before the join."""
-    used = children.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return _report(rule, used.join(parents.select(key), key, "left_anti"), F.col(key), F.col("_n"))
+def violations(marked: DataFrame, repeated: Sequence[str] = (), orphans: Sequence[str] = ()) -> DataFrame:
+    """Rows (rule, key, rows) from the marks of all tables, in one aggregation.
+
+    A rule in ``repeated`` is broken by a key with several children, one in ``orphans`` by a
+    key with children and no parent (``n`` is 0), any other by each of its marks. Keys are
+    counted on the map side first, so a key of very many rows is no burden.
+    """
+    counted = marked.groupBy("rule", "key", "row").agg(F.sum("n").alias("rows"), F.min("n").alias("_least"))
+    several, without = F.col("rule").isin(*repeated), F.col("rule").isin(*orphans)
+    broken = F.when(several, F.col("rows") > 1).when(without, F.col("_least") > 0).otherwise(True)
+    return counted.filter(broken).select("rule", "key", "rows")
 
 
 def integrity_report(
@@ -43,31 +56,76 @@ def integrity_report(
     technologies: DataFrame,
     seo_profiles: DataFrame,
 ) -> DataFrame:
-    """Every violation of the entity rules, over whole tables."""
-    confidence, score = F.col("confidence"), F.col("score")
-    normal = domains.withColumn("hostname", F.coalesce(normalize_hostname(F.col("hostname")), "hostname"))
-    primaries = (
-        domains.filter("is_primary").groupBy("company_id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    """Every violation of the entity rules, over whole tables; each is read once."""
+    company, enriched = _key("company_id"), F.col("status") == "enriched"
+    normal = normalize_hostname(F.col("hostname"))
+    hostname = F.coalesce(normal, F.col("hostname"))
+    marked = [
+        marks(
+            companies,
+            failing("blank_display_name", "company_id", strip_ws(F.col("display_name")) == ""),
+            _mark("domain_without_company", company, child=0),
+            _mark("enriched_without_domain", company, enriched),
+        ),
+        marks(
+            domains,
+            failing("invalid_hostname", "domain_id", normal.isNull()),
+            _mark("hostname_twice_in_company", F.concat_ws("|", F.col("company_id").cast("string"), hostname)),
+            _mark("several_primaries", company, F.col("is_primary")),
+            _mark("hostname_not_unique", hostname),
+            _mark("domain_without_company", company, F.col("company_id").isNotNull()),
+            _mark("enriched_without_domain", company, child=0),
+        ),
+        marks(
+            company_technologies,
+            failing("confidence_out_of_range", "company_id", ~F.col("confidence").between(0, 1)),
+            _mark("technology_twice_in_company", _key("company_id", "technology")),
+            _mark("detection_without_technology", F.col("technology"), F.col("technology").isNotNull()),
+        ),
+        marks(
+            technologies,
+            _mark("technology_name_not_unique", F.col("technology")),
+            _mark("detection_without_technology", F.col("technology"), child=0),
+        ),
+        marks(
+            seo_profiles,
+            failing("score_out_of_range", "company_id", ~F.col("score").between(0, 100)),
+            _mark("several_seo_profiles", company),
+        ),
+    ]
+    return violations(
+        union_all(marked),
+        repeated=(
+            "hostname_twice_in_company",
+            "several_primaries",
+            "hostname_not_unique",
+            "technology_twice_in_company",
+            "technology_name_not_unique",
+            "several_seo_profiles",
+        ),
+        orphans=("domain_without_company", "detection_without_technology", "enriched_without_domain"),
     )
-    enriched = companies.filter("status = 'enriched'")
-    childless = enriched.join(domains.select("company_id").distinct(), "company_id", "left_anti")
-    return union_all(
-        [
-            failing("blank_display_name", companies, "company_id", strip_ws(F.col("display_name")) == ""),
-            failing("invalid_hostname", domains, "domain_id", normalize_hostname(F.col("hostname")).isNull()),
-            repeated("hostname_twice_in_company", normal, ["company_id", "hostname"]),
-            _report("several_primaries", primaries, F.col("company_id"), F.col("_n")),
-            repeated("hostname_not_unique", normal, ["hostname"]),
-            failing("confidence_out_of_range", company_technologies, "company_id", ~confidence.between(0, 1)),
-            failing("score_out_of_range", seo_profiles, "company_id", ~score.between(0, 100)),
-            repeated("technology_twice_in_company", company_technologies, ["company_id", "technology"]),
-            repeated("technology_name_not_unique", technologies, ["technology"]),
-            repeated("several_seo_profiles", seo_profiles, ["company_id"]),
-            orphans("domain_without_company", domains, companies, "company_id"),
-            orphans("detection_without_technology", company_technologies, technologies, "technology"),
-            _report("enriched_without_domain", childless, F.col("company_id")),
-        ]
+
+
+def crawl_orphans(
+    jobs: DataFrame,
+    domains: DataFrame,
+    pages: DataFrame,
+    kept_jobs: DataFrame,
+    marketing: DataFrame,
+    companies: DataFrame,
+) -> DataFrame:
+    """Foreign keys of jobs, pages and marketing tools whose parent is gone."""
+    links = (
+        ("job_without_domain", "domain_id", jobs, domains),
+        ("page_without_job", "job_id", pages, kept_jobs),
+        ("tool_without_company", "company_id", marketing, companies),
     )
+    marked = []
+    for rule, key, children, parents in links:
+        marked.append(marks(children, _mark(rule, F.col(key), F.col(key).isNotNull())))
+        marked.append(marks(parents, _mark(rule, F.col(key), child=0)))
+    return violations(union_all(marked), orphans=[rule for rule, *_ in links])
 
 
 def summary(report: DataFrame) -> DataFrame:

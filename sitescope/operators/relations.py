@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.operators.skew import attach, page_of
+from sitescope.operators.skew import page_of
 
 # List page sizes, the worker's batch, and the largest page.
 DEFAULT_PAGE_SIZE = 25
@@ -42,11 +42,12 @@ def listing(rows: DataFrame, order: list, page: int = 1, page_size: int = DEFAUL
     return Listing(_listed(rows, order, page, page_size), total, page, page_size)
 
 
-def rows_with_parent(
-    children: DataFrame, parents: DataFrame, key: str, child_id: str
-) -> DataFrame:
-    """Parents with their children, and childless parents with NULL child columns."""
-    with_parent = attach(children, parents, [key], [child_id], "inner")
+def rows_with_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Parents with their children, and childless parents with NULL child columns.
+
+    An inner join can split the children of one parent over tasks; an outer join cannot.
+    """
+    with_parent = children.join(parents, key)
     childless = parents.join(children.select(key).distinct(), key, "left_anti")
     columns = [key, *[c for c in parents.columns if c != key], *[c for c in children.columns if c != key]]
     return with_parent.select(*columns).unionByName(childless, allowMissingColumns=True).select(*columns)
@@ -59,7 +60,7 @@ def company_listing(
     listed = _listed(companies, [F.desc("created_at"), F.desc("company_id")], page, page_size)
     on_page = F.broadcast(listed.select("company_id"))  # one page of ids
     mine = domains.join(on_page, "company_id", "left_semi")
-    return rows_with_parent(mine, listed, "company_id", "domain_id")
+    return rows_with_parent(mine, listed, "company_id")
 
 
 def company_detail(companies: DataFrame, domains: DataFrame, company_id: int | None = None):
@@ -67,7 +68,7 @@ def company_detail(companies: DataFrame, domains: DataFrame, company_id: int | N
     if company_id is not None:
         companies = companies.filter(F.col("company_id") == company_id)
         domains = domains.filter(F.col("company_id") == company_id)
-    return rows_with_parent(domains, companies, "company_id", "domain_id")
+    return rows_with_parent(domains, companies, "company_id")
 
 
 def list_jobs(
@@ -88,7 +89,7 @@ def job_detail(jobs: DataFrame, pages: DataFrame, job_id: int | None = None) ->
     if job_id is not None:
         jobs = jobs.filter(F.col("job_id") == job_id)
         pages = pages.filter(F.col("job_id") == job_id)
-    return rows_with_parent(pages, jobs, "job_id", "page_no")
+    return rows_with_parent(pages, jobs, "job_id")
 
 
 def pages_per_job(jobs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def catalog_page(technologies: DataFrame, page: int = 1, page_size: int = CATALO
 def with_catalog(company_technologies: DataFrame, technologies: DataFrame) -> DataFrame:
     """Detections with the category of their technology."""
     dim = technologies.select("technology", "category")
-    return attach(company_technologies, dim, ["technology"], ["company_id"])
+    return company_technologies.join(dim, "technology", "left")
 
 
 def facts_in_order(

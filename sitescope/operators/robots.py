@@ -12,7 +12,7 @@ from sitescope.functions.urls import (
     raw_path_of,
     strip_ws,
 )
-from sitescope.operators.skew import HOT_ROWS, attach, rank_within
+from sitescope.operators.skew import rank_within
 
 # The agent sent with each request, and the fixed pause where no rule gives one.
 USER_AGENT = "sitescope/0.1"
@@ -133,12 +133,10 @@ def _matched_path(url: Column) -> Column:
     return F.when(whole == "", "/").otherwise(whole)
 
 
-def robots_gate(
-    urls: DataFrame, policies: DataFrame, spread_by: str = "url", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def robots_gate(urls: DataFrame, policies: DataFrame) -> DataFrame:
     """Adds ``allowed`` to rows with host and url; the first rule whose path is a
     prefix decides, and a host without robots file allows everything."""
-    placed = attach(urls, policies.select("host", "rules"), ["host"], [spread_by], "left", hot_rows)
+    placed = urls.join(policies.select("host", "rules"), "host", "left")
     path = _matched_path(_unquote(F.col("url")))
     first = F.get(F.filter("rules", lambda r: path.startswith(r["path"])), F.lit(0))
     return placed.select(*urls.columns, F.coalesce(first["allowed"], F.lit(True)).alias("allowed"))
@@ -149,17 +147,14 @@ def polite_schedule(
     policies: DataFrame,
     position: str = "page_id",
     default_delay: float = DEFAULT_DELAY_SECONDS,
-    block: int = 1 << 16,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Earliest start in seconds of each fetch, spaced by the host's crawl delay.
 
     A delay of zero counts as no delay given. ``position`` is the unique queue
     position that orders the fetches of a host.
     """
-    ranked = rank_within(queue, ["host"], position, "turn", block)
-    delays = policies.select("host", "crawl_delay")
-    placed = attach(ranked, delays, ["host"], [position], "left", hot_rows)
+    ranked = rank_within(queue, ["host"], position, "turn")
+    placed = ranked.join(policies.select("host", "crawl_delay"), "host", "left")
     delay = F.coalesce(F.nullif("crawl_delay", F.lit(0.0)), F.lit(default_delay))
     return placed.select(
         *queue.columns,

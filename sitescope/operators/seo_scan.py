@@ -120,17 +120,19 @@ def with_score(signals: DataFrame) -> DataFrame:
     )
 
 
+def _home_rank() -> Column:
+    """0 for a home page with HTML, 1 for another page with HTML, 2 for a page without."""
+    has_html = F.coalesce(F.col("html") != "", F.lit(False))
+    return F.when(has_html & (F.col("page_type") == "home"), 0).when(has_html, 1).otherwise(2)
+
+
 def homepage_keys(pages: DataFrame) -> DataFrame:
     """company_id and page_id of the page to scan: the first home page with HTML,
     else the first page with HTML, else the first page."""
-    has_html = F.coalesce(F.col("html") != "", F.lit(False))
-    rank = (
-        F.when(has_html & (F.col("page_type") == "home"), 0).when(has_html, 1).otherwise(2)
-    )
     # inline() pins the narrow keys below the aggregate; as a plain projection they
     # would be folded into it, and the map-side sort would carry the HTML.
     keys = pages.select(
-        "company_id", F.inline(F.array(F.struct(rank.alias("rank"), "domain_id", "page_id")))
+        "company_id", F.inline(F.array(F.struct(_home_rank().alias("rank"), "domain_id", "page_id")))
     )
     return (
         keys.groupBy("company_id")
@@ -139,23 +141,39 @@ def homepage_keys(pages: DataFrame) -> DataFrame:
     )
 
 
-def homepages(pages: DataFrame) -> DataFrame:
-    """The picked page of every company.
-
-    Only keys are aggregated; the join back is on the unique page id, so it is
-    balanced, and Spark's runtime filter keeps unpicked pages out of the shuffle.
-    """
-    return pages.join(homepage_keys(pages).select("page_id"), "page_id", "left_semi")
+def page_signals(pages: DataFrame) -> DataFrame:
+    """Signals and ``home_rank`` of every page, without its HTML. Row-local."""
+    return seo_signals(pages.withColumn("home_rank", _home_rank()))
 
 
 def seo_scan(pages: DataFrame, vitals: DataFrame | None = None) -> DataFrame:
-    """One scored SEO profile per company.
+    """One scored SEO profile per company, of the page that ``homepage_keys`` names.
+
+    The signals are read where a page is read, so the HTML is read once and is in no
+    shuffle; the page of a company is picked from the narrow rows.
 
     ``vitals`` is an optional table of measured page speeds (url, lcp_ms, cls,
     inp_ms; one row per url). Without it those columns are NULL.
     """
-    picked = homepages(pages).select("company_id", "url", "html")
-    profile = with_score(seo_signals(picked))
+    read = pages.select("company_id", "domain_id", "page_id", "page_type", "url", "html")
+    return profiles_of(page_signals(read), vitals)
+
+
+def profiles_of(signals: DataFrame, vitals: DataFrame | None = None) -> DataFrame:
+    """``seo_scan`` from rows that ``page_signals`` made."""
+    narrow = signals.select(
+        "company_id",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.struct("home_rank", "domain_id", "page_id").alias("place"),
+                    F.struct("url", *SIGNALS).alias("page"),
+                )
+            )
+        ),
+    )
+    picked = narrow.groupBy("company_id").agg(F.min_by("page", "place").alias("page"))
+    profile = with_score(picked.select("company_id", "page.*"))
     if vitals is None:
         return profile.select(
             "*",

@@ -24,26 +24,22 @@ def attach(
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
+    counts: DataFrame,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
-    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join a per-key ``lookup`` (unique on ``on``) to ``rows`` with skewed keys.
+    """Join a per-key ``lookup`` (unique on ``on``) to ``rows`` whose keys are counted.
 
     A key with n rows is cut into ``ceil(n / hot_rows)`` shares by a hash of
     ``spread_by`` and only such keys are repeated in the lookup, once per share.
-    There are at most ``count(rows) / hot_rows`` of them, which bounds both the
-    repetition and the broadcast of their list. ``counts`` (keys and ``_n``) spares
-    the counting pass where the caller has the counts already.
+    ``counts`` (keys and ``_n``) is at hand where the caller aggregates the rows anyway;
+    without it a plain join reads the rows once, and Spark's skew join splits it.
     """
     on = list(on)
-    if counts is None:
-        counts = rows.groupBy(*on).agg(F.count("*").alias("_n"))
     hot = (
         counts.filter(F.col("_n") > hot_rows)
         .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_shares"))
     )
-    hot = F.broadcast(hot)
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     shares = F.when(null_key, NULL_SHARES).otherwise(F.coalesce(F.col("_shares"), F.lit(1)))
     left = (
@@ -61,30 +57,36 @@ def attach(
     return left.join(right, [*on, "_share"], how).drop("_share")
 
 
-def rank_within(
-    rows: DataFrame, key: Sequence[str], position: str, name: str = "rank", block: int = 1 << 16
-) -> DataFrame:
-    """Exact 1-based rank of ``position`` (a unique integer) inside each key.
+def rank_within(rows: DataFrame, key: Sequence[str], position: str, name: str = "rank") -> DataFrame:
+    """Exact 1-based rank of ``position`` inside each key, whatever numbers it holds.
 
-    Ranking is done inside blocks of ``block`` consecutive positions, at most
-    ``block`` rows each, and shifted by the sizes of the earlier blocks of the key.
-    No task ever sorts all rows of a key, only its list of blocks.
+    Rows are range partitioned by key and position, so a key of many rows spans several
+    partitions of like size. Ranks are taken inside partitions and shifted by the
+    rows of the key in earlier ones. Only the first key of a partition can have earlier
+    rows, so the shifts are at most one for each partition and are broadcast. The
+    ranges are written to the shared folder, since sampled bounds must not change.
     """
     key = list(key)
-    blocked = rows.withColumn("_block", F.floor(F.col(position) / block))
-    inside = blocked.withColumn(
-        "_inside", F.row_number().over(W.partitionBy(*key, "_block").orderBy(position))
+    ranged = checkpointed(
+        rows.repartitionByRange(*key, position).withColumn("_part", F.spark_partition_id())
+    )
+    before = W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = (
+        ranged.groupBy("_part", *key)
+        .agg(F.count("*").alias("_size"))
+        .select("_part", *key, F.sum("_size").over(before).alias("_shift"))
+        .filter("_shift is not null")
+    )
+    inside = ranged.withColumn(
+        "_inside", F.row_number().over(W.partitionBy("_part", *key).orderBy(position))
     )
-    sizes = blocked.groupBy(*key, "_block").agg(F.count("*").alias("_size"))
-    before = W.partitionBy(*key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *key, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift")
+    same_key = [F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ["_part", *key]]
+    ranked = inside.alias("i").join(
+        F.broadcast(shifts).alias("s"), reduce(lambda a, b: a & b, same_key), "left"
     )
-    same_key = [F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "_block"]]
-    ranked = inside.alias("i").join(shifts.alias("s"), reduce(lambda a, b: a & b, same_key))
     return ranked.select(
         *[F.col(f"i.{c}") for c in rows.columns],
-        (F.col("_inside") + F.col("_shift")).cast("long").alias(name),
+        (F.col("_inside") + F.coalesce("_shift", F.lit(0))).cast("long").alias(name),
     )
 
 

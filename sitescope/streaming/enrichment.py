@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sitescope.operators.detect import detect_marketing, detect_technologies
+from sitescope.operators.detect import detect_marketing, technologies_of
 from sitescope.operators.maintenance import KeyedTable, stamped
-from sitescope.operators.projection import search_projection
-from sitescope.operators.seo_scan import seo_scan
+from sitescope.operators.projection import page_facts, search_projection
+from sitescope.operators.seo_scan import profiles_of
+from sitescope.session import checkpointed
 from sitescope.sources.capture import page_records
 
 
@@ -57,11 +58,12 @@ def refresh(
     """Recompute and replace everything derived for the touched companies."""
     mine = companies.join(touched, "company_id", "left_semi")
     own_domains = domains.join(touched, "company_id", "left_semi")
+    facts = checkpointed(page_facts(pages))
     stored = {}
     for name, frame in (
-        ("technologies", stamped(detect_technologies(pages), "detected_at", as_of)),
+        ("technologies", stamped(technologies_of(facts), "detected_at", as_of)),
         ("marketing", stamped(detect_marketing(pages), "detected_at", as_of)),
-        ("seo_profiles", stamped(seo_scan(pages), "scanned_at", as_of)),
+        ("seo_profiles", stamped(profiles_of(facts), "scanned_at", as_of)),
     ):
         table = store.table(name, frame)
         table.replace(touched, frame)
@@ -69,7 +71,7 @@ def refresh(
     documents = search_projection(
         mine,
         own_domains,
-        pages,
+        facts,
         stored["technologies"],
         stored["seo_profiles"],
         as_of,

@@ -84,7 +84,8 @@ def test_attach_with_hot_and_missing_keys(spark):
     right = spark.createDataFrame([("hot", 1), ("k3", 2), ("unused", 3)], "k string, v int")
     for how in ("left", "inner"):
         plain = left.join(right, "k", how).select("id", "k", "v")
-        assert rows(attach(left, right, ["k"], ["id"], how, hot_rows=100).select("id", "k", "v")) == rows(plain)
+        counts = left.groupBy("k").agg(F.count("*").alias("_n"))
+        assert rows(attach(left, right, ["k"], ["id"], counts, how, hot_rows=100).select("id", "k", "v")) == rows(plain)
 
 
 STEPS = ["start", "complete", "fail", "enqueue"]

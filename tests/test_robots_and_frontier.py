@@ -39,10 +39,9 @@ def test_gate_and_delay_agree_with_standard_parser(spark):
         parsers[name] = RobotFileParser()
         parsers[name].parse(text.splitlines())
     agent = robots.USER_AGENT
-    for hot_rows in (1_000_000, 5):  # unsplit, and every host split in shares
-        for r in robots.robots_gate(frame, policies(spark), "url", hot_rows).collect():
-            want = parsers[r.host].can_fetch(agent, r.url) if r.host in parsers else True
-            assert r.allowed == want, (r.host, r.url)
+    for r in robots.robots_gate(frame, policies(spark)).collect():
+        want = parsers[r.host].can_fetch(agent, r.url) if r.host in parsers else True
+        assert r.allowed == want, (r.host, r.url)
     delays = {r.host: r.crawl_delay for r in policies(spark).collect()}
     for name, parser in parsers.items():
         assert delays.get(name) == parser.crawl_delay(agent), name
@@ -51,7 +50,7 @@ def test_gate_and_delay_agree_with_standard_parser(spark):
 def test_polite_schedule(spark):
     queue = [("plain", i) for i in range(100)] + [("named", i) for i in range(100, 103)] + [("absent", 500)]
     frame = spark.createDataFrame(queue, "host string, page_id long")
-    got = robots.polite_schedule(frame, policies(spark), block=7, hot_rows=10).collect()
+    got = robots.polite_schedule(frame, policies(spark)).collect()
     starts = {(r.host, r.page_id): (r.delay_seconds, r.start_seconds) for r in got}
     assert len(got) == len(queue)
     assert starts["plain", 42] == (2.0, 84.0)
@@ -59,10 +58,10 @@ def test_polite_schedule(spark):
     assert starts["absent", 500] == (1.0, 0.0)
 
 
-def test_rank_within_blocks(spark):
+def test_rank_within_ranges(spark):
     data = [(k, i * i) for i in range(300) for k in ("a", None) if (i + (k is None)) % 3]
     frame = spark.createDataFrame(data, "k string, pos long")
-    got = {(r.k, r.pos): r.rank for r in rank_within(frame, ["k"], "pos", block=50).collect()}
+    got = {(r.k, r.pos): r.rank for r in rank_within(frame, ["k"], "pos").collect()}
     for key in ("a", None):
         ordered = sorted(p for k, p in data if k == key)
         assert [got[key, p] for p in ordered] == list(range(1, len(ordered) + 1))
