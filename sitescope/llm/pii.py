@@ -27,7 +27,10 @@ SECRET = r"(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]
 DATE = r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[.-][0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+#: Three, three and four digits with or without a one, and up to 15 digits behind a plus; any digits.
+#: The second form ends before a date or an address of another kind.
+LOCAL_PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+PHONE = rf"{LOCAL_PHONE}|(?<![0-9A-Za-z+/])\+[0-9](?:(?![ .-](?:{DATE}|{ADDRESS}))[ .()/-]{{0,2}}[0-9]){{6,14}}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 KINDS = {"email": EMAIL, "key_id": KEY_ID, "secret": SECRET, "date": DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
@@ -114,16 +117,46 @@ def _card(m: Column, key: str) -> Column:
     return _then(_digits(m), swap)
 
 
+#: Country codes; none begins another.
+_COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    def swap(d):
+    """Numbers of the North American plan stay in it, other ten digits stay out of it; other countries keep their code."""
+
+    def ten_digits(d):
         area, middle = F.substring(d, -10, 3).cast("long"), F.substring(d, -7, 3).cast("long")
         line = F.substring(d, -4, 4).cast("long")
-        pair = permuted(area - 200, (middle - 200) * 10000 + line, 800, 8_000_000, key, "phone")
+        rest = middle * 10000 + line
+        inside = permuted(area - 200, rest - 2_000_000, 800, 8_000_000, key, "phone")
+        valid = _then(inside, lambda p: F.concat((p.l + 200).cast("string"), (p.r + 2_000_000).cast("string")))
+        # The 3.6 billion others in a row: areas below 200, then exchanges below 200.
+        place = F.when(area < 200, area * 10_000_000 + rest).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + rest)
+        outside = _then(place, lambda x: permuted(F.floor(x / 60_000), x % 60_000, 60_000, 60_000, key, "phone_other"))
+        other = _then(
+            _then(outside, lambda p: p.l * 60_000 + p.r),
+            lambda x: F.when(x < 2_000_000_000, _padded(x, 10)).otherwise(
+                F.concat((F.floor((x - 2_000_000_000) / 2_000_000) + 200).cast("string"), _padded((x - 2_000_000_000) % 2_000_000, 7))
+            ),
+        )
+        return F.when((area >= 200) & (middle >= 200), valid).otherwise(other)
+
+    def foreign(d, country):
+        n = F.length(d) - F.length(country)
+        half = F.floor(n / 2).cast("int")
+        number = F.substring(d, F.length(country) + 1, n)
+        ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        pair = permuted(F.substring(number, F.lit(1), half), F.substring(number, half + 1, n - half), ten(half), ten(n - half), key, "phone_abroad")
+        return _then(pair, lambda p: F.concat(country, _padded(p.l, half), _padded(p.r, n - half)))
+
+    def swap(d):
         lead = F.when(F.length(d) == 11, F.lit("1")).otherwise("")
-        new = _then(pair, lambda p: F.concat(lead, (p.l + 200).cast("string"), (p.r.cast("long") + 2_000_000).cast("string")))
-        return _refilled(m, new)
+        home = ~m.startswith("+") | d.rlike("^1[0-9]{10}$")
+        return F.when(home, F.concat(lead, ten_digits(d))).otherwise(_then(F.regexp_extract(d, _COUNTRY, 0), lambda c: foreign(d, c)))
 
-    return _then(_digits(m), swap)
+    # The (0) of a number that is also given with its country code is not part of it.
+    bare = F.when(m.startswith("+"), F.replace(m, F.lit("(0)"), F.lit("(#)"))).otherwise(m)
+    return F.replace(_then(_digits(bare), lambda d: _refilled(bare, _then(d, swap))), F.lit("(#)"), F.lit("(0)"))
 
 
 def _social(m: Column, key: str) -> Column:

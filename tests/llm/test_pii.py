@@ -121,3 +121,39 @@ def test_edges(spark):
     assert by[3].n_chars == len(by[3].text) and "a.b@c.de" not in by[3].text and out.where("doc_id = 3").distinct().count() == 1
     assert pii.private_data(frame.limit(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phones_with_any_digits(spark, documents, texts):
+    """Every number of the table, by a form of this test's own; and numbers of other plans."""
+    form = r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"
+    numbers = {k: re.findall(form, t or "") for k, t in texts.items()}
+    every = {n for found in numbers.values() for n in found}
+    assert any(n[4] in "01" for n in every) and any(n[4] not in "01" for n in every)
+    seen = {}
+    for r in pii.private_data(documents, "k").collect():
+        new = re.findall(form, r.text or "")
+        assert len(new) == len(numbers[r.doc_id]) <= r.n_phone and not every & set(new)
+        for a, b in zip(numbers[r.doc_id], new, strict=True):
+            assert seen.setdefault(a, b) == b
+    assert set(seen) == every and len(set(seen.values())) == len(every)
+    same = ["+1 (017) 555-7713", "+1-017-555-7713", "(017) 555-7713", "017.555.7713", "+10175557713"]
+    out = swap(spark, same)
+    assert {re.sub(r"\D", "", x)[-10:] for x in out}.isdisjoint({"0175557713"}) and len({re.sub(r"\D", "", x)[-10:] for x in out}) == 1
+    assert [re.sub(r"\d", "0", x) for x in out] == [re.sub(r"\d", "0", x) for x in same]
+    abroad = ["+44 20 7946 0958", "+44 (0)20 7946 0958", "+442079460958", "+33 1 23 45 67 89", "+354 555 1234"]
+    out = swap(spark, abroad)
+    assert out[0].replace(" ", "") == out[1].replace("(0)", "").replace(" ", "") == out[2] != "+442079460958"
+    assert re.fullmatch(r"\+44 \(0\)\d\d \d{4} \d{4}", out[1])
+    assert re.fullmatch(r"\+33 \d( \d\d){4}", out[3]) and re.fullmatch(r"\+354 \d{3} \d{4}", out[4]) and not set(out) & set(abroad)
+    (text,) = swap(spark, ["+49 30 1234567 190.137.223.204"])
+    assert text.split()[-1] == swap(spark, ["190.137.223.204"])[0] and text[:12] == swap(spark, ["+49 30 1234567"])[0][:12]
+
+
+def test_ten_digits_are_one_to_one(spark):
+    """Areas and exchanges below 200 and above."""
+    rows = spark.range(4000).select(F.format_string("%03d-%03d-0042", (F.col("id") * 7) % 1000, (F.col("id") / 4).cast("long")).alias("text")).distinct()
+    valid = "^[2-9][0-9]{2}-[2-9]"
+    done = pii.pseudonymise(rows.withColumn("valid", F.col("text").rlike(valid)), "k").cache()
+    assert done.select("text").distinct().count() == rows.count()
+    assert not done.where(F.col("text").rlike(valid) != F.col("valid")).count()
+    assert done.where("not valid").select(F.substring("text", 1, 1)).distinct().count() == 10
