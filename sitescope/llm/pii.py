@@ -8,7 +8,7 @@ value is met twice and none leaves the format. Equal values get equal pseudonyms
 all documents. Addresses of mail and credentials, which are no numbers, get keyed
 hashes of their kind.
 
-A text is cut at its matches once; a null text stays null, an empty one empty, and a
+A text is cut at its matches once; cards are sought in whole runs of digit groups. A null text stays null, an empty one empty, and a
 match that does not validate is left as it stands. Repeated rows are treated alike.
 """
 
@@ -31,7 +31,11 @@ SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 #: The second form ends before a date or an address of another kind.
 LOCAL_PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 PHONE = rf"{LOCAL_PHONE}|(?<![0-9A-Za-z+/])\+[0-9](?:(?![ .-](?:{DATE}|{ADDRESS}))[ .()/-]{{0,2}}[0-9]){{6,14}}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A whole run of at least 13 digits with single blanks or dashes between; it ends before a value of another kind.
+#: The cards are sought in it.
+CARD = rf"(?<![0-9])[0-9](?:(?![ -](?:{DATE}|{ADDRESS}|{SOCIAL}|{LOCAL_PHONE}))[ -]?[0-9]){{12,}}+"
+#: How cards are usually written.
+USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
 KINDS = {"email": EMAIL, "key_id": KEY_ID, "secret": SECRET, "date": DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 
@@ -110,13 +114,59 @@ def _card(m: Column, key: str) -> Column:
         ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
         pair = permuted(F.substring(body, F.lit(1), half), F.substring(body, half + 1, width), ten(half), ten(width), key, "card")
         payload = _then(pair, lambda p: F.concat(F.substring(d, 1, 1), _padded(p.l, half), _padded(p.r, width)))
-        new = _then(payload, lambda x: F.concat(x, _check_digit(x)))
-        valid = F.substring(d, -1, 1) == _check_digit(F.substring(d, F.lit(1), n - 1))
-        return F.when(valid, _refilled(m, new)).otherwise(m)
+        return _refilled(m, _then(payload, lambda x: F.concat(x, _check_digit(x))))
 
     return _then(_digits(m), swap)
 
 
+def _valid_card(t: Column) -> Column:
+    d = _digits(t)
+    return F.length(d).between(13, 19) & _then(d, lambda x: F.substring(x, -1, 1) == _check_digit(F.substring(x, F.lit(1), F.length(x) - 1)))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """(text, cards) of a run: from left to right the sub-runs between separators that validate.
+
+    One in a usual grouping goes before all others that overlap it, then the longest.
+    """
+
+    def from_group(groups, i):
+        text = lambda k: F.regexp_replace(F.array_join(F.slice(groups, i, k), ""), "^[ -]", "")
+        counts = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i + 1))
+        made = F.transform(counts, lambda k: _then(text(k), lambda t: F.struct(t.rlike(USUAL).alias("usual"), k.alias("k"), t.alias("t"))))
+        return F.filter(made, lambda c: _valid_card(c.t))
+
+    def listed(match, new):
+        return F.struct(F.lit("card").alias("kind"), match.alias("match"), new.alias("pseudonym"))
+
+    def read(x):
+        none = F.array().cast("array<struct<kind:string,match:string,pseudonym:string>>")
+        at = lambda free, text, cards: F.struct(free.alias("free"), text.alias("text"), cards.alias("cards"))
+
+        def step(state, i):
+            group = F.element_at(x.groups, i)
+            free = F.filter(F.element_at(x.found, i), lambda c: c.usual | ~F.exists(F.slice(x.usual, i + 1, c.k - 1), lambda u: u))
+
+            def put(c):
+                plain = at(i + 1, F.concat(state.text, group), state.cards)
+                lead = F.regexp_extract(group, "^[ -]?", 0)
+                card = _then(
+                    _card(c.t, key),
+                    lambda new: at(i + c.k, F.concat(state.text, lead, new), F.concat(state.cards, F.array(listed(c.t, new)))),
+                )
+                return F.when(c.isNull(), plain).otherwise(card)
+
+            return F.when(i < state.free, state).otherwise(_then(F.array_max(free), put))
+
+        start = at(F.lit(1), F.lit(""), none)
+        return F.aggregate(F.sequence(F.lit(1), F.size(x.groups)), start, step, lambda state: F.struct(state.text.alias("text"), state.cards.alias("cards")))
+
+    groups = F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0))
+    found = _then(groups, lambda g: F.struct(g.alias("groups"), F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: from_group(g, i)).alias("found")))
+    marked = _then(found, lambda x: F.struct(x.groups.alias("groups"), x.found.alias("found"), F.transform(x.found, lambda cs: F.exists(cs, lambda c: c.usual)).alias("usual")))
+    return _then(marked, read)
+
+
 #: Country codes; none begins another.
 _COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
@@ -225,7 +275,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(lead, F.substring(hashed, F.lit(1), F.length(value)), tail)
 
 
-_SWAPS = {"email": _email, "key_id": _key_id, "secret": _secret, "date": _date, "address": _address, "social": _social, "phone": _phone, "card": _card}
+_SWAPS = {"email": _email, "key_id": _key_id, "secret": _secret, "date": _date, "address": _address, "social": _social, "phone": _phone}
 
 
 def _kind(m: Column) -> Column:
@@ -237,7 +287,7 @@ def _kind(m: Column) -> Column:
 
 def _swapped(m: Column, kind: Column, key: str) -> Column:
     out = m
-    for name in reversed(KINDS):
+    for name in reversed(_SWAPS):
         out = F.when(kind == name, _SWAPS[name](m, key)).otherwise(out)
     return out
 
@@ -251,20 +301,25 @@ def pseudonymise(frame: DataFrame, key: str, text: str = "text", out: str = "tex
     raw = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     matches = F.coalesce(raw, F.array().cast("array<string>"))
 
+    def single(m, k):
+        row = lambda new: F.struct(k.alias("kind"), m.alias("match"), new.alias("pseudonym"))
+        return _then(_swapped(m, k, key), lambda new: F.struct(new.alias("text"), F.array(row(new)).alias("listed")))
+
     def row(m):
-        return _then(_kind(m), lambda k: F.struct(k.alias("kind"), m.alias("match"), _swapped(m, k, key).alias("pseudonym")))
+        run = lambda: _then(_cards(m, key), lambda c: F.struct(c.text.alias("text"), c.cards.alias("listed")))
+        return _then(_kind(m), lambda k: F.when(k == "card", run()).otherwise(single(m, k)))
 
     rows = frame.withColumn("_rows", F.transform(matches, row))
     new = F.array_join(
         F.zip_with(
             F.split(F.col(text), ANY, -1),
-            F.transform("_rows", lambda r: r.pseudonym),
+            F.transform("_rows", lambda r: r.text),
             lambda piece, name: F.concat(piece, F.coalesce(name, F.lit(""))),
         ),
         "",
     )
     rows = rows.withColumn("_new", F.when(F.size("_rows") > 0, new).otherwise(F.col(text)))
-    listed = F.filter("_rows", lambda r: r.pseudonym != r.match)
+    listed = F.filter(F.flatten(F.transform("_rows", lambda r: r.listed)), lambda r: r.pseudonym != r.match)
     return rows.withColumns({found: listed, out: F.col("_new")}).drop("_rows", "_new")
 
 

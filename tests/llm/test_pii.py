@@ -157,3 +157,46 @@ def test_ten_digits_are_one_to_one(spark):
     assert done.select("text").distinct().count() == rows.count()
     assert not done.where(F.col("text").rlike(valid) != F.col("valid")).count()
     assert done.where("not valid").select(F.substring("text", 1, 1)).distinct().count() == 10
+
+
+def test_cards_beside_other_digits(spark):
+    """Dates, counts, years, check codes and other cards around a card change neither it nor themselves."""
+    a, b, c = "4111111111111111", "378282246310005", "6011000990139424"
+    spaced = lambda n: " ".join((n[:4], n[4:10], n[10:]) if len(n) == 15 else (n[i : i + 4] for i in range(0, 16, 4)))
+    dashed = lambda n: spaced(n).replace(" ", "-")
+    forms = [
+        "{} 12/27", "{} 3", "12 {}", "12 {} 7", "2024 {}", "{} 2024", "{}-123", "1-2-3 {} 4 5 6", "12/27 {}", "{} 12", "7 {} 12/27",
+        "{} 123 items, 4 boxes", "9 9 9 9 9 9 9 9 9 9 9 {}", "{} 9 9 9 9 9 9 9 9 9 9 9 9", "no. 5 {} 99 99 99 99 99",
+    ]
+    texts, want = [], []
+    for form in forms:
+        for number in (a, b, c):
+            for shape in (str, spaced, dashed):
+                texts.append(form.format(shape(number)))
+                want.append(form.format(shape(card(number, "k"))))
+    for shape in (str, spaced, dashed):
+        texts.append(f"{shape(a)} {shape(b)} 5 {shape(c)}")
+        want.append(f"{shape(card(a, 'k'))} {shape(card(b, 'k'))} 5 {shape(card(c, 'k'))}")
+    assert swap(spark, texts) == want
+
+
+def test_cards_beside_other_kinds(spark):
+    a = "4111 1111 1111 1111"
+    others = ["988-555-2485", "123-45-6789", "2024-02-29", "70.123.182.155"]
+    alone = dict(zip([a, *others], swap(spark, [a, *others]), strict=True))
+    texts = [f"{a} {x} {a}" for x in others] + [f"5 {x} {a} 6" for x in others]
+    assert swap(spark, texts) == [f"{alone[a]} {alone[x]} {alone[a]}" for x in others] + [f"5 {alone[x]} {alone[a]} 6" for x in others]
+
+
+def test_runs_of_cards(spark):
+    a, c = "4111111111111111", "6011000990139424"
+    texts = [f"{a} {c} 5", f"{a} " * 400, "1234567890" * 2 + " 11", "41111 11111 111111", "1 41111 11111 111111 2", "7 " * 30_000 + a]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.private_data(rows, "k").collect()}
+    assert out[0].text == f"{card(a, 'k')} {card(c, 'k')} 5" and out[0].n_card == 2
+    assert out[1].text == f"{card(a, 'k')} " * 400 and out[1].n_card == 400
+    assert out[2].text == texts[2] and out[2].n_card == 0
+    new = card(a, "k")
+    assert out[3].text == f"{new[:5]} {new[5:10]} {new[10:]}"
+    assert f" {new[:5]} {new[5:10]} {new[10:]} " in out[4].text
+    assert out[5].text.endswith(new) and len(out[5].text) == len(texts[5])
