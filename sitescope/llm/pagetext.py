@@ -3,11 +3,12 @@
 A page is read into blocks of text, each with the path of block elements from the
 root. For every path, text length, punctuation and link text are added up over its
 blocks; the ratios of text and of punctuation per block are smoothed along the page,
-fused, and paths under the threshold fall out. The container is the deepest element
-that holds nearly all of the fused score, so short blocks of the article (a heading,
-a one-word paragraph) come with the long ones.
+fused, and paths under the threshold or mostly of links are no content. A page that marks
+its content (article, main) is read there alone, and whole. Else the container is the deepest element that
+holds all content; all its blocks from the first to the last of content come along
+(headings, short paragraphs, lists of links), and before and after them all but paths of links.
 
-A page that marks its content (article, main) is read there alone. Elements that are never text (scripts, styles, forms, comments), landmarks of the
+Elements that are never text (scripts, styles, forms, comments), landmarks of the
 frame (nav, header, footer, aside) and elements whose class, id or role names them
 as such are left out with all below. A null or empty page, or one without such text,
 gives an empty string. Unclosed tags end where their parent ends, paragraphs at the
@@ -45,14 +46,16 @@ _WORDS = frozenset(
     "related reply replies share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget".split()
 )
 _CONTENT = frozenset("article main".split())
+#: Parts of running text, lists and tables; the container is never one of them.
+_PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot table ul ol dl blockquote pre dd dt".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class _Element:
-    __slots__ = ("name", "path", "parent", "out", "score", "text")
+    __slots__ = ("name", "path", "parent", "out")
 
     def __init__(self, name, path, parent, out):
-        self.name, self.path, self.parent, self.out, self.score, self.text = name, path, parent, out, 0.0, 0
+        self.name, self.path, self.parent, self.out = name, path, parent, out
 
 
 def _is_frame(name: str, rest: str, under_article: bool) -> bool:
@@ -171,35 +174,44 @@ def main_text(page: str | None) -> str:
     best: dict[str, float] = {}
     for (element, _, _), f in zip(found, fused, strict=True):
         best[element.path] = max(best.get(element.path, 0), f)
-    content = {p for p, s in sums.items() if best[p] >= least and s[3] <= 0.5 * s[1]} or set(sums)
+    linkish = {p for p, s in sums.items() if s[3] > 0.5 * s[1]}
+    content = {p for p in sums if best[p] >= least and p not in linkish} or set(sums)
 
-    total, children = 0.0, {}
-    for (element, text, _), f in zip(found, fused, strict=True):
-        if element.path not in content:
-            continue
-        score = f * len(text)
-        total += score
+    if _marked(found[0][0]):
+        return "\n\n".join(text for _, text, _ in found)
+
+    places = [i for i, (e, _, _) in enumerate(found) if e.path in content]
+    inside = _common([found[i][0] for i in places])
+    kept = []
+    for i, (element, text, _) in enumerate(found):
+        up = element
+        while up is not None and up is not inside:
+            up = up.parent
+        if up is not None and (places[0] <= i <= places[-1] or element.path not in linkish):
+            kept.append(text)
+    return "\n\n".join(kept)
+
+
+def _common(elements: list[_Element]) -> _Element:
+    """The deepest element that holds all of these and is no part of running text."""
+
+    def chain(element):
+        out = []
         while element is not None:
-            if not element.score and element.parent is not None:
-                children.setdefault(id(element.parent), []).append(element)
-            element.score += score
-            element = element.parent
-    container = found[0][0]
-    while container.parent is not None:
-        container = container.parent
-    while True:
-        inner = [c for c in children.get(id(container), ()) if c.score >= 0.9 * total]
-        if not inner or inner[0].name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "tbody", "blockquote", "pre", "dd", "dt"):
-            break
-        container = inner[0]
-
-    def within(element):
-        while element is not None and element is not container:
+            out.append(element)
             element = element.parent
-        return element is not None
-
-    linkish = {p for p, s in sums.items() if s[3] > 0.5 * s[1] and p not in content}
-    return "\n\n".join(text for element, text, _ in found if within(element) and element.path not in linkish)
+        return out[::-1]
+
+    line = chain(elements[0])
+    place = {id(e): i for i, e in enumerate(line)}
+    end = len(line) - 1
+    for up in elements[1:]:
+        while id(up) not in place:
+            up = up.parent
+        end = min(end, place[id(up)])
+    while end and line[end].name in _PARTS:
+        end -= 1
+    return line[end]
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:

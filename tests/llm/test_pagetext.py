@@ -50,6 +50,23 @@ def test_broken_and_plain_pages():
     assert pagetext.main_text(f"<article><p>{long}</article>") == long.strip()
 
 
+def test_nothing_of_an_article_is_dropped():
+    """Headings and leads outside the body's div, sections, long lists and tables, references."""
+    long = "".join(f"<p>{SENTENCES} {SENTENCES}</p>" for _ in range(30))
+    body = ["Title", "Lead.", *[f"{SENTENCES} {SENTENCES}"] * 30]
+    inner = f"<h1>Title</h1><p>Lead.</p><div>{long}</div>"
+    refs = "<ul>" + "".join(f"<li><a href=x>Reference {i}</a></li>" for i in range(9)) + "</ul>"
+    named = [f"Reference {i}" for i in range(9)]
+    for page in ("<article>{}</article>", "<main>{}</main>", "<div class=page>{}</div>"):
+        assert pagetext.main_text(page.format(inner)) == "\n\n".join(body)
+        assert pagetext.main_text(page.format(f"<section><h2>A</h2><p>Short, but text.</p></section><section>{long}</section><section><p>End.</p></section>")) == "\n\n".join(["A", "Short, but text.", *body[2:], "End."])
+        for a, b in (("<ul>", "</ul>"), ("<table>", "</table>")):
+            items = long.replace("<p>", "<li>" if a == "<ul>" else "<tr><td>").replace("</p>", "")
+            assert pagetext.main_text(page.format(f"<p>Before, all of it.</p>{a}{items}{b}<p>After.</p>")) == "\n\n".join(["Before, all of it.", *body[2:], "After."])
+        assert pagetext.main_text(page.format(f"<p>{SENTENCES}</p>{refs}<p>{SENTENCES}</p>")) == "\n\n".join([SENTENCES, *named, SENTENCES])
+    assert pagetext.main_text(f"<article><p>{SENTENCES}</p>{refs}</article>") == "\n\n".join([SENTENCES, *named])
+
+
 def test_edges(spark):
     rows = [(1, None, None, "t", 1), (None, "u", "", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
