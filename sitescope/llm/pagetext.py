@@ -3,9 +3,11 @@
 A page is read into blocks of text, each with the path of block elements from the
 root. For every path, text length, punctuation and link text are added up over its
 blocks; the ratios of text and of punctuation per block are smoothed along the page,
-fused, and paths under the threshold or mostly of links are no content. A page that marks
-its content (article, main) is read there alone, and whole. Else the container is the deepest element that
-holds all content; all its blocks from the first to the last of content come along
+fused, and paths under the threshold or mostly of links are no content. All blocks count
+for the ratios, also where a page marks its content (article, main); the marks are a bonus:
+the marked text is the article, whole, unless content outside it is longer than twice the
+marked content and ``BONUS`` characters more. Else the container is the deepest element that
+holds all unmarked content; all its blocks from the first to the last of content come along
 (headings, short paragraphs, lists of links), and before and after them all but paths of links.
 
 Elements that are never text (scripts, styles, forms, comments), landmarks of the
@@ -46,6 +48,8 @@ _WORDS = frozenset(
     "related reply replies share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget".split()
 )
 _CONTENT = frozenset("article main".split())
+#: Text outside the marks is the content if it is longer than so many times the marked text and so many characters.
+BONUS = (2, 200)
 #: Parts of running text, lists and tables; the container is never one of them.
 _PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr tbody thead tfoot table ul ol dl blockquote pre dd dt".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -158,7 +162,6 @@ def _smoothed(values: list[float]) -> list[float]:
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in page order, joined by empty lines."""
     found = blocks(page) if page else []
-    found = [b for b in found if _marked(b[0])] or found
     if not found:
         return ""
     sums: dict[str, list[float]] = {}
@@ -177,10 +180,12 @@ def main_text(page: str | None) -> str:
     linkish = {p for p, s in sums.items() if s[3] > 0.5 * s[1]}
     content = {p for p in sums if best[p] >= least and p not in linkish} or set(sums)
 
-    if _marked(found[0][0]):
-        return "\n\n".join(text for _, text, _ in found)
+    marked = [_marked(e) for e, _, _ in found]
+    sides = [sum(len(text) for (e, text, _), m in zip(found, marked, strict=True) if m == side and e.path in content) for side in (False, True)]
+    if any(marked) and sides[0] <= BONUS[0] * sides[1] + BONUS[1]:
+        return "\n\n".join(text for (_, text, _), m in zip(found, marked, strict=True) if m)
 
-    places = [i for i, (e, _, _) in enumerate(found) if e.path in content]
+    places = [i for i, (e, _, _) in enumerate(found) if e.path in content and not marked[i]]
     inside = _common([found[i][0] for i in places])
     kept = []
     for i, (element, text, _) in enumerate(found):

@@ -67,6 +67,18 @@ def test_nothing_of_an_article_is_dropped():
     assert pagetext.main_text(f"<article><p>{SENTENCES}</p>{refs}</article>") == "\n\n".join([SENTENCES, *named])
 
 
+def test_a_teaser_is_not_the_text():
+    """The article element is a bonus; it does not outweigh a whole text elsewhere."""
+    text = "".join(f"<p>{SENTENCES}</p>" for _ in range(12))
+    want = "\n\n".join([SENTENCES] * 12)
+    teaser = "<article class=card><h3>More</h3><p>A short teaser, no more.</p></article>"
+    for page in (f"<body>{teaser}<div id=content>{text}</div>", f"<body><div id=content>{text}</div>{teaser}{teaser}"):
+        assert pagetext.main_text(page) == want
+    assert pagetext.main_text(f"<body><div>{SENTENCES}</div><article>{text}</article><div>{SENTENCES}</div>") == want
+    within = pagetext.main_text(f"<body><div id=content>{text}{teaser}{text}</div>")
+    assert within == "\n\n".join([want, "More", "A short teaser, no more.", want])
+
+
 def test_edges(spark):
     rows = [(1, None, None, "t", 1), (None, "u", "", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
