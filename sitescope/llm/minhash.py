@@ -378,6 +378,18 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80, key:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), as it is."""
-    gone = near_duplicates(documents).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """One document of each group of near-duplicates (five words, 0.8), as it is.
+
+    Rows that share an id are one document, so one row of the kept id stays: that of the
+    longest text, of equally long ones the greatest. Rows with a null id link with nothing
+    and all stay.
+    """
+    judged = near_duplicates(documents).where("doc_id is not null").groupBy("doc_id")
+    judged = checkpointed(judged.agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    others = documents.join(judged, "doc_id", "left_anti").select(*documents.columns)
+    again = judged.where("kept")
+    if again.isEmpty():
+        return others
+    longest = F.max_by(F.struct("*"), F.struct(F.coalesce(F.length("text"), F.lit(-1)), "text"))
+    rows = documents.join(again, "doc_id", "left_semi").select(*documents.columns).groupBy("doc_id").agg(longest.alias("row"))
+    return others.union(rows.select(*[F.col("row")[c].alias(c) for c in documents.columns]))

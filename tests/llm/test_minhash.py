@@ -73,6 +73,13 @@ def test_edges(spark):
     assert {r.doc_id for r in kept.collect()} == {None, 5, 6, 7, 8}
 
 
+def test_one_row_of_a_group_is_kept(spark):
+    rows = [(1, "a b c d e f", i) for i in range(5)] + [(2, "a b c d e f", 0), (3, None, 0), (3, None, 0), (4, "", 0), (4, "x y", 0), (5, "only once", 0), (None, "n", 0), (None, "n", 0)]
+    kept = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == [(0, "n"), (0, "n"), (1, "a b c d e f"), (3, ""), (4, "x y"), (5, "only once")]
+
+
 def test_estimate_follows_the_sets():
     import numpy as np
 
