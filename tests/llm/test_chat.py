@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from sitescope.llm import chat
 from sitescope.llm.common import read
-from sitescope.llm.queries import QUERIES
+from sitescope.llm.queries import ORACLES, QUERIES
 
 PIECES = st.lists(st.sampled_from(["<|im_start|>", "<|im_end|>", "<|", "|>", "<", "|", "\\", "\n", "n", "assistant", "é🙂"]), max_size=9).map("".join)
 
@@ -77,3 +77,16 @@ def test_edges(spark):
     out = {r.conv_id: r.n_turns for r in chat.formatted_conversations(spark.createDataFrame(rows, schema)).collect()}
     assert out == {1: 2, None: 1, 2: 2, -1: 2}
     assert chat.formatted_conversations(spark.createDataFrame([], schema)).count() == 1
+
+
+def test_sql_counterpart(spark):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    want = con.execute(ORACLES["op1_chat"])
+    names = [d[0] for d in want.description]
+    rows = QUERIES["op1_chat"](spark, sf_dir)
+    assert names == rows.columns
+    assert sorted(map(tuple, rows.collect())) == sorted(want.fetchall())
