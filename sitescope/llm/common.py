@@ -11,9 +11,14 @@ from pyspark.sql.types import StructType
 from sitescope.session import checkpointed
 
 
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so a batch of long texts stays small."""
+    """Bound the rows and the bytes of an Arrow batch, so a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,22 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 
-from sitescope.llm import bpe, chat, decontaminate, embeddings, language, minhash, pagetext, pii, scoring, urlfilter
+from sitescope.llm import (
+    balltree,
+    bpe,
+    centroids,
+    chat,
+    counterparts,
+    decontaminate,
+    embeddings,
+    language,
+    minhash,
+    pagetext,
+    pii,
+    scoring,
+    sharding,
+    urlfilter,
+)
 from sitescope.llm.common import read
 
 QUERIES = {
@@ -19,6 +34,9 @@ QUERIES = {
     "op8_contamination": lambda spark, sf_dir: decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op9_pseudonyms": lambda spark, sf_dir: pii.private_data(read(spark, sf_dir, "documents")),
     "op10_main_text": lambda spark, sf_dir: pagetext.extracted_pages(read(spark, sf_dir, "pages")),
+    "op11_ranked_search": lambda spark, sf_dir: balltree.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op12_sharding": lambda spark, sf_dir: sharding.sharded_documents(read(spark, sf_dir, "documents")),
+    "op13_centroids": lambda spark, sf_dir: centroids.clusters(read(spark, sf_dir, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
 #: Over the raw table; equal turns of a conversation go by role, then text, nulls first.
@@ -38,4 +56,9 @@ select
         + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) as bigint) as formatted_chars
 from turns group by conv_id
 """
-ORACLES: dict[str, str] = {"op1_chat": _CHAT}
+ORACLES: dict[str, str] = {
+    "op1_chat": _CHAT,
+    "op11_ranked_search": counterparts.SEARCH,
+    "op12_sharding": counterparts.SHARDS,
+    "op13_centroids": counterparts.CLUSTERS,
+}
