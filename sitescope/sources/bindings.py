@@ -373,3 +373,12 @@ def job_events_from(events: DataFrame) -> DataFrame:
         step.alias("step"),
         (F.col("event_id") % 9 - 1).cast("int").alias("pages"),
     )
+
+
+def named_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers (even ids) and suppliers (odd ids); a third of those is written like a customer's, with an error."""
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Custmer"))).otherwise(F.col("s_name"))
+    customers = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("company_id"), F.col("c_name").alias("display_name"))
+    return customers.unionByName(
+        table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("company_id"), name.alias("display_name"))
+    )
