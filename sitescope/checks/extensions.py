@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitescope.checks.oracle import DOCS, ORACLES, _with
+from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with
 from sitescope.checks.queries import QUERIES, query
-from sitescope.operators import names
+from sitescope.operators import depth, names, taxonomy
 from sitescope.plans import relevance as rel
-from sitescope.plans.search import Filter, SearchSpec
+from sitescope.plans.search import Filter, SearchSpec, search_items
 from sitescope.sources import bindings as B
 
 # --- weighted relevance -----------------------------------------------------
@@ -109,4 +110,102 @@ ORACLES["search_fuzzy"] = _with(
 measured as (select company_id, display_name, round(len(list_intersect(own, asked)) / (len(own) + len(asked) - len(list_intersect(own, asked))), 6) as similarity from cut)"""
 ) + "select company_id, display_name, similarity from measured where similarity >= 0.4 order by similarity desc, display_name, company_id limit 50"
 
+# --- industries -------------------------------------------------------------
+
+_LEAF = "c_mktsegment || '/' || c_nationkey || '/' || case when c_acctbal < 0 then 'small' else 'large' end"
+_INDUSTRIES = f"""leaves as (select distinct c_mktsegment as a, c_mktsegment || '/' || c_nationkey as b, {_LEAF} as c from customer),
+industries as (select 'ALL' as node, cast(null as varchar) as above union select a, 'ALL' from leaves union select b, a from leaves union select c, b from leaves),
+closure as (select node as ancestor, node, 0 as depth from industries
+ union all select i.above, c.node, c.depth + 1 from closure c join industries i on i.node = c.ancestor where i.above is not null),
+placed as (select c_custkey as company_id, case when c_custkey % 11 = 5 then null when c_custkey % 7 = 0 then c_mktsegment || '/' || c_nationkey
+ when c_custkey % 7 = 1 then c_mktsegment else {_LEAF} end as industry_id from customer)"""
+_RECURSIVE = "with recursive "
+
+
+@query
+def industry_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return taxonomy.hierarchy(B.industries(spark, sf)).closure
+
+
+ORACLES["industry_closure"] = _RECURSIVE + _INDUSTRIES + "select ancestor, node, cast(depth as int) as depth from closure"
+
+
+@query
+def industry_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies of every industry, alone and with all below it."""
+    return taxonomy.totals(B.company_industries(spark, sf), taxonomy.hierarchy(B.industries(spark, sf)).closure)
+
+
+ORACLES["industry_totals"] = _RECURSIVE + _INDUSTRIES + (
+    "select ancestor as node, count(*) filter (where depth = 0) as own, count(*) as total from closure join placed on industry_id = node group by 1"
+)
+
+
+@query
+def search_industry_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """A search in two industries that also finds the companies of all industries below them."""
+    closure = taxonomy.hierarchy(B.industries(spark, sf)).closure
+    documents = B.search_documents(spark, sf).join(B.company_industries(spark, sf), "company_id")
+    found = taxonomy.within(documents, closure, ["MACHINERY", "FURNITURE/5", "BUILDING/3/large"])
+    return search_items(found, SearchSpec(filters=(Filter("seo_score", "gte", ("10",)),), page_size=100))
+
+
+ORACLES["search_industry_tree"] = _RECURSIVE + _INDUSTRIES + "," + DOCS + (
+    f" select {ITEM} from docs join placed using (company_id) where industry_id in (select node from closure where ancestor in "
+    "('MACHINERY', 'FURNITURE/5', 'BUILDING/3/large')) and seo_score >= 10 order by seo_score desc nulls last, display_name, company_id limit 100"
+)
+
+
+@query
+def industry_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Industries on a cycle, after every segment was hung below its own first nation."""
+    rows = B.industries(spark, sf)
+    first = rows.where(F.col("parent_id") != "ALL").where(~F.col("parent_id").contains("/")).groupBy("parent_id").agg(F.min("industry_id").alias("below"))
+    hung = rows.join(first.withColumnRenamed("parent_id", "industry_id"), "industry_id", "left")
+    hung = hung.select("industry_id", F.coalesce("below", "parent_id").alias("parent_id"))
+    return taxonomy.hierarchy(hung).cycles
+
+
+ORACLES["industry_cycles"] = _RECURSIVE + _INDUSTRIES + "select a as node from leaves union select min(b) from leaves group by a"
+
+# --- crawl depth ------------------------------------------------------------
+
+
+@query
+def crawl_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Links from the home page to every url of its host; pages that nothing links to have none."""
+    pages = B.crawled_pages(spark, sf).select("host", "url", "html")
+    return depth.page_depths(pages, depth.site_links(pages))
+
+
+@query
+def crawl_depth_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return depth.depth_summary(crawl_depth(spark, sf))
+
+
+def _canonical(url: str) -> str:
+    plain = f"regexp_replace(regexp_replace({url}, '#.*$', ''), '^https?://(?:www[.])?', 'https://')"
+    path = f"regexp_replace({plain}, '^https://[^/?]*', '')"
+    return f"case when {path} = '' then {plain} || '/' when {path} = '/' then {plain} else regexp_replace({plain}, '/+$', '') end"
+
+
+_DEPTHS = _RECURSIVE + ",".join(
+    [
+        CAPTURES,
+        LINKS,
+        f"""own as materialized (select distinct host, {_canonical('url')} as url from site_pages),
+edges as materialized (select distinct l.host, {_canonical('b.url')} as url, {_canonical('l.url')} as target from page_links l join site_pages b using (page_id)
+ where regexp_replace(regexp_extract(l.url, '//([^/?#]*)', 1), '^www[.]', '') = l.host),
+reach as (select distinct host, 'https://' || host || '/' as url, 0 as depth from own
+ union select e.host, e.target, r.depth + 1 from reach r join edges e on e.host = r.host and e.url = r.url where r.depth < 25 and e.url <> e.target),
+levels as (select host, url, cast(min(depth) as int) as depth from reach group by 1, 2),
+depths as (select coalesce(o.host, l.host) as host, coalesce(o.url, l.url) as url, depth, o.url is not null as crawled
+ from own o full join levels l on o.host = l.host and o.url = l.url)""",
+    ]
+)
+ORACLES["crawl_depth"] = _DEPTHS + " select * from depths"
+ORACLES["crawl_depth_summary"] = _DEPTHS + (
+    " select depth, count(*) as urls, count_if(crawled)::bigint as crawled, count(distinct host) as hosts from depths group by depth"
+)
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -382,3 +382,25 @@ def named_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.unionByName(
         table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("company_id"), name.alias("display_name"))
     )
+
+
+def industry_leaf() -> Column:
+    """The finest industry of a customer: its segment, nation and kind of balance."""
+    kind = F.when(F.col("c_acctbal") < 0, "small").otherwise("large")
+    return F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string"), kind)
+
+
+def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """industry_id, parent_id: segments under one root, nations under segments, kinds under nations."""
+    leaf = table(spark, sf_dir, "customer").select(industry_leaf().alias("leaf")).distinct()
+    part = lambda n: F.substring_index("leaf", "/", n)
+    nodes = F.array(*[F.struct(part(n).alias("industry_id"), (part(n - 1) if n > 1 else F.lit("ALL")).alias("parent_id")) for n in (1, 2, 3)])
+    root = spark.range(1).select(F.lit("ALL").alias("industry_id"), F.lit(None).cast("string").alias("parent_id"))
+    return leaf.select(F.inline(nodes)).distinct().unionByName(root)
+
+
+def company_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_id, industry_id: two in seven stand under a nation or a segment only, one in eleven under none."""
+    key, leaf = F.col("c_custkey"), industry_leaf()
+    placed = F.when(key % 7 == 0, F.substring_index(leaf, "/", 2)).when(key % 7 == 1, F.col("c_mktsegment")).otherwise(leaf)
+    return table(spark, sf_dir, "customer").select(key.alias("company_id"), F.when(key % 11 != 5, placed).alias("industry_id"))
