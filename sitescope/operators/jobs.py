@@ -21,6 +21,18 @@ STATE_COLUMNS = (
 )
 
 
+def delivered_once(events: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row for each event id of a job, the earliest; events without an id are all different.
+
+    Ids count within their job, so two jobs may use the same ones. Repeats meet by job and id,
+    which also deals out a job of very many events.
+    """
+    facts = F.struct("ts", "step", "pages")
+    known = events.where("event_id is not null").groupBy(*key, "event_id").agg(F.min(facts).alias("_e"))
+    known = known.select(*key, "_e.ts", "event_id", "_e.step", "_e.pages")
+    return known.unionByName(events.where("event_id is null").select(*key, "ts", "event_id", "step", "pages"))
+
+
 def fold_events(
     events: DataFrame,
     key: Sequence[str],
@@ -33,12 +45,14 @@ def fold_events(
     pages. The lifecycle only moves forward, so the fold needs no ordered walk: the
     first start opens a job, the first complete or fail after it closes it, enqueue
     is legal while pending, and anything else is illegal (a negative page count
-    too). Both firsts are plain minima that combine before the shuffle.
+    too). Both firsts are plain minima that combine before the shuffle. An event that was
+    delivered again counts once.
 
     ``prior`` holds earlier states (key and STATE_COLUMNS) to continue from; only
     jobs with events are returned.
     """
     key = list(key)
+    events = delivered_once(events, key)
     order = F.struct("ts", "event_id")
     is_start = F.col("step") == "start"
     opened = events.groupBy(*key).agg(

@@ -24,7 +24,8 @@ class JobStateStore:
 
     A micro-batch adds its events and recomputes the jobs they belong to from all of
     their events, so the states equal a fold over everything that has arrived, however
-    the events were ordered, split or repeated, and however late one is. Both writes replace
+    the events were ordered, split or repeated, and however late one is (a repeat has the id of
+    an earlier event of its job; without an id it is another event). Both writes replace
     partitions, hence a replayed batch leaves the same tables.
     """
 
@@ -64,7 +65,7 @@ class JobStateStore:
         touched = [r[0] for r in jobs.select("_bucket").distinct().collect()]  # at most `buckets` numbers
         in_touched = F.col("_bucket").isin(touched)
         stored = self._read("events", f"{EVENT_TYPES}, _batch int").filter(in_touched)
-        events = stored.join(jobs.drop("_bucket"), key, "left_semi").dropDuplicates(["event_id"])
+        events = stored.join(jobs.drop("_bucket"), key, "left_semi")
         changed = self.bucketed(fold_events(events, key).select(*key, *STATE_COLUMNS))
         others = self._read("states", STATE_TYPES).filter(in_touched).join(jobs.drop("_bucket"), key, "left_anti")
         self._write(others.unionByName(changed), "states")

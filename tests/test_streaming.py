@@ -1,6 +1,9 @@
+import datetime
+
 from conftest import rows
 from sitescope.checks.queries import AS_OF
 from sitescope.operators.detect import detect_marketing, detect_technologies
+from sitescope.operators.jobs import fold_events
 from sitescope.operators.maintenance import stamped
 from sitescope.operators.projection import search_projection
 from sitescope.operators.seo_scan import seo_scan
@@ -34,6 +37,26 @@ def test_job_states_over_many_batches_with_repeats_and_replay(spark, tmp_path):
     assert {r.pop("job_id"): r for r in rows(job_states(store, again))} == walk(seen)
 
 
+def test_shared_null_and_repeated_ids_in_any_split(spark, tmp_path):
+    """Two jobs with the same ids, events without one, a start delivered three times: as the batch fold."""
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    events = [
+        (1, at(1), 1, "start", 0), (2, at(2), 1, "start", 0), (1, at(1), 1, "start", 0), (2, at(9), 2, "complete", 4), (1, at(9), 2, "fail", 0),
+        (3, at(1), None, "enqueue", 0), (3, at(2), None, "start", 0), (3, at(3), None, "start", 0), (4, at(5), None, "start", 0), (4, at(6), None, "complete", 1),
+        (1, at(1), 1, "start", 0),
+    ]
+    fold = rows(fold_events(spark.createDataFrame(events, EVENTS), ["job_id"]))
+    facts = {r["job_id"]: (r["state"], r["illegal"], r["events"]) for r in fold}
+    assert facts == {1: ("failed", 0, 2), 2: ("completed", 0, 2), 3: ("running", 1, 3), 4: ("completed", 0, 2)}
+    for size in (1, 4, 11):
+        source = str(tmp_path / f"events-{size}")
+        for i in range(0, len(events), size):
+            spark.createDataFrame(events[i : i + size], EVENTS).coalesce(1).write.mode("append").parquet(source)
+        store = JobStateStore(spark, str(tmp_path / f"state-{size}"), ("job_id",), "job_id long", buckets=2)
+        query = start_job_state(batches(spark, source), store, str(tmp_path / f"checkpoint-{size}"))
+        assert rows(job_states(store, query)) == fold
+
+
 def test_enrichment_equals_batch_and_survives_a_replay(spark, tmp_path, sf_dir):
     raw = B.table(spark, sf_dir, "pages")
     source = str(tmp_path / "pages")
