@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with
+from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with, q
 from sitescope.checks.queries import QUERIES, query
-from sitescope.operators import depth, names, taxonomy
+from sitescope.operators import depth, locations, names, taxonomy
 from sitescope.plans import relevance as rel
 from sitescope.plans.search import Filter, SearchSpec, search_items
 from sitescope.sources import bindings as B
@@ -208,4 +208,73 @@ ORACLES["crawl_depth_summary"] = _DEPTHS + (
     " select depth, count(*) as urls, count_if(crawled)::bigint as crawled, count(distinct host) as hosts from depths group by depth"
 )
 
+# --- locations --------------------------------------------------------------
+
+
+def _written_sql() -> str:
+    """The addresses as the bindings write them."""
+
+    def written(key: str, nation: str) -> str:
+        names = "[" + ", ".join(q(x) for x in B.STREETS) + f"][{key} % {len(B.STREETS)} + 1]"
+        kinds = "[" + ", ".join("[" + ", ".join(q(x) for x in k) + "]" for k in B.KINDS) + f"][{key} % 3 + 1]"
+        kinds += f"[case {key} % 5 when 1 then 2 when 3 then 3 else 1 end]"
+        wrong = f"case when {key} % 13 = 4 then substr({names}, 1, 2) || substr({names}, 4) else {names} end"
+        line = f"({key} % 7 + 1) || case when {key} % 4 = 2 then ', ' else ' ' end || {wrong} || ' ' || {kinds}"
+        return (
+            f"case when {key} % 6 = 5 then upper({line}) else {line} end as street, 'City ' || {nation} % 6 || case when {key} % 9 = 0 then '.' else '' end as city, "
+            f"case when {key} % 8 <> 3 then cast(10000 + {nation} * 10 + {key} % {len(B.STREETS)} % 2 as varchar) end as postcode, 'Nation ' || {nation} % 5 as country"
+        )
+
+    return (
+        f"written as (select c_custkey * 2 as company_id, {written('c_custkey', 'c_nationkey')} from customer "
+        f"union all select s_suppkey * 2 + 1, {written('(s_suppkey * 3 + 1)', 's_nationkey')} from supplier)"
+    )
+
+
+def _words_out(text: str) -> str:
+    for word, shorts in locations.STREET_WORDS.items():
+        text = f"regexp_replace({text}, '\\b(?:{'|'.join(shorts)})\\b', '{word}', 'g')"
+    return text
+
+
+_PLACES = _RECURSIVE + ",".join(
+    [
+        _written_sql(),
+        f"""plain as materialized (select company_id, {_words_out(_PLAIN.format('street'))} as street, {_PLAIN.format('city')} as city, cast(null as varchar) as state,
+ postcode, {_PLAIN.format('country')} as country from written),
+spelled as materialized (select *, regexp_extract(street, '\\b(\\d+\\p{{L}}?)\\b', 1) as number,
+ trim(regexp_replace(regexp_replace(street, '\\b\\d+\\p{{L}}?\\b', ' ', 'g'), ' +', ' ', 'g')) as name,
+ {'cast(' + chr(39) + '0x' + chr(39) + " || substr(md5(concat_ws('|', street, city, coalesce(postcode, ''), country)), 1, 15) as bigint)"} as spelling from plain),
+each as materialized (select spelling, count(*) as n, any_value(street) as street, any_value(city) as city, any_value(state) as state, any_value(postcode) as postcode,
+ any_value(country) as country, any_value(number) as number, any_value(name) as name from spelled group by 1),
+coded as materialized (select *, coalesce(postcode, case when min(postcode) over s = max(postcode) over s then min(postcode) over s end, '') as code
+ from each window s as (partition by country, city, number, name)),
+near as materialized (select x.spelling as a, y.spelling as b from coded x join coded y on x.country = y.country and x.city = y.city and x.number = y.number
+ and x.code = y.code and levenshtein(x.name, y.name) <= 1),
+reach as (select spelling as a, spelling as b from coded union select r.a, n.b from reach r join near n on n.a = r.b),
+grouped as (select a as spelling, min(b) as grp from reach group by 1),
+ranked as (select *, row_number() over (partition by grp order by n desc, spelling) as place, count(*) over (partition by grp) as spellings, sum(n) over (partition by grp) as total
+ from coded join grouped using (spelling)),
+places as materialized (select grp, spelling as location_id, street, city, state, postcode, country, spellings, cast(total as bigint) as addresses from ranked where place = 1)""",
+    ]
+)
+
+
+@query
+def location_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    return locations.resolve_locations(B.addresses(spark, sf)).locations
+
+
+ORACLES["location_dimension"] = _PLACES + " select * exclude (grp) from places"
+
+
+@query
+def company_locations(spark: SparkSession, sf: str) -> DataFrame:
+    return locations.resolve_locations(B.addresses(spark, sf)).links
+
+
+ORACLES["company_locations"] = _PLACES + (
+    " select company_id, location_id, count(*) as addresses from spelled join grouped using (spelling) join places using (grp) group by 1, 2"
+)
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -11,6 +11,8 @@ gathers names that are not alike.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,31 +61,37 @@ def name_classes(companies: DataFrame, key: str = "company_id", name: str = "dis
     return plain.join(first, "plain").select("company_id", "class", "plain")
 
 
-def similar_names(classes: DataFrame, edits: int = 1, key_names: int = KEY_NAMES) -> DataFrame:
+def similar_names(classes: DataFrame, edits: int = 1, key_names: int = KEY_NAMES, within: Sequence[str] = ()) -> DataFrame:
     """(a, b, distance) for all classes a < b whose names are within ``edits`` edits.
 
     ``classes``: company_id, class, plain, as from :func:`name_classes`; classes come out as their ids.
+    ``within``: columns that must be equal as well; they are part of every key, so rows without one pair with nothing.
     """
     if edits < 1:
         raise ValueError("equal names are one class")
+    within = list(within)
     rarest = Q * edits + 1
     short = rarest + Q - 1  # names with fewer trigrams than that may share none
-    names = checkpointed(classes.where("company_id = class").select("class", "plain"))
-    grams = names.where(F.length("plain") >= short).select("class", F.explode(trigrams(F.col("plain"))).alias("g"))
-    common = grams.groupBy("g").agg(F.count("*").alias("names"))
+    names = checkpointed(classes.where("company_id = class").select("class", "plain", *within).dropna(subset=["class", "plain", *within]))
+    grams = names.where(F.length("plain") >= short).select("class", *within, F.explode(trigrams(F.col("plain"))).alias("g"))
+    common = grams.groupBy(*within, "g").agg(F.count("*").alias("names"))
     # Rows of one gram may be a large share; they only meet its count, which Spark's skew join can split.
-    counted = grams.join(common, "g").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("names", "g"))).alias("all"))
-    keys = checkpointed(counted.select("class", F.explode(F.slice("all", 1, rarest)).alias("k")).select("class", F.col("k.g").alias("g")))
-    shared = keys.groupBy("g").agg(F.count("*").alias("sharing"))
-    keys = keys.join(shared.where("sharing > 1"), "g")
-    by_gram = keys.where(F.col("sharing") <= key_names).select("class", F.xxhash64("g.gram", "g.nth").alias("key"))
+    counted = grams.join(common, [*within, "g"]).groupBy("class", *within).agg(F.sort_array(F.collect_list(F.struct("names", "g"))).alias("all"))
+    keys = counted.select("class", *within, F.explode(F.slice("all", 1, rarest)).alias("k"))
+    keys = checkpointed(keys.select("class", F.xxhash64(*within, "k.g.gram", "k.g.nth").alias("key")))
+    shared = keys.groupBy("key").agg(F.count("*").alias("sharing"))
+    keys = keys.join(shared.where("sharing > 1"), "key")
+    by_gram = keys.where(F.col("sharing") <= key_names).select("class", "key")
     crowded = keys.where(F.col("sharing") > key_names).select("class").distinct().withColumn("crowded", F.lit(True))
     # A short name can match one that is longer by the edits, so that gets deletions too.
     cut = names.join(crowded, "class", "left").where((F.length("plain") < short + edits) | F.col("crowded"))
-    by_deletion = cut.select("class", F.explode(deletions(F.col("plain"), edits)).alias("rest")).select("class", F.xxhash64(F.lit(0), "rest").alias("key"))
-    both = by_gram.union(by_deletion).join(names, "class").select("key", "class", "plain", F.length("plain").alias("n"))
+    by_deletion = cut.select("class", *within, F.explode(deletions(F.col("plain"), edits)).alias("rest"))
+    by_deletion = by_deletion.select("class", F.xxhash64(F.lit(0), *within, "rest").alias("key"))
+    both = by_gram.union(by_deletion).join(names, "class").select("key", "class", "plain", *within, F.length("plain").alias("n"))
     x, y = both.alias("x"), both.alias("y")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
+    for c in within:
+        near &= F.col(f"x.{c}") == F.col(f"y.{c}")
     found = x.join(y, near).select(
         F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.levenshtein("x.plain", "y.plain", edits).alias("distance")
     )

@@ -404,3 +404,34 @@ def company_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, leaf = F.col("c_custkey"), industry_leaf()
     placed = F.when(key % 7 == 0, F.substring_index(leaf, "/", 2)).when(key % 7 == 1, F.col("c_mktsegment")).otherwise(leaf)
     return table(spark, sf_dir, "customer").select(key.alias("company_id"), F.when(key % 11 != 5, placed).alias("industry_id"))
+
+
+STREETS = ("Harbour View", "King", "Old Mill", "Station", "Victoria Park", "Church Hill", "Long Meadow", "Bridge Gate", "Castle", "Green Valley", "Orchard")
+KINDS = (("Street", "St.", "str"), ("Road", "Rd", "RD."), ("Avenue", "Ave.", "av"))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of customers and suppliers as people write them: short forms, punctuation, errors, missing postcodes."""
+
+    def written(key: Column, nation: Column) -> list[Column]:
+        number, street, kind = key % 7 + 1, key % len(STREETS), key % len(KINDS)
+        spelled = F.when(key % 5 == 1, 1).when(key % 5 == 3, 2).otherwise(0)
+        names = F.element_at(F.array(*[F.lit(x) for x in STREETS]), (street + 1).cast("int"))
+        kinds = F.array(*[F.array(*[F.lit(x) for x in k]) for k in KINDS])
+        kinds = F.element_at(F.element_at(kinds, (kind + 1).cast("int")), (spelled + 1).cast("int"))
+        wrong = F.when(key % 13 == 4, F.concat(F.substring(names, 1, 2), F.substring(names, 4, 40))).otherwise(names)
+        line = F.concat(number.cast("string"), F.when(key % 4 == 2, ", ").otherwise(" "), wrong, F.lit(" "), kinds)
+        city = F.concat(F.lit("City "), (nation % 6).cast("string"))
+        return [
+            F.when(key % 6 == 5, F.upper(line)).otherwise(line).alias("street"),
+            F.when(key % 9 == 0, F.concat(F.lit(" "), city, F.lit("."))).otherwise(city).alias("city"),
+            F.lit(None).cast("string").alias("state"),
+            F.when(key % 8 != 3, (10000 + nation * 10 + street % 2).cast("string")).alias("postcode"),
+            F.concat(F.lit("Nation "), (nation % 5).cast("string")).alias("country"),
+        ]
+
+    customers = table(spark, sf_dir, "customer")
+    suppliers = table(spark, sf_dir, "supplier")
+    return customers.select((F.col("c_custkey") * 2).alias("company_id"), *written(F.col("c_custkey"), F.col("c_nationkey"))).unionByName(
+        suppliers.select((F.col("s_suppkey") * 2 + 1).alias("company_id"), *written(F.col("s_suppkey") * 3 + 1, F.col("s_nationkey")))
+    )
