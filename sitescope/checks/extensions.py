@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitescope.checks import oracle as O
 from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with, q
-from sitescope.checks.queries import QUERIES, query
-from sitescope.operators import depth, locations, names, taxonomy
+from sitescope.checks.queries import QUERIES, _candidates, _site_documents, query
+from sitescope.functions.rules import marketing_rules
+from sitescope.operators import classify, contacts, depth, detect, entities, intelligence, locations, names, taxonomy
 from sitescope.plans import relevance as rel
-from sitescope.plans.search import Filter, SearchSpec, search_items
+from sitescope.plans.search import Filter, SearchSpec, facet_counts, matching, order_of, search_items
+from sitescope.session import shared_dir
 from sitescope.sources import bindings as B
+from sitescope.sources.export import export, read_export
 
 # --- weighted relevance -----------------------------------------------------
 
@@ -277,4 +283,252 @@ ORACLES["company_locations"] = _PLACES + (
     " select company_id, location_id, count(*) as addresses from spelled join grouped using (spelling) join places using (grp) group by 1, 2"
 )
 
+# --- classification, estimates, contacts ------------------------------------
+
+_RULES = classify.evidence_table(
+    """
+    English | 3 | the, that
+    English | 2 | of the, and
+    French | 4 | les, est
+    French | 2 | la, de la
+    German | 3 | der, die
+    German | 4 | und
+    Spanish | 3 | el, que
+    Sale | 7 | we are hiring, about us
+    """
+)
+
+
+def _business_sql() -> str:
+    cut = f"(case page_id % {len(B.BUSINESS_SNIPPETS)} " + " ".join(f"when {i} then {q(x)}" for i, x in enumerate(B.BUSINESS_SNIPPETS)) + " end)"
+    said = f"replace(replace({cut}, '{{host}}', host), '{{id}}', lpad(cast(page_id % 1000 as varchar), 4, '0'))"
+    return f"business as materialized (select page_id, company_id, url, page_type, replace(html, '</body>', {said} || '</body>') as html from site_pages)"
+
+
+def _words_of(text: str) -> str:
+    return rf"' ' || trim(regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+
+
+def _shown(markup: str) -> str:
+    """Visible text; the two references that are no letters are dropped first."""
+    text = f"regexp_replace({markup}, {q(O._ANY_TAG)}, ' ', 'g')"
+    return O._decode(f"replace(replace({text}, '&copy;', '©'), '&middot;', ' ')")
+
+
+_TEXTS = f"""marked as materialized (select page_id, company_id, url, page_type, html, regexp_replace(html, {q(O._OPAQUE)}, ' ', 'g') as markup from business where html is not null),
+texts as materialized (select company_id, {_words_of(O._decode(f"regexp_extract_all(markup, {q(O._TITLE)}, 1)[1]"))} as title,
+ {_words_of("regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)")} as path, {_words_of(_shown('markup'))} as text from marked)"""
+
+
+@query
+def industry_predicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels by replaced rules over titles, paths and texts of all pages."""
+    return classify.classify(classify.page_texts(B.business_pages(spark, sf)), _RULES, least=8.0, lead=0.25)
+
+
+def _classified(rules: list, least: float, lead: float) -> str:
+    values = ", ".join(f"({i}, {q(r.label)}, {q(r.phrase)}, {r.weight})" for i, r in enumerate(rules))
+    return f"""rules(number, label, phrase, weight) as (values {values}),
+hits as (select company_id, number, max(case when contains(title, ' ' || phrase || ' ') then 4 when contains(path, ' ' || phrase || ' ') then 2 else 1 end) as factor, count(*) as n
+ from texts join rules on contains(title, ' ' || phrase || ' ') or contains(path, ' ' || phrase || ' ') or contains(text, ' ' || phrase || ' ') group by 1, 2),
+pointed as (select company_id, label, phrase, (weight * factor * (2 - pow(2.0::double, 1 - least(n, 20))))::double as points from hits join rules using (number)),
+sums as (select company_id, label, sum(points) as points, string_agg(phrase, ', ' order by -points, phrase) as phrases from pointed group by 1, 2),
+placed as (select *, row_number() over (partition by company_id order by -points, label) as place, sum(points) over (partition by company_id) as total from sums),
+best as (select a.company_id, a.label, a.points as score, a.phrases, b.label as runner_up, coalesce(b.points, 0) as behind, a.total from (select * from placed where place = 1) a
+ left join (select * from placed where place = 2) b using (company_id)),
+judged as (select *, score >= {least}::double and score - behind >= {lead}::double * score as sure from best),
+labelled as (select company_id, case when sure then label else 'unknown' end as label, case when sure then round(score / (total + {least}::double), 6) else 0.0 end::double as confidence,
+ coalesce(score, 0.0)::double as score, runner_up, case when sure then phrases end as evidence from (select distinct company_id from texts) left join judged using (company_id))"""
+
+
+ORACLES["industry_predicted"] = _with(CAPTURES, _business_sql(), _TEXTS, _classified(_RULES, 8.0, 0.25)) + "select * from labelled"
+
+
+@query
+def estimate_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every signal about every company with what was observed."""
+    tools = detect.detect_technologies(B.crawled_pages(spark, sf)).groupBy("company_id").agg(F.count("*").alias("technologies"))
+    return intelligence.evidence_of(intelligence.page_facts(B.business_pages(spark, sf)), tools, 2024)
+
+
+@query
+def company_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return intelligence.estimates(estimate_evidence(spark, sf))
+
+
+def _evidence_sql() -> str:
+    hiring = " or ".join(f"contains(text, ' {p} ')" for p in intelligence.HIRING)
+    steps = lambda n, *rows: " ".join(f"when {n} >= {least} then {{'v': {q(v)}, 'p': {p}::double}}" for least, v, p in rows)
+    eras = ((20, "20+"), (10, "10-19"), (5, "5-9"), (0, "0-4"))
+    signals = [
+        ("employee_range", "page volume", "pages", ((30, "201+", 0.3), (12, "51-200", 0.3), (5, "11-50", 0.25), (1, "1-10", 0.25))),
+        ("employee_range", "careers pages", "careers", ((3, "51-200", 0.4), (1, "11-50", 0.3))),
+        ("employee_range", "technologies", "tools", ((8, "51-200", 0.3), (4, "11-50", 0.25), (1, "1-10", 0.2))),
+        ("revenue_range", "technologies", "tools", ((8, "20M+", 0.25), (4, "1M-20M", 0.25), (1, "under 1M", 0.2))),
+        ("revenue_range", "page volume", "pages", ((30, "20M+", 0.25), (12, "1M-20M", 0.25), (1, "under 1M", 0.2))),
+        ("hiring_status", "careers pages", "careers", ((3, "hiring", 0.7), (1, "hiring", 0.5), (0, "not hiring", 0.4))),
+        ("hiring_status", "phrases", "hiring", ((2, "hiring", 0.7), (1, "hiring", 0.6))),
+    ]
+    rows = [
+        f"select company_id, {q(a)} as attribute, {q(n)} as signal, cast({c} as varchar) as observed, case {steps(c, *rules)} end as s from facts" for a, n, c, rules in signals
+    ]
+    for column, name, p in (("founded", "founding year", 0.8), ("shown", "copyright year", 0.4)):
+        cases = steps(f"2024 - {column}", *[(n, v, p) for n, v in eras])
+        rows.append(f"select company_id, 'company_age', {q(name)}, cast({column} as varchar), case {cases} end from facts")
+    return rf"""counted as (select company_id, count(*) as pages, count_if(page_type = 'careers') as careers from business group by 1),
+shown as (select company_id, min(cast(nullif(regexp_extract(lower(html), '(?:©|&copy;|\(c\)|copyright)[^0-9]{{0,20}}((?:19|20)\d\d)', 1), '') as int)) as shown from business group by 1),
+said as (select company_id, count_if({hiring}) as hiring,
+ min(cast(nullif(regexp_extract(text, '(?:founded in|established in|established|since|est) ((?:19|20)\d\d) ', 1), '') as int)) as founded from texts group by 1),
+tool_counts as (select company_id, count(*) as tools from technologies group by 1),
+facts as materialized (select company_id, pages, careers, coalesce(hiring, 0) as hiring, founded, shown, coalesce(tools, 0) as tools
+ from counted left join shown using (company_id) left join said using (company_id) left join tool_counts using (company_id)),
+evidence as materialized (select company_id, attribute, s.v as value, signal, observed, s.p as probability from ({' union all '.join(rows)}) where s is not null),
+valued as (select company_id, attribute, value, round(1 - list_reduce(list_sort(list(probability)), lambda w, p: w * (1 - p), 1.0::double), 6) as confidence, count(*) as signals
+ from evidence group by all)"""
+
+
+_ESTIMATES = _with(*O.TECH, _business_sql(), _TEXTS, _evidence_sql())
+ORACLES["estimate_evidence"] = _ESTIMATES + "select * from evidence"
+ORACLES["company_estimates"] = _ESTIMATES + (
+    "select company_id, attribute, value, confidence, cast(signals as int) as signals from valued "
+    "qualify row_number() over (partition by company_id, attribute order by confidence desc, value) = 1"
+)
+
+
+@query
+def company_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Mail addresses, phones and profiles of every company over all its pages."""
+    return contacts.company_contacts(B.business_pages(spark, sf))
+
+
+@query
+def best_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    return contacts.best_contacts(contacts.company_contacts(B.business_pages(spark, sf)))
+
+
+_MAIL_SQL = rf"case when regexp_matches({{0}}, '^{contacts.MAIL}$') and not regexp_matches({{0}}, {q(contacts.NOT_MAIL)}) and not contains({{0}}, '..') and length(split_part({{0}}, '@', 1)) <= 64 then {{0}} end"
+
+
+def _mail(text: str) -> str:
+    return _MAIL_SQL.replace("{0}", f"lower(trim({text}))")
+
+
+def _phone(text: str) -> str:
+    digits = f"regexp_replace({text}, '[^0-9]', '', 'g')"
+    return (
+        f"case when starts_with(trim({text}), '+') and length({digits}) between 8 and 15 then '+' || {digits} "
+        f"when not starts_with(trim({text}), '+') and length({digits}) = 10 then {digits} end"
+    )
+
+
+_NETWORKS = " ".join(f"when {q(h)} then {q(k)}" for h, k in contacts.PROFILES.items())
+_CONTACTS = _with(
+    CAPTURES,
+    _business_sql(),
+    f"""marked as materialized (select page_id, company_id, page_type, regexp_replace(html, {q(O._OPAQUE)}, ' ', 'g') as markup from business where html is not null),
+hrefs as (select page_id, company_id, unnest({O._HREFS}) as href from marked),
+linked as (select *, replace(split_part(regexp_replace(href, '(?i)^(?:mailto|tel):', ''), '?', 1), '%20', ' ') as target, lower(split_part(href, ':', 1)) as scheme,
+ regexp_replace({O.host('href')}, '^(?:m|[a-z]{{2}})[.]', '') as site,
+ regexp_replace(regexp_extract(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', '') as path from hrefs),
+networked as (select *, case site {_NETWORKS} end as network from linked),
+of_links as (select page_id, company_id, case scheme when 'mailto' then 'mail' when 'tel' then 'phone' else network end as kind,
+ case when scheme = 'mailto' then {_mail('target')} when scheme = 'tel' then {_phone('target')}
+  when network is not null and path <> '' and not regexp_matches(path, {q(contacts.NOT_PROFILE)}) then 'https://' || site || path end as value, 'link' as place from networked),
+visible as materialized (select page_id, company_id, case when page_type = 'contact' then 'contact page' else 'text' end as place, {_shown('markup')} as shown from marked),
+mails as (select page_id, company_id, place, unnest(regexp_extract_all(shown, {q(contacts.MAIL)})) as m from visible),
+phones as (select page_id, company_id, place, unnest(regexp_extract_all(shown, {q(contacts.PHONE)})) as m from visible),
+found as (select distinct * from (select page_id, company_id, kind, value, place from of_links union all select page_id, company_id, 'mail', {_mail('m')}, place from mails
+ union all select page_id, company_id, 'phone', {_phone('m')}, place from phones) where value is not null),
+counted as (select company_id, kind, value, place, count(*) as n from found group by all),
+sure as (select company_id, kind, value, cast(sum(n) as bigint) as pages, round(1 - list_reduce(list_sort(list(pow(case place when 'link' then 1 - 0.7::double when 'contact page' then 1 - 0.6::double else 1 - 0.35::double end, least(n, 3)))),
+ lambda a, w: a * w, 1.0::double), 6) as confidence from counted group by all)""",
+)
+ORACLES["company_contacts"] = _CONTACTS + "select company_id, kind, value, confidence, pages from sure"
+ORACLES["best_contacts"] = _CONTACTS + (
+    "select company_id, kind, value, confidence from sure qualify row_number() over (partition by company_id, kind order by confidence desc, value) = 1"
+)
+
+# --- marketing and size in searches -----------------------------------------
+
+
+def _marketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Search documents with the marketing tools and the estimated size of each company."""
+    tools = detect.detect_marketing(B.crawled_pages(spark, sf)).groupBy("company_id").agg(F.sort_array(F.collect_set("tool_name")).alias("marketing"))
+    size = company_estimates(spark, sf).where("attribute = 'employee_range'").select("company_id", F.col("value").alias("employee_range"))
+    return _site_documents(spark, sf).join(tools, "company_id", "left").join(size, "company_id", "left")
+
+
+@query
+def search_marketing(spark: SparkSession, sf: str) -> DataFrame:
+    spec = SearchSpec(
+        filters=(Filter("marketing", "contains", ("hotjar", "meta pixel", "Google Tag Manager")), Filter("employee_range", "in", ("1-10", "11-50", "51-200"))),
+        page_size=100,
+    )
+    return search_items(_marketed(spark, sf), spec)
+
+
+@query
+def facet_marketing(spark: SparkSession, sf: str) -> DataFrame:
+    return facet_counts(_marketed(spark, sf), SearchSpec(filters=(Filter("has_contact_page", "eq", ("false",)),), facets=("marketing", "employee_range")))
+
+
+_MARKETED = f"""tool_rules(number, ord, tool, pattern) as (values {', '.join(f"({n}, {r.rule}, {q(r.name)}, {q(r.pattern)})" for n, r in enumerate(marketing_rules()))}),
+tool_lists as (select company_id, list_sort(list(distinct tool)) as marketing from site_pages join tool_rules on html <> '' and regexp_matches(html, pattern, 'i') group by 1),
+sizes as (select company_id, value as employee_range from valued where attribute = 'employee_range' qualify row_number() over (partition by company_id order by confidence desc, value) = 1),
+marketed as (select * from documents left join tool_lists using (company_id) left join sizes using (company_id))"""
+_BOTH = _with(*O._SITE, _business_sql(), _TEXTS.replace("marked as", "page_marks as").replace("from marked", "from page_marks"), _evidence_sql(), _MARKETED)
+ORACLES["search_marketing"] = _BOTH + (
+    f"select {ITEM} from marketed where list_has_any(marketing, ['Hotjar', 'Meta Pixel', 'Google Tag Manager']) and employee_range in ('1-10', '11-50', '51-200') "
+    "order by seo_score desc nulls last, display_name, company_id limit 100"
+)
+ORACLES["facet_marketing"] = _BOTH + (
+    "select field, value, count(*) as \"count\" from (select 'marketing' as field, unnest(marketing) as value from marketed where not has_contact_page "
+    "union all select 'employee_range', employee_range from marketed where not has_contact_page) where value is not null group by all"
+)
+
+# --- exports, registration in one pass --------------------------------------
+
+
+def _exported(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    spec = SearchSpec(filters=(Filter("seo_score", "gte", ("50",)),))
+    documents = B.search_documents(spark, sf)
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    export(matching(documents, spec), folder, form, order_of(spec.sort), file_rows=1000)
+    return read_export(spark, folder, check=True)
+
+
+@query
+def export_result(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents a search finds, written as CSV in its order and read back."""
+    return _exported(spark, sf, "csv")
+
+
+@query
+def export_json(spark: SparkSession, sf: str) -> DataFrame:
+    return _exported(spark, sf, "json")
+
+
+ORACLES["export_result"] = ORACLES["export_json"] = _with(DOCS) + "select * from docs where seo_score >= 50"
+
+
+@query
+def first_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests accepted by the rule that needs no rounds, over suppliers' and customers' claims in long chains."""
+    checked = entities.check_candidates(_candidates(spark, sf))
+    claims = checked.where("reason is null").select("request_id", F.inline("hosts")).select("request_id", "hostname")
+    chain = B.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") + 10_000_000).alias("request_id"),
+        F.explode(F.array(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), (F.col("o_orderkey") + F.col("o_custkey") % 3).cast("string")))).alias("hostname"),
+    )
+    return entities.first_claims(claims.union(chain))
+
+
+ORACLES["first_claims"] = _with(
+    O.MODEL,
+    O.CANDIDATES,
+    """all_claims as (select request_id, hostname from claims union all
+ select o_orderkey + 10000000, unnest(['c' || o_orderkey, 'c' || (o_orderkey + o_custkey % 3)]) from orders),
+firsts as (select hostname, min(request_id) as f from all_claims group by 1)""",
+) + "select request_id from all_claims join firsts using (hostname) group by 1 having bool_and(request_id = f)"
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -94,13 +95,32 @@ def first_come(claims: DataFrame) -> DataFrame:
             return accepted
 
 
-def register_companies(candidates: DataFrame, existing_domains: DataFrame) -> Registration:
-    """Accept or reject whole companies, in request order."""
+def first_claims(claims: DataFrame) -> DataFrame:
+    """request_ids that are first on all their hostnames, by two aggregates however requests hinge on one another.
+
+    A hostname is held for the first request that claims it, also if that one fails on another
+    hostname; who comes later can ask again in the next batch. So this accepts no request that
+    :func:`first_come` would reject for a hostname of an accepted one, but may put off some it accepts.
+    """
+    placed = claims.select("request_id", "hostname")
+    first = placed.groupBy("hostname").agg(F.min("request_id").alias("_first"))
+    won = placed.join(first, "hostname").groupBy("request_id").agg(F.bool_and(F.col("request_id") == F.col("_first")).alias("_wins"))
+    return won.filter("_wins").select("request_id")
+
+
+def register_companies(
+    candidates: DataFrame, existing_domains: DataFrame, settle: Callable[[DataFrame], DataFrame] = first_come
+) -> Registration:
+    """Accept or reject whole companies, in request order.
+
+    ``settle`` decides between requests of the batch: :func:`first_come` as if they were served one by one,
+    :func:`first_claims` in a fixed number of shuffles.
+    """
     checked = check_candidates(candidates)
     claims = _claims(checked)
     owned = owned_elsewhere(claims, existing_domains)
     free = claims.join(owned, "request_id", "left_anti")
-    accepted = first_come(free)
+    accepted = settle(free)
     no_domain = checked.filter("reason is null and size(hosts) = 0").select("request_id")
     accepted = accepted.unionByName(no_domain)
 

@@ -14,7 +14,7 @@ from sitescope.operators.classify import page_texts
 
 # Phrases and year patterns that the signals look for.
 HIRING = ("we are hiring", "open positions", "apply now", "join our team", "current vacancies")
-COPYRIGHT = r"(?:©|\(c\)|copyright)[^0-9]{0,20}((?:19|20)\d\d)"
+COPYRIGHT = r"(?:©|&copy;|\(c\)|copyright)[^0-9]{0,20}((?:19|20)\d\d)"
 FOUNDED = r"(?:founded in|established in|established|since|est) ((?:19|20)\d\d) "
 
 

@@ -435,3 +435,23 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select((F.col("c_custkey") * 2).alias("company_id"), *written(F.col("c_custkey"), F.col("c_nationkey"))).unionByName(
         suppliers.select((F.col("s_suppkey") * 2 + 1).alias("company_id"), *written(F.col("s_suppkey") * 3 + 1, F.col("s_nationkey")))
     )
+
+
+# Spliced before </body>, chosen by page: what visitors are told about the business.
+BUSINESS_SNIPPETS = (
+    '<p>Copyright 1998 - 2024. Established in 1987 by two brothers.</p><a href="tel:+61 2 5550 {id}">Call</a>',
+    '<p>We are hiring! See our open positions.</p><a href="mailto:Jobs@{host}?subject=x%20y">Jobs</a> or write to info@{host}, logo@2x.png',
+    '<footer>&copy; 2019 All rights reserved</footer><a href="https://www.facebook.com/{host}/">f</a><a href="https://x.com/share?u=1">s</a>',
+    '<p>Phone (020) 555-1234 or +44 20 7946 0{id}. Ring 020-555-1234!</p><a href="https://au.linkedin.com/company/c{id}?x=1">in</a>',
+    '<p>Since 2021 on this site. Join our team: apply now.</p><p>INFO@{host}</p><a href="mailto:noreply@{host}">no</a>',
+    "",
+)
+
+
+def business_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """company_id, url, page_type, html of all pages, with a snippet about the business."""
+    pages = crawled_pages(spark, sf_dir)
+    said = F.replace(
+        F.replace(_choose(F.col("page_id"), BUSINESS_SNIPPETS), F.lit("{host}"), F.col("host")), F.lit("{id}"), F.lpad((F.col("page_id") % 1000).cast("string"), 4, "0")
+    )
+    return pages.select("company_id", "url", "page_type", F.replace("html", F.lit("</body>"), F.concat(said, F.lit("</body>"))).alias("html"))
