@@ -1,6 +1,7 @@
 """Pages with known articles."""
 
 import re
+import time
 
 from sitescope.llm import pagetext
 from sitescope.llm.common import read
@@ -79,6 +80,53 @@ def test_a_teaser_is_not_the_text():
     assert within == "\n\n".join([want, "More", "A short teaser, no more.", want])
 
 
+def test_whole_table_without_marks(spark):
+    """The ratios alone find the same text when no element is called article."""
+    rows = read(spark, "/root/testdata/sf0.01", "pages").collect()
+    same = 0
+    for r in rows:
+        bare = re.sub("<(/?)article>", r"<\1div>", r.html)
+        same += pagetext.main_text(bare) == pagetext.main_text(r.html)
+    assert same >= 0.97 * len(rows)
+
+
+def test_class_words_are_no_verdict():
+    """Words of the frame as parts of other names, and names around all of the text."""
+    text = "".join(f"<p>{SENTENCES}</p>" for _ in range(5))
+    want, rest = "\n\n".join([SENTENCES] * 5), f'<div id="comments"><p>{SENTENCES}</p></div><footer>x</footer>'
+    for name in ("site no-sidebar", "layout-with-sidebar", "post comments-open", "social-science", "ad-free", "skip-lazy", "notice-of-appeal", "has-related-posts"):
+        for inner in (f"<article>{text}</article>", text):
+            assert pagetext.main_text(f'<body><nav><a>m</a></nav><div class="{name}">{inner}</div>{rest}') == want, name
+    assert pagetext.main_text(f'<article class="post comment-status-open">{text}</article>{rest}') == want
+    assert pagetext.main_text(f'<article class="widget">{text}</article>{rest}') == want
+    assert pagetext.main_text(f'<form id="page"><h1>T</h1>{text}</form><div class="ad">Buy, buy.</div>') == f"T\n\n{want}"
+    assert pagetext.main_text(f'<body><div class="widget">{text}</div>') == want
+    assert pagetext.main_text(f'<body data-id="sidebar"><div id=\'main\' data-class="ad">{text}</div>') == want
+
+
+def test_frames_by_whole_names():
+    for name in ('id="respond"', 'class="adsbygoogle"', "class=sidebar-left", 'class="x post-comments"', 'role="complementary"', 'class="cookie-notice box"', 'id="nav-2"'):
+        assert pagetext.main_text(f"<body><div><h1>T</h1><p>{SENTENCES}</p></div><div {name}><p>{SENTENCES}</p></div>") == f"T\n\n{SENTENCES}", name
+    inline = 'One, two <span class="ad">BUY <span>more</span> now</span>three<b class="share-button"> S</b>.'
+    assert pagetext.main_text(f"<article><p>{inline}</p><p>End, <i class=ad>not closed.</p><p>Last.</p></article>") == "One, two three .\n\nEnd,\n\nLast."
+    long = f"<p>{SENTENCES}</p>" * 30
+    assert pagetext.main_text(f'<article><h1>A</h1><p>Short, text.</p></article><div id="comments">{long}</div>') == "A\n\nShort, text."
+
+
+def test_time_is_in_proportion():
+    """Deep, broken and repetitive pages of up to a megabyte."""
+    begin = time.perf_counter()
+    pages = {
+        "<script " * 130_000: "", "<div>" * 50_000 + "deep, deep." + "</div>" * 50_000: "deep, deep.", "<div>" * 50_000 + "</section>" * 50_000 + "a, b.": "a, b.",
+        "<!" * 500_000: "", '<p a="' * 150_000: "", "<!--" * 200_000: "",
+    }
+    for page, want in pages.items():
+        assert pagetext.main_text(page) == want
+    for part in ("<div>word, ", "<h1><p>w, ", "<ul><li>x, ", '<div class="sidebar">x, ', '<span class="ad">'):
+        pagetext.main_text(part * 30_000)
+    assert time.perf_counter() - begin < 30
+
+
 def test_edges(spark):
     rows = [(1, None, None, "t", 1), (None, "u", "", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1), (2, "u", "<p>a, b.</p>", "t", 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
