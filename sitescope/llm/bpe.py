@@ -28,7 +28,9 @@ from sitescope.llm.common import arrow_rows, widened
 #: A tokenizer file is broadcast; larger files are refused.
 MODEL_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Verdicts on borders that a worker remembers.
+FITS = 300_000
 #: Fixed value: the pre-tokenizer's pattern for byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -76,15 +78,6 @@ class Bpe:
         if self.added:
             longest = sorted(self.added, key=len, reverse=True)
             self.find_added = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split
-        top = max([*self.public, *self.added.values()])
-        slices = [b""] * (top + 1)
-        for t, i in enumerate(self.public):
-            if i >= 0:
-                slices[i] = self.bytes[t]
-        for text, i in self.added.items():
-            slices[i] = text.encode()
-        self.offsets = np.cumsum([0, *map(len, slices)])
-        self.blob = np.frombuffer(b"".join(slices), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank keeps the border between tokens ``a`` and ``b``.
@@ -125,7 +118,7 @@ class Bpe:
                     key = before << 24 | t
                     ok = fits.get(key)
                     if ok is None:
-                        if len(fits) >= 1_000_000:
+                        if len(fits) >= FITS:
                             fits.clear()
                         ok = fits[key] = self.compatible(before, t)
                     if ok:
@@ -162,6 +155,18 @@ class Bpe:
                 parts += [known(w) or self.packed(w) for w in self.find_words(piece)]
         return b"".join(parts)
 
+
+class Slices:
+    """The bytes of all tokens in one piece, and the table of offsets where each begins."""
+
+    def __init__(self, raw: bytes):
+        spec, letters = json.loads(raw), byte_letters()
+        found = {i: bytes(letters[c] for c in name) for name, i in spec["model"]["vocab"].items() if all(c in letters for c in name)}
+        found |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
+        slices = [found.get(i, b"") for i in range(max(found) + 1)]
+        self.offsets = np.cumsum([0, *map(len, slices)])
+        self.blob = np.frombuffer(b"".join(slices), np.uint8)
+
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4")
         if not len(ids):
@@ -177,6 +182,11 @@ def _model(raw: bytes) -> Bpe:
     return Bpe(raw)
 
 
+@lru_cache(maxsize=2)
+def _slices(raw: bytes) -> Slices:
+    return Slices(raw)
+
+
 def load(spark: SparkSession, path: str):
     """Read a tokenizer file on the driver and hand it to the executors."""
     with open(path, "rb") as file:
@@ -215,9 +225,9 @@ def decode(frame: DataFrame, model, ids: str = "ids", text: str = "decoded") ->
     place = kept.columns.index(ids)
 
     def run(batches):
-        bpe = _model(model.value)
+        slices = _slices(model.value)
         for batch in batches:
-            texts = [bpe.decode(p or b"").decode("utf-8", "replace") for p in batch.column(place).to_pylist()]
+            texts = [slices.decode(p or b"").decode("utf-8", "replace") for p in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text]
             )

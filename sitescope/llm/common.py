@@ -41,6 +41,12 @@ def widened(frame: DataFrame, **kinds: str) -> StructType:
     return out
 
 
+def aside(frame: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """``frame`` with all columns but ``text`` under names that no operator adds, and those names by the old ones."""
+    names = {c: c if c == text else f"_c{i}" for i, c in enumerate(frame.columns)}
+    return frame.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds

@@ -19,10 +19,11 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  # pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import arrow_rows
+from sitescope.llm.common import arrow_rows, aside
 
 WINDOW = 10
 #: Words of one broadcast automaton.
@@ -251,30 +252,34 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, most_cover: float
     runs go, again until none is left (a cut can bring words together). Untouched
     documents are returned as they are, with null and empty texts.
     """
-    columns = documents.columns
-    found = find_hits(documents.select(F.struct("*").alias("row"), "text"), benchmark, window)
+    rows, names = aside(documents)
+    found = find_hits(rows, benchmark, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.first)
-    found = found.where(hit <= F.col("n_words") * most_cover).select("row", "text", "spans")
+    found = found.where(hit <= F.col("n_words") * most_cover).drop("n_words", "items")
     blocks = [documents.sparkSession.sparkContext.broadcast(b) for b in _blocks(benchmark, "item_id", "text")]
+    place = found.columns.index("text")
 
     def run(batches):
         automata = None
         for batch in batches:
-            texts = []
-            for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = [(s["first"], s["stop"]) for s in spans]
-                while spans:
-                    t = cut(t, spans)
+            old, spans = batch.column(place), batch.column("spans")
+            touched = pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False).nonzero()[0]
+            new = {}
+            for k in touched.tolist():
+                t, cuts = old[k].as_py(), [(s["first"], s["stop"]) for s in spans[k].as_py()]
+                while cuts:
+                    t = cut(t, cuts)
                     automata = automata or [Automaton(b.value, window) for b in blocks]
-                    spans = _merged([s for a in automata for s in a.scan(words(t))[0]])
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["row", "text", "spans"])
+                    cuts = _merged([s for a in automata for s in a.scan(words(t))[0]])
+                new[k] = t
+            if new:
+                column = pa.array([new.get(k, t) for k, t in enumerate(old.to_pylist())], pa.string())
+                batch = batch.set_column(place, "text", column)
+            yield batch
 
     clean = found.mapInArrow(run, found.schema)
-    touched = F.size("spans") > 0
-    values = {c: F.col("row")[c] for c in columns}
-    values["text"] = F.col("text")
-    if "n_chars" in columns:
+    values = {c: F.col(n) for c, n in names.items()}
+    if "n_chars" in names:
         kind = documents.schema["n_chars"].dataType
-        values["n_chars"] = F.when(touched, F.length("text").cast(kind)).otherwise(F.col("row")["n_chars"])
+        values["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col(names["n_chars"]))
     return clean.select(*[v.alias(c) for c, v in values.items()])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import arrow_rows, fold, widened
+from sitescope.llm.common import arrow_rows, aside, fold, widened
 
 SLOTS = 4096  # letter vectors; slot 0 is the border mark
 #: Languages that may be learned; prototypes are broadcast, so more are refused.
@@ -134,5 +134,6 @@ def predicted_languages(documents: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame) -> DataFrame:
     """The documents whose language can be told, as they are; ``und`` goes."""
     prototypes = learn(documents, fold("doc_id", 4) != 2)
-    rows = documents.select(F.struct("*").alias("row"), "text")
-    return predict(rows, prototypes).where("lang_pred != 'und'").select("row.*")
+    rows, names = aside(documents)
+    told = predict(rows, prototypes).where("lang_pred != 'und'")
+    return told.select(*[F.col(n).alias(c) for c, n in names.items()])

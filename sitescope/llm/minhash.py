@@ -45,11 +45,15 @@ _EDGES = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(56)
 _REST = np.uint64((1 << 56) - 1)
 
 
+#: Words whose hashes a worker remembers, some 20 MB of them.
+REMEMBERED = 100_000
+
+
 class _Hashes(dict):
     """64-bit hashes of words; bounded, as a cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
