@@ -14,19 +14,27 @@ match that does not validate is left as it stands. Repeated rows are treated ali
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Dates that are permuted: 250 * 292 days from the first of January 1900.
-FIRST_DAY, DAYS = "1900-01-01", (250, 292)
+#: Dates that are permuted: all 17 * 4297 days of the years 1900 to 2099.
+FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
+YEARS = (1900, 200)
+#: The setting that holds the key; Spark redacts settings of such names.
+KEY_SETTING = "spark.sitescope.pseudonym.secret"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 KEY_ID = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_/+-]{8,}\"?"
-DATE = r"(?<![0-9.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[.-][0-9])"
+DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9]|[.-][0-9])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
+SOCIAL = r"(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9]| [0-9]))"
+#: Country, check digits and 11 to 30 letters and digits, together or in groups of four.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 #: Three, three and four digits with or without a one, and up to 15 digits behind a plus; any digits.
 #: The second form ends before a date or an address of another kind.
 LOCAL_PHONE = r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
@@ -36,15 +44,15 @@ PHONE = rf"{LOCAL_PHONE}|(?<![0-9A-Za-z+/])\+[0-9](?:(?![ .-](?:{DATE}|{ADDRESS}
 CARD = rf"(?<![0-9])[0-9](?:(?![ -](?:{DATE}|{ADDRESS}|{SOCIAL}|{LOCAL_PHONE}))[ -]?[0-9]){{12,}}+"
 #: How cards are usually written.
 USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
-KINDS = {"email": EMAIL, "key_id": KEY_ID, "secret": SECRET, "date": DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "key_id": KEY_ID, "secret": SECRET, "iban": IBAN, "date": DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 
 
-def _hash(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
+def _hash(key: Column | str, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def permuted(left: Column, right: Column, a, b, key: str, kind: str) -> Column:
+def permuted(left: Column, right: Column, a, b, key, kind: str) -> Column:
     """(l, r): the keyed permutation of ``left`` < ``a`` and ``right`` < ``b``, as a struct of longs."""
     a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
 
@@ -105,7 +113,7 @@ def _check_digit(payload: Column) -> Column:
     return ((10 - _doubled(payload) % 10) % 10).cast("string")
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key) -> Column:
     def swap(d):
         n = F.length(d)
         body = F.substring(d, F.lit(2), n - 2)
@@ -124,7 +132,7 @@ def _valid_card(t: Column) -> Column:
     return F.length(d).between(13, 19) & _then(d, lambda x: F.substring(x, -1, 1) == _check_digit(F.substring(x, F.lit(1), F.length(x) - 1)))
 
 
-def _cards(m: Column, key: str) -> Column:
+def _cards(m: Column, key) -> Column:
     """(text, cards) of a run: from left to right the sub-runs between separators that validate.
 
     One in a usual grouping goes before all others that overlap it, then the longest.
@@ -171,7 +179,7 @@ def _cards(m: Column, key: str) -> Column:
 _COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key) -> Column:
     """Numbers of the North American plan stay in it, other ten digits stay out of it; other countries keep their code."""
 
     def ten_digits(d):
@@ -209,7 +217,7 @@ def _phone(m: Column, key: str) -> Column:
     return F.replace(_then(_digits(bare), lambda d: _refilled(bare, _then(d, swap))), F.lit("(#)"), F.lit("(0)"))
 
 
-def _social(m: Column, key: str) -> Column:
+def _social(m: Column, key) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     area, group, serial = (F.substring(m, i, n).cast("long") for i, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -218,17 +226,15 @@ def _social(m: Column, key: str) -> Column:
     def shown(p):
         number = p.l + 1
         rest = p.r
-        return F.concat_ws(
-            "-",
-            _padded(number + (number >= 666).cast("long"), 3),
-            _padded(F.floor(rest / 9999) + 1, 2),
-            _padded(rest % 9999 + 1, 4),
+        between = F.substring(m, 4, 1)
+        return F.concat(
+            _padded(number + (number >= 666).cast("long"), 3), between, _padded(F.floor(rest / 9999) + 1, 2), between, _padded(rest % 9999 + 1, 4)
         )
 
     return F.when(valid, _then(pair, shown)).otherwise(m)
 
 
-def _address(m: Column, key: str) -> Column:
+def _address(m: Column, key) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
 
     def swap(o):
@@ -241,7 +247,7 @@ def _address(m: Column, key: str) -> Column:
     return _then(octets, swap)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key) -> Column:
     a, b = DAYS
 
     def moved(layout):
@@ -252,22 +258,76 @@ def _date(m: Column, key: str) -> Column:
 
         return swap
 
-    out = m
-    for form, layout in (("^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy")):
+    out = F.when(m.rlike("^(?:1[3-9]|[23][0-9])/(?:0[1-9]|1[0-2])/"), _day_first(m, key)).otherwise(m)
+    layouts = (("^[0-9]{4}-", "yyyy-MM-dd"), ("^[0-9]{4}/", "yyyy/MM/dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^(?:0[1-9]|1[0-2])/", "MM/dd/yyyy"))
+    for form, layout in layouts:
         day = F.datediff(F.try_to_timestamp(m, F.lit(layout)).cast("date"), F.lit(FIRST_DAY).cast("date"))
         out = F.when(m.rlike(form), _then(day, moved(layout))).otherwise(out)
     return out
 
 
-def _email(m: Column, key: str) -> Column:
+def _day_first(m: Column, key) -> Column:
+    """Dates as 25/12/1999 whose day is no month; they change places with such dates only, so all texts stay distinct.
+
+    Days 13 to 28 move with month and year. Later days keep their number, as not every month has them.
+    """
+    day, month, year = (F.substring(m, i, n).cast("long") for i, n in ((1, 2), (4, 2), (7, 4)))
+    first, years = YEARS
+    shown = lambda d, mo, y: F.concat_ws("/", _padded(d, 2), _padded(mo, 2), y.cast("string"))
+
+    def among(months):
+        listed = F.array(*[F.lit(x).cast("long") for x in months])
+        pair = permuted(F.array_position(listed, month) - 1, year - first, len(months), years, key, f"date_{len(months)}")
+        return _then(pair, lambda p: shown(day, F.get(listed, p.l.cast("int")), p.r + first))
+
+    early = permuted((day - 13) * 12 + month - 1, year - first, 16 * 12, years, key, "date_first")
+    early = _then(early, lambda p: shown(F.floor(p.l / 12) + 13, p.l % 12 + 1, p.r + first))
+    leap = F.floor((year - first - 4) / 4)  # 49 leap years from 1904 to 2096
+    leap = _then(permuted(F.floor(leap / 7), leap % 7, 7, 7, key, "date_leap"), lambda p: shown(day, month, (p.l * 7 + p.r) * 4 + first + 4))
+    valid = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNotNull()
+    later = F.when(month == 2, leap).when(day == 31, among([1, 3, 5, 7, 8, 10, 12])).otherwise(among([1, *range(3, 13)]))
+    return F.when(valid, F.when(day <= 28, early).otherwise(later)).otherwise(m)
+
+
+def _rest_97(text: Column) -> Column:
+    """The number that letters (A is 10) and digits write, modulo 97."""
+
+    def add(rest, c):
+        value = F.ascii(c) - 48
+        return F.when(value < 10, (rest * 10 + value) % 97).otherwise((rest * 100 + value - 7) % 97)
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _iban(m: Column, key) -> Column:
+    """Country, letters and the length stay; digits behind the check digits are permuted, and those computed anew."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+
+    def swap(x):
+        country, body = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+        numbers = _digits(body)
+        half = F.floor(F.length(numbers) / 2).cast("int")
+        width = F.length(numbers) - half
+        ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
+        pair = permuted(F.substring(numbers, F.lit(1), half), F.substring(numbers, half + 1, width), ten(half), ten(width), key, "iban")
+        made = _then(pair, lambda p: _refilled(body, F.concat(_padded(p.l, half), _padded(p.r, width))))
+        whole = _then(made, lambda b: F.concat(country, _padded(98 - _rest_97(F.concat(b, country, F.lit("00"))), 2), b))
+        spaced = _then(whole, lambda w: F.when(m.contains(" "), F.trim(F.regexp_replace(w, "(.{4})", "$1 "))).otherwise(w))
+        valid = (_rest_97(F.concat(body, F.substring(x, 1, 4))) == 1) & (F.length(numbers) >= 4)
+        return F.when(valid, spaced).otherwise(m)
+
+    return _then(plain, swap)
+
+
+def _email(m: Column, key) -> Column:
     return F.concat(F.lit("u"), F.substring(_hash(key, F.lit("email"), F.lower(m)), 1, 16), F.lit("@mail.invalid"))
 
 
-def _key_id(m: Column, key: str) -> Column:
+def _key_id(m: Column, key) -> Column:
     return F.concat(F.lit("AKIA"), F.upper(F.substring(_hash(key, F.lit("key_id"), m), 1, 16)))
 
 
-def _secret(m: Column, key: str) -> Column:
+def _secret(m: Column, key) -> Column:
     lead = F.regexp_extract(m, r"^[A-Za-z_]+\s?[=:]\s?\"?", 0)
     tail = F.when(m.endswith('"'), F.lit('"')).otherwise("")
     value = F.substring(m, F.length(lead) + 1, F.length(m) - F.length(lead) - F.length(tail))
@@ -275,7 +335,7 @@ def _secret(m: Column, key: str) -> Column:
     return F.concat(lead, F.substring(hashed, F.lit(1), F.length(value)), tail)
 
 
-_SWAPS = {"email": _email, "key_id": _key_id, "secret": _secret, "date": _date, "address": _address, "social": _social, "phone": _phone}
+_SWAPS = {"email": _email, "key_id": _key_id, "secret": _secret, "iban": _iban, "date": _date, "address": _address, "social": _social, "phone": _phone}
 
 
 def _kind(m: Column) -> Column:
@@ -285,19 +345,42 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def _swapped(m: Column, kind: Column, key: str) -> Column:
+def _swapped(m: Column, kind: Column, key) -> Column:
     out = m
     for name in reversed(_SWAPS):
         out = F.when(kind == name, _SWAPS[name](m, key)).otherwise(out)
     return out
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key of the session's setting; where it is unset, a random one that the session keeps.
+
+    So a run links equal values, and runs that shall be linked with one another name the same key.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def pseudonymise(frame: DataFrame, key: str, text: str = "text", out: str = "text", found: str = "pii") -> DataFrame:
     """``frame`` with pseudonyms in ``out`` and ``found``: an array of (kind, match, pseudonym) in order.
 
     Columns named ``out`` or ``found`` are replaced. Only matches whose pseudonym
-    stands for them are listed; what does not validate is left in the text.
+    stands for them are listed; what does not validate is left in the text. The key is a
+    table of one row that the expressions look up, so no plan shows it.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    secret = frame.sparkSession.createDataFrame(pa.table({"key": [key]})).scalar()
+    names = []
+    for base in ("_key", "_rows", "_new"):
+        while base in frame.columns or base in (out, found):
+            base += "_"
+        names.append(base)
+    key_, rows_, new_ = names
+    frame, key = frame.withColumn(key_, secret), F.col(key_)
     raw = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     matches = F.coalesce(raw, F.array().cast("array<string>"))
 
@@ -309,28 +392,28 @@ def pseudonymise(frame: DataFrame, key: str, text: str = "text", out: str = "tex
         run = lambda: _then(_cards(m, key), lambda c: F.struct(c.text.alias("text"), c.cards.alias("listed")))
         return _then(_kind(m), lambda k: F.when(k == "card", run()).otherwise(single(m, k)))
 
-    rows = frame.withColumn("_rows", F.transform(matches, row))
+    rows = frame.withColumn(rows_, F.transform(matches, row))
     new = F.array_join(
         F.zip_with(
             F.split(F.col(text), ANY, -1),
-            F.transform("_rows", lambda r: r.text),
+            F.transform(rows_, lambda r: r.text),
             lambda piece, name: F.concat(piece, F.coalesce(name, F.lit(""))),
         ),
         "",
     )
-    rows = rows.withColumn("_new", F.when(F.size("_rows") > 0, new).otherwise(F.col(text)))
-    listed = F.filter(F.flatten(F.transform("_rows", lambda r: r.listed)), lambda r: r.pseudonym != r.match)
-    return rows.withColumns({found: listed, out: F.col("_new")}).drop("_rows", "_new")
+    rows = rows.withColumn(new_, F.when(F.size(rows_) > 0, new).otherwise(F.col(text)))
+    listed = F.filter(F.flatten(F.transform(rows_, lambda r: r.listed)), lambda r: r.pseudonym != r.match)
+    return rows.withColumns({found: listed, out: F.col(new_)}).drop(*names)
 
 
-def private_data(documents: DataFrame, key: str = "rotate-me") -> DataFrame:
+def private_data(documents: DataFrame, key: str) -> DataFrame:
     """One row per document: its whole text with pseudonyms and the number found of each kind."""
     done = pseudonymise(documents.select("doc_id", "text"), key)
     count = lambda kind: F.size(F.filter("pii", lambda r: r.kind == kind)).cast("long")
     return done.select("doc_id", "text", *[count(k).alias(f"n_{k}") for k in KINDS])
 
 
-def protect(documents: DataFrame, key: str = "rotate-me") -> DataFrame:
+def protect(documents: DataFrame, key: str) -> DataFrame:
     """The documents with pseudonyms in their texts; ``n_chars`` follows a changed text."""
     columns = documents.columns
     rows = documents.select(F.struct("*").alias("row"), "text")

@@ -32,7 +32,7 @@ QUERIES = {
     "op6_near_duplicates": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents"), size=4),
     "op7_lm_score": lambda spark, sf_dir: scoring.scored_documents(read(spark, sf_dir, "documents")),
     "op8_contamination": lambda spark, sf_dir: decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
-    "op9_pseudonyms": lambda spark, sf_dir: pii.private_data(read(spark, sf_dir, "documents")),
+    "op9_pseudonyms": lambda spark, sf_dir: pii.private_data(read(spark, sf_dir, "documents"), pii.key_of(spark)),
     "op10_main_text": lambda spark, sf_dir: pagetext.extracted_pages(read(spark, sf_dir, "pages")),
     "op11_ranked_search": lambda spark, sf_dir: balltree.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op12_sharding": lambda spark, sf_dir: sharding.sharded_documents(read(spark, sf_dir, "documents")),
