@@ -1,4 +1,4 @@
-"""SQL that says what the searches, shards and clusters of this subpackage must return."""
+"""SQL that says what the links, hits, searches, shards and clusters of this subpackage must return."""
 
 from __future__ import annotations
 
@@ -89,3 +89,54 @@ asked as (
 select item_id, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as int) as rank, doc_id, score
 from scored where score > 0 qualify rank <= 10
 """
+
+#: Pairs of linked rows as ``near`` (a, b, both ways) and what each row can reach.
+_REACH = "reach as (select a as node, b as other from near union select r.node, n.b from reach r join near n on n.a = r.other)"
+
+VECTORS = f"""
+with recursive usable as materialized (
+    select vec_id, label, cast(embedding as double[]) as v from embeddings
+    where vec_id is not null and label is not null and len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), near as materialized (
+    select x.vec_id as a, y.vec_id as b from usable x join usable y on x.label = y.label and x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+    where list_cosine_similarity(x.v, y.v) >= 0.93
+), {_REACH},
+links as (select a, count(*) as n from near group by 1),
+lowest as (select node, min(other) as low from reach group by 1)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join links on a = vec_id left join lowest on node = vec_id
+"""
+
+DUPLICATES = rf"""
+with recursive split as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as materialized (
+    select distinct doc_id, array_to_string(list_slice(w, i, i + 3), ' ') as s from split, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) where len(w) > 0
+), sizes as materialized (select doc_id, count(*) as n from shingles group by 1),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as shared from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+near as materialized (
+    select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * shared >= 80 * (p.n + q.n - shared)
+), {_REACH},
+lowest as (select node, min(other) as low from reach group by 1)
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) as kept
+from documents d left join sizes using (doc_id) left join lowest on node = d.doc_id
+"""
+
+CONTAMINATION = rf"""
+with split as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+    select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as materialized (
+    select distinct item, least(len(w), 10) as k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') as s
+    from items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) where len(w) > 0
+), found as materialized (
+    select doc_id, i, k, item from (
+        select doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as s from split, (select distinct k from windows), unnest(range(1, len(w) - k + 2)) t(i)
+    ) join windows using (k, s)
+), hits as (select doc_id, count(distinct place) as n from (select doc_id, unnest(range(i, i + k)) as place from found) group by 1),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as list from (select distinct doc_id, item from found) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(m.n, 0) as n_items, sha256(coalesce(list, '')) as items_sha256,
+    coalesce(h.n, 0) > 0 as contaminated
+from split left join hits h using (doc_id) left join named m using (doc_id)
+"""

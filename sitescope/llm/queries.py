@@ -58,6 +58,9 @@ from turns group by conv_id
 """
 ORACLES: dict[str, str] = {
     "op1_chat": _CHAT,
+    "op3_near_vectors": counterparts.VECTORS,
+    "op6_near_duplicates": counterparts.DUPLICATES,
+    "op8_contamination": counterparts.CONTAMINATION,
     "op11_ranked_search": counterparts.SEARCH,
     "op12_sharding": counterparts.SHARDS,
     "op13_centroids": counterparts.CLUSTERS,
