@@ -9,11 +9,24 @@ from pyspark.sql import functions as F
 
 from sitescope.checks import oracle as O
 from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with, q
-from sitescope.checks.queries import QUERIES, _candidates, _site_documents, query
+from sitescope.checks.queries import AS_OF, QUERIES, _candidates, _site_documents, query
 from sitescope.functions.rules import marketing_rules
-from sitescope.operators import classify, contacts, depth, detect, entities, intelligence, locations, names, taxonomy
+from sitescope.operators import (
+    classify,
+    contacts,
+    depth,
+    detect,
+    entities,
+    intelligence,
+    locations,
+    maintenance,
+    names,
+    relations,
+    seo_scan,
+    taxonomy,
+)
 from sitescope.plans import relevance as rel
-from sitescope.plans.search import Filter, SearchSpec, facet_counts, matching, order_of, search_items
+from sitescope.plans.search import Filter, SearchSpec, facet_counts, matching, order_of, request_errors, search, search_items
 from sitescope.session import shared_dir
 from sitescope.sources import bindings as B
 from sitescope.sources.export import export, read_export
@@ -531,4 +544,99 @@ ORACLES["first_claims"] = _with(
 firsts as (select hostname, min(request_id) as f from all_claims group by 1)""",
 ) + "select request_id from all_claims join firsts using (hostname) group by 1 having bool_and(request_id = f)"
 
+# --- requests, envelopes, stamps, broken pages ------------------------------
+
+
+@query
+def saved_search_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored requests made from customers, most of them faulty, with what is wrong first."""
+    n = F.col("c_custkey")
+    pick = lambda number, options: F.element_at(F.array(*[F.lit(o) for o in options]), (number % len(options) + 1).cast("int"))
+    values = F.when(n % 5 == 0, F.array().cast("array<string>")).when(n % 5 == 1, F.array(F.lit("40"))).when(n % 5 == 2, F.array(F.lit("1e1"), F.lit("nan"))).otherwise(
+        F.array("c_mktsegment")
+    )
+    one = F.struct(pick(n, _SAVED_FIELDS).alias("field"), pick(F.floor(n / 7), _SAVED_OPS).alias("op"), values.alias("values"))
+    requests = B.table(spark, sf, "customer").select(
+        n.alias("request_id"),
+        F.array(one).alias("filters"),
+        F.when(n % 19 == 0, F.array(F.lit("no_facet"))).alias("facets"),
+        F.when(n % 23 == 0, "price").otherwise("name").alias("sort"),
+        (n % 29).alias("page"),
+        (n % 31 * 7).alias("page_size"),
+    )
+    return request_errors(requests)
+
+
+_SAVED_FIELDS = ("industry", "seo_score", "has_ssl", "technology", "revenue", "marketing")
+_SAVED_OPS = ("eq", "in", "gte", "is_true", "contains", "like")
+ORACLES["saved_search_errors"] = f"""with r as (select c_custkey as n, {O._choose('c_custkey', _SAVED_FIELDS)} as field, {O._choose('(c_custkey // 7)', _SAVED_OPS)} as op,
+ case c_custkey % 5 when 0 then 0 when 2 then 2 else 1 end as k, c_custkey % 5 = 1 as number from customer),
+kinds as (select *, case field when 'industry' then 'text' when 'seo_score' then 'number' when 'has_ssl' then 'bool' when 'revenue' then null else 'list' end as kind from r),
+forms as (select *, case when kind = 'text' and op in ('eq', 'in') or kind = 'number' and op in ('gte', 'lte', 'eq') or kind = 'bool' and op in ('eq', 'is_true')
+ or kind = 'list' and op = 'contains' then true else false end as known from kinds)
+select n as request_id, case when n % 29 < 1 then 'page' when n % 31 * 7 not between 1 and 200 then 'page size' when n % 23 = 0 then 'sort' when n % 19 = 0 then 'unknown facet'
+ when not known then 'unknown filter' when kind = 'number' and k > 0 and not number then 'not a finite number'
+ when op = 'eq' and k <> 1 or op in ('gte', 'lte') and k <> 1 or op in ('in', 'contains') and k < 1 then 'number of values' end as reason from forms"""
+
+
+@query
+def search_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts of a search's answer as rows: total, page numbers, and how many items and facet rows came."""
+    found = search(B.search_documents(spark, sf), SearchSpec(text=" Customer ", filters=(Filter("seo_score", "gte", ("90",)),), facets=("industry",), page=2, page_size=40))
+    counts = [found.total, found.items.agg(F.count("*").alias("total")), found.facets.agg(F.count("*").alias("total"))]
+    named = [c.select(F.lit(n).alias("part"), F.col("total").alias("value")) for n, c in zip(("total", "items", "facets"), counts, strict=True)]
+    bounds = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("part"), F.lit(v).cast("long").alias("value")) for n, v in (("page", found.page), ("page_size", found.page_size))])))
+    return maintenance.union_all([*named, bounds])
+
+
+ORACLES["search_envelope"] = _with(DOCS, "hits as (select * from docs where contains(text_blob, 'customer') and seo_score >= 90)") + (
+    "select 'total' as part, count(*) as value from hits union all select 'items', least(greatest(count(*) - 40, 0), 40) from hits "
+    "union all select 'facets', count(distinct industry) from hits union all select 'page', 2 union all select 'page_size', 40"
+)
+
+
+@query
+def jobs_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing's page with its total beside every item."""
+    found = relations.listing(B.crawl_jobs(spark, sf).where("status = 'failed'"), [F.desc("created_at"), F.desc("job_id")], 2, 30)
+    total = found.total.scalar()
+    return found.items.select("job_id", "created_at", total.alias("total"), F.lit(found.page).alias("page"))
+
+
+ORACLES["jobs_envelope"] = O.M + (
+    "select job_id, created_at, (select count(*) from jobs where status = 'failed') as total, 2 as page from jobs where status = 'failed' "
+    "order by created_at desc, job_id desc limit 30 offset 30"
+)
+
+
+@query
+def stamped_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies with the time of a repeatable run."""
+    rows = B.companies(spark, sf).select("company_id", "status")
+    return maintenance.stamped(rows, "updated_at", AS_OF).withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+ORACLES["stamped_rows"] = O.M + f"select company_id, status, '{AS_OF}' as updated_at from companies"
+
+
+@query
+def malformed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of pages that break off, whose quotes are gone, or whose tags are never closed."""
+    pages = B.crawled_pages(spark, sf).select("page_id", "url", "html")
+    n, html = F.col("page_id"), F.col("html")
+    broken = (
+        F.when(n % 4 == 0, F.substring(html, F.lit(1), F.floor(F.length(html) / 2).cast("int")))
+        .when(n % 4 == 1, F.replace(html, F.lit('"'), F.lit("")))
+        .when(n % 4 == 2, F.replace(F.replace(html, F.lit("</"), F.lit("<")), F.lit("<p>"), F.lit("<p <p>")))
+        .otherwise(F.concat(html, F.lit("<a href='/x'><h1")))
+    )
+    return seo_scan.seo_signals(pages.withColumn("html", broken)).select("page_id", "title", "h1_count", "h2_count", "images_total", "internal_links", "word_count")
+
+
+_BROKEN = """broken as (select * replace (case page_id % 4 when 0 then substr(html, 1, length(html) // 2) when 1 then replace(html, '"', '')
+ when 2 then replace(replace(html, '</', '<'), '<p>', '<p <p>') else html || '<a href=''/x''><h1' end as html) from site_pages)"""
+ORACLES["malformed_pages"] = _with(CAPTURES, _BROKEN, O.SEO.replace("from site_pages)", "from broken)", 1)) + (
+    "select page_id, case when not regexp_matches(title, '(?i)</?[a-z]') then title end as title, h1_count, h2_count, images_total, internal_links, word_count from signals"
+)
+
 __all__ = ["ORACLES", "QUERIES"]

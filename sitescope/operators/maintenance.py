@@ -32,13 +32,13 @@ def upsert_latest(
     versions sends one row per task.
     """
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    others = [  # makes the pick among equals repeatable; maps cannot be ordered
-        f.name
+    others = [  # makes the pick among equals repeatable; maps go by their sorted entries
+        F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name)
         for f in sorted(existing.schema.fields, key=lambda f: f.name)
-        if f.name not in {*key, order} and not isinstance(f.dataType, MapType)
+        if f.name not in {*key, order}
     ]
     latest = W.partitionBy(*key).orderBy(
-        F.desc("_new"), F.desc_nulls_last(order), *[F.desc_nulls_last(c) for c in others]
+        F.desc("_new"), F.desc_nulls_last(order), *[c.desc_nulls_last() for c in others]
     )
     ranked = both.withColumn("_rank", F.row_number().over(latest))
     return ranked.filter("_rank = 1").select(*existing.columns)
