@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitescope.checks import oracle as O
 from sitescope.checks.oracle import CAPTURES, DOCS, ITEM, LINKS, ORACLES, _with, q
-from sitescope.checks.queries import AS_OF, QUERIES, _candidates, _site_documents, query
+from sitescope.checks.queries import AS_OF, JOB_KEY, QUERIES, _candidates, _site_documents, query
 from sitescope.functions.rules import marketing_rules
 from sitescope.operators import (
     classify,
@@ -23,6 +23,7 @@ from sitescope.operators import (
     names,
     relations,
     seo_scan,
+    stats,
     taxonomy,
 )
 from sitescope.plans import relevance as rel
@@ -202,6 +203,18 @@ def crawl_depth_summary(spark: SparkSession, sf: str) -> DataFrame:
     return depth.depth_summary(crawl_depth(spark, sf))
 
 
+@query
+def queue_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs waiting at the end of each twelve hours."""
+    return stats.queue_depth(B.job_events(spark, sf), JOB_KEY, "12 hours")
+
+
+ORACLES["queue_depth"] = """with jobs as (select user_id, cast(ts as date) as day, min(ts) as came, min(case when event_type = 'view' then ts end) as started from events group by 1, 2),
+moves as (select came as at_, 1 as came, 0 as started from jobs union all select started, 0, 1 from jobs where started is not null),
+moved as (select to_timestamp(floor(epoch(at_) / 43200) * 43200)::timestamp as window_start, cast(sum(came) as bigint) as came, cast(sum(started) as bigint) as started from moves group by 1)
+select *, cast(sum(came - started) over (order by window_start) as bigint) as waiting from moved"""
+
+
 def _canonical(url: str) -> str:
     plain = f"regexp_replace(regexp_replace({url}, '#.*$', ''), '^https?://(?:www[.])?', 'https://')"
     path = f"regexp_replace({plain}, '^https://[^/?]*', '')"

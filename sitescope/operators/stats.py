@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -67,3 +70,21 @@ def crawl_throughput(pages: DataFrame, window: str = "1 hour") -> DataFrame:
             F.round(F.col("failed") / F.col("pages"), 6).alias("error_rate"),
         )
     )
+
+
+def queue_depth(events: DataFrame, key: Sequence[str], window: str = "1 hour") -> DataFrame:
+    """Jobs that came, were started and were waiting at the end of each time window with either.
+
+    A job comes with its first event and leaves the queue with its first start. Jobs are added up
+    by window before anything is put in order, so the running sum goes over windows, not jobs.
+    """
+    started = F.min(F.when(F.col("step") == "start", F.col("ts")))
+    jobs = events.groupBy(*key).agg(F.min("ts").alias("came"), started.alias("started"))
+    moves = F.array(
+        F.struct(F.col("came").alias("at"), F.lit(1).alias("came"), F.lit(0).alias("started")),
+        F.struct(F.col("started").alias("at"), F.lit(0).alias("came"), F.lit(1).alias("started")),
+    )
+    moved = jobs.select(F.inline(moves)).where("at is not null").groupBy(F.window("at", window).alias("w"))
+    moved = moved.agg(F.sum("came").alias("came"), F.sum("started").alias("started")).select(F.col("w.start").alias("window_start"), "came", "started")
+    so_far = W.orderBy("window_start").rowsBetween(W.unboundedPreceding, 0)  # one row a window
+    return moved.withColumn("waiting", F.sum(F.col("came") - F.col("started")).over(so_far))

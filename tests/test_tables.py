@@ -1,9 +1,12 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
 from sitescope.operators import maintenance as M
 from sitescope.operators import projection, quality
+from sitescope.operators.stats import queue_depth
 from sitescope.plans.search import Filter, SearchSpec, search, suggest
 from sitescope.sources.capture import page_records
 from sitescope.sources.files import read_headers, write_headers, write_pages, write_projection
@@ -18,6 +21,24 @@ def test_upsert_keeps_one_row_and_is_repeatable(spark):
     assert rows(M.upsert_latest(once, new, ["company_id"], "scanned_at")) == rows(once)
 
 
+def test_rows_that_differ_in_a_map_are_picked_by_its_entries(spark):
+    shape = "company_id long, facts map<string,int>, scanned_at long"
+    new = [(1, {"b": 1, "a": 2}, 5), (1, {"a": 3}, 5), (1, None, 5), (1, {"a": 2, "b": 9}, 5)]
+    old = spark.createDataFrame([], shape)
+    for order in (new, new[::-1], new[2:] + new[:2]):
+        got = M.upsert_latest(old, spark.createDataFrame(order, shape).repartition(3), ["company_id"], "scanned_at")
+        assert [r["facts"] for r in rows(got)] == [{"a": 3}]
+
+
+def test_waiting_jobs(spark):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    events = [(1, at(0), "enqueue"), (1, at(5), "start"), (1, at(6), "complete"), (2, at(1), "enqueue"), (3, at(5), "start"), (4, at(9), "enqueue"), (4, at(11), "start"), (4, at(12), "start")]
+    frame = spark.createDataFrame(events, "job_id long, ts timestamp_ntz, step string")
+    found = queue_depth(frame, ["job_id"], "4 hours").orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.came, r.started, r.waiting) for r in found] == [(0, 2, 0, 2), (4, 1, 2, 1), (8, 1, 1, 1)]
+    assert queue_depth(frame.limit(0), ["job_id"]).collect() == []
+
+
 def test_replace_is_repeatable_and_can_empty_a_key(spark):
     shape = "company_id long, tool string"
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], shape)
