@@ -283,10 +283,27 @@ def technologies_of(found: DataFrame, rules: Sequence[RulePattern] | None = None
     )
 
 
+def with_tools(pages: DataFrame, rules: Sequence[RulePattern] | None = None) -> DataFrame:
+    """Adds ``tools``, the numbers of the marketing patterns that a page holds. Row-local."""
+    rules = marketing_rules() if rules is None else tuple(rules)
+    numbers = F.transform(_html_hits(rules), lambda h: h["number"])
+    return _with_lower(pages).select(*pages.columns, F.coalesce(numbers, F.array().cast("array<int>")).alias("tools"))
+
+
 def detect_marketing(pages: DataFrame, rules: Sequence[RulePattern] | None = None) -> DataFrame:
     """Marketing tools per company; evidence is the first pattern that is present."""
     rules = marketing_rules() if rules is None else tuple(rules)
-    found = page_matches(pages, rules).groupBy("company_id", "number").agg(F.lit(1).alias("_"))
+    return _tools_of(page_matches(pages, rules), rules)
+
+
+def marketing_of(found: DataFrame, rules: Sequence[RulePattern] | None = None) -> DataFrame:
+    """``detect_marketing`` from rows that ``with_tools`` made, without their HTML."""
+    rules = marketing_rules() if rules is None else tuple(rules)
+    return _tools_of(found.select("company_id", F.explode("tools").alias("number")), rules)
+
+
+def _tools_of(matches: DataFrame, rules: Sequence[RulePattern]) -> DataFrame:
+    found = matches.groupBy("company_id", "number").agg(F.lit(1).alias("_"))
     rule_of = F.element_at(_literal_array([r.rule for r in rules], "int"), F.col("number") + 1)
     first = found.groupBy("company_id", rule_of.alias("ord")).agg(F.min("number").alias("number"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions.seo import seo_grade
-from sitescope.operators.detect import with_hits
+from sitescope.operators.detect import with_hits, with_tools
 from sitescope.operators.maintenance import stamped, upsert_latest
 from sitescope.operators.seo_scan import page_signals
 
@@ -20,14 +20,16 @@ PAGE_FLAGS = {
 }
 
 
-def page_facts(pages: DataFrame, rules=None) -> DataFrame:
+def page_facts(pages: DataFrame, rules=None, tools: bool = False) -> DataFrame:
     """What the enrichments need of each page, from one pass over its HTML.
 
     Hits of the technology rules and SEO signals, some hundred bytes a page. Stored
-    once, the rows serve ``technologies_of``, ``profiles_of`` and ``page_flags``.
+    once, the rows serve ``technologies_of``, ``profiles_of`` and ``page_flags``; with ``tools``
+    also ``marketing_of``.
     """
     read = pages.select("company_id", "domain_id", "page_id", "url", "page_type", "headers", "html")
-    return page_signals(with_hits(read, rules).drop("headers"))
+    found = with_hits(read, rules).drop("headers")
+    return page_signals(with_tools(found) if tools else found)
 
 
 def page_flags(pages: DataFrame) -> DataFrame:

@@ -9,43 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from sitescope.operators.detect import detect_marketing, technologies_of
+from sitescope.operators.detect import marketing_of, technologies_of
 from sitescope.operators.maintenance import KeyedTable, stamped
 from sitescope.operators.projection import page_facts, search_projection
 from sitescope.operators.seo_scan import profiles_of
-from sitescope.session import checkpointed
 from sitescope.sources.capture import page_records
 
 
 @dataclass(frozen=True)
 class EnrichmentStore:
-    """Folder layout of the pages and of the four derived tables."""
+    """Folder layout of the pages, of what was read from each, and of the four derived tables."""
 
     spark: SparkSession
     path: str
     buckets: int = 64
 
-    def write_pages(self, batch: int, pages: DataFrame) -> None:
-        """Pages of one micro-batch; a replay overwrites its own folder."""
-        bucket = F.pmod(F.xxhash64("company_id"), self.buckets).cast("int")
-        (
-            pages.withColumn("_bucket", bucket)
-            .hint("rebalance", "_bucket")
-            .write.mode("overwrite")
-            .partitionBy("_bucket")
-            .parquet(f"{self.path}/pages/batch={batch}")
-        )
-
-    def pages_of(self, companies: DataFrame, schema) -> DataFrame:
-        """All stored pages of some companies; other buckets are not read."""
-        bucket = F.pmod(F.xxhash64("company_id"), self.buckets).cast("int")
-        touched = [r[0] for r in companies.select(bucket).distinct().collect()]  # at most `buckets` numbers
-        stored = self.spark.read.schema(schema).parquet(f"{self.path}/pages")
-        return (
-            stored.filter(F.col("_bucket").isin(touched))
-            .join(companies, "company_id", "left_semi")
-            .drop("_bucket", "batch")
-        )
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64("company_id"), self.buckets).cast("int"))
+
+    def write(self, name: str, batch: int, rows: DataFrame) -> DataFrame:
+        """Rows of one micro-batch, as they are read back; a replay overwrites its own folder."""
+        folder = f"{self.path}/{name}/batch={batch}"
+        self.bucketed(rows).hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(folder)
+        return self.spark.read.schema(StructType([*rows.schema.fields, StructField("_bucket", IntegerType())])).parquet(folder)
+
+    def facts_of(self, companies: DataFrame, schema: StructType) -> DataFrame:
+        """The facts of all pages of some companies; other buckets are not read, and no HTML is."""
+        touched = [r[0] for r in self.bucketed(companies).select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        places = [StructField(name, IntegerType()) for name in ("_bucket", "batch")]
+        stored = self.spark.read.schema(StructType([*schema.fields, *places])).parquet(f"{self.path}/facts")
+        return stored.filter(F.col("_bucket").isin(touched)).join(companies, "company_id", "left_semi").drop("_bucket", "batch")
 
     def table(self, name: str, like: DataFrame) -> KeyedTable:
         stored = KeyedTable(self.spark, f"{self.path}/{name}", "company_id", like.schema, self.buckets)
@@ -53,16 +46,15 @@ class EnrichmentStore:
 
 
 def refresh(
-    store: EnrichmentStore, touched: DataFrame, pages: DataFrame, companies: DataFrame, domains: DataFrame, as_of
+    store: EnrichmentStore, touched: DataFrame, facts: DataFrame, companies: DataFrame, domains: DataFrame, as_of
 ) -> None:
-    """Recompute and replace everything derived for the touched companies."""
+    """Recompute and replace everything derived for the touched companies, from the facts of their pages."""
     mine = companies.join(touched, "company_id", "left_semi")
     own_domains = domains.join(touched, "company_id", "left_semi")
-    facts = checkpointed(page_facts(pages))
     stored = {}
     for name, frame in (
         ("technologies", stamped(technologies_of(facts), "detected_at", as_of)),
-        ("marketing", stamped(detect_marketing(pages), "detected_at", as_of)),
+        ("marketing", stamped(marketing_of(facts), "detected_at", as_of)),
         ("seo_profiles", stamped(profiles_of(facts), "scanned_at", as_of)),
     ):
         table = store.table(name, frame)
@@ -94,15 +86,11 @@ def start_enrichment(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        records = page_records(batch)
-        store.write_pages(batch_id, records)
-        spark = store.spark
-        places = [StructField(name, IntegerType()) for name in ("_bucket", "batch")]
-        schema = StructType([*records.schema.fields, *places])
-        written = spark.read.schema(schema).parquet(f"{store.path}/pages/batch={batch_id}")
-        touched = written.select("company_id").distinct()
-        pages = store.pages_of(touched, schema)
-        refresh(store, touched, pages, companies, domains, as_of)
+        pages = store.write("pages", batch_id, page_records(batch))
+        facts = store.write("facts", batch_id, page_facts(pages, tools=True))  # the only pass over HTML
+        touched = facts.select("company_id").distinct()
+        stored = store.facts_of(touched, StructType([f for f in facts.schema.fields if f.name != "_bucket"]))
+        refresh(store, touched, stored, companies, domains, as_of)
 
     return (
         captures.writeStream.foreachBatch(apply)
