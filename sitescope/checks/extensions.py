@@ -44,8 +44,7 @@ def _relevance_sql(terms: list[str], where: str, limit: int, every: bool = False
         f"select company_id, unnest({_TOKENS.format(f)}) as term, {w} as weight from docs" for f, w in fields
     )
     asked = ", ".join(f"'{t}'" for t in terms)
-    part = "cast(floor(1000000 * (idf * weight * (1.2 + 1) / (weight + 100 * 1.2::double * (1 - 0.75::double + 0.75::double * length / mean)))) as bigint)"
-    part = part.replace("(1.2 + 1)", "(1.2::double + 1)")
+    part = "cast(floor(1000000 * (idf * weight * (1.2::double + 1) / (weight + 100 * 1.2::double * (1 - 0.75::double + 0.75::double * length / mean)))) as bigint)"
     every_term = f"and held = {len(terms)}" if every else ""
     return _with(
         DOCS,
