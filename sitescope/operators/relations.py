@@ -45,10 +45,14 @@ def listing(rows: DataFrame, order: list, page: int = 1, page_size: int = DEFAUL
 def rows_with_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Parents with their children, and childless parents with NULL child columns.
 
-    An inner join can split the children of one parent over tasks; an outer join cannot.
+    An inner join can split the children of one parent over tasks; an outer join cannot, so
+    it reads only their keys. In both a task keeps the parents of its keys in memory, one row
+    each, and streams the children, which are neither sorted nor made distinct.
     """
-    with_parent = children.join(parents, key)
-    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    kept = parents.hint("shuffle_hash")
+    with_parent = children.join(kept, key)
+    seen = children.select(key, F.lit(True).alias("_seen"))
+    childless = kept.join(seen, key, "left").where(F.col("_seen").isNull()).drop("_seen")
     columns = [key, *[c for c in parents.columns if c != key], *[c for c in children.columns if c != key]]
     return with_parent.select(*columns).unionByName(childless, allowMissingColumns=True).select(*columns)
 

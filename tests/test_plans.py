@@ -71,3 +71,19 @@ def test_tables_are_read_once_or_twice(spark, tmp_path):
     assert len(nodes(report, "Scan parquet")) == 2
     assert report.filter("rule = 'hostname_not_unique'").first().rows == 90
     assert len(nodes(relations.company_detail(companies, domains), "Scan parquet")) == 4
+
+
+def _planned(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_details_sort_no_children_and_make_none_distinct(spark):
+    """A task holds one row a parent, whatever the children are; childless parents and NULL keys stay."""
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "job_id long, status string")
+    children = spark.createDataFrame([(1, "u"), (1, "v"), (3, "w"), (9, "x"), (None, "y")], "job_id long, url string")
+    found = relations.job_detail(parents, children)
+    plan = _planned(found)
+    assert "ShuffledHashJoin" in plan and not any(x in plan for x in ("SortMergeJoin", "Sort [", "Aggregate"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(1, "a", "u"), (1, "a", "v"), (2, "b", None), (3, "c", "w"), (None, "d", None)], key=repr
+    )
