@@ -11,6 +11,27 @@ from sitescope.functions.urls import normalize_hostname, strip_ws
 from sitescope.operators.maintenance import union_all
 
 
+#: Rules by number: marks carry the number, a tenth of the name's bytes in every group of an aggregation.
+RULES = (
+    "blank_display_name",
+    "invalid_hostname",
+    "hostname_twice_in_company",
+    "several_primaries",
+    "hostname_not_unique",
+    "domain_without_company",
+    "enriched_without_domain",
+    "confidence_out_of_range",
+    "technology_twice_in_company",
+    "technology_name_not_unique",
+    "detection_without_technology",
+    "score_out_of_range",
+    "several_seo_profiles",
+    "job_without_domain",
+    "page_without_job",
+    "tool_without_company",
+)
+
+
 def _key(*columns: str) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
@@ -18,7 +39,7 @@ def _key(*columns: str) -> Column:
 def _mark(rule: str, key: Column, when: Column | None = None, child: int = 1, row: bool = False) -> Column:
     """One mark of a rule: a child or a parent of a key, or a broken row (which has its own number)."""
     mark = F.struct(
-        F.lit(rule).alias("rule"),
+        F.lit(RULES.index(rule)).alias("rule"),
         key.cast("string").alias("key"),
         F.lit(child).cast("long").alias("n"),
         (F.monotonically_increasing_id() if row else F.lit(-1).cast("long")).alias("row"),
@@ -44,9 +65,10 @@ def violations(marked: DataFrame, repeated: Sequence[str] = (), orphans: Sequenc
     counted on the map side first, so a key of very many rows is no burden.
     """
     counted = marked.groupBy("rule", "key", "row").agg(F.sum("n").alias("rows"), F.min("n").alias("_least"))
-    several, without = F.col("rule").isin(*repeated), F.col("rule").isin(*orphans)
+    several, without = (F.col("rule").isin(*map(RULES.index, names)) for names in (repeated, orphans))
     broken = F.when(several, F.col("rows") > 1).when(without, F.col("_least") > 0).otherwise(True)
-    return counted.filter(broken).select("rule", "key", "rows")
+    name = F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1)
+    return counted.filter(broken).select(name.alias("rule"), "key", "rows")
 
 
 def integrity_report(

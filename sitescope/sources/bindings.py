@@ -336,7 +336,8 @@ def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections over order lines: the brand of a part, seen with a confidence."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # One row an order is kept in memory by a task; the lines, which are many, are streamed past it and not sorted.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("shuffle_hash")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_discount")
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))

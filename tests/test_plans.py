@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescope.operators import detect, frontier, projection, quality, relations, seo_scan
+from sitescope.sources import bindings as B
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,11 @@ def test_details_sort_no_children_and_make_none_distinct(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(
         [(1, "a", "u"), (1, "a", "v"), (2, "b", None), (3, "c", "w"), (None, "d", None)], key=repr
     )
+
+
+def test_order_lines_of_the_integrity_report_are_not_sorted(spark, sf_dir):
+    """Lines stream past their orders, and groups of marks carry a rule's number, not its name."""
+    plan = _planned(B.company_technologies(spark, sf_dir))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    marked = quality.marks(B.companies(spark, sf_dir), quality.failing("blank_display_name", "company_id", F.col("display_name") == ""))
+    assert dict(marked.dtypes)["rule"] == "int"
