@@ -11,10 +11,10 @@ by its frequency among all words without a code, each plus one, and one place fo
 words never seen: the probabilities of all texts add up to at most 1.
 
 Counting reads all training documents; counts are whole numbers that tasks add up, so a score
-does not depend on how rows are dealt. Weights and map, some hundred numbers, are learned online
-from a bounded sample of training texts: every text is predicted by the counts of all other
-texts, and its errors move the weights, with their rate falling, and refine the map. Predictor
-tables have a fixed number of slots; the counts of words follow the corpus and are
+does not depend on how rows are dealt. Weights and map, some hundred numbers, are fitted on all
+training texts too, in two passes: every text is predicted by the counts of all other texts; a
+Newton step over the sums of all errors gives the weights, and how often each mixed
+probability came true gives the map. Sums are of whole numbers as well. Predictor tables have a fixed number of slots; the counts of words follow the corpus and are
 joined by Spark, never broadcast, but for the words with a code.
 
 A null or empty text is one end. A null id is neither held out nor trained on, and
@@ -49,9 +49,10 @@ STEPS = 33  # of the last map, over the mixed log odds from -8 to 8
 GRID = 1024  # steps of the mixed log odds in the table that scoring looks up
 #: The key of the end, and of the escape; neither can be a word.
 END, ESCAPE = b" ", b"  "
-RATE = 0.005
-#: Texts that weights and the last map are fitted on at most, their bytes at most, and passes over them.
-FITTED, FITTED_BYTES, FIT_TURNS = 600, 1 << 16, 2
+#: Parts of one in the sums of a fit, for log odds and for probabilities; products add up exactly.
+ODDS_PARTS, PARTS = 64, 1024
+#: Decisions that the first weights and the first map count as.
+PRIOR = 50
 _PRIME = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Whole numbers of one, two, four and eight bytes.
 _KINDS = (np.uint8, np.uint16, np.uint32, np.int64)
@@ -215,17 +216,24 @@ class Mixer:
         at += (bit * LEVELS + np.minimum(level, LEVELS - 1)) * (GRID + 1)
         return self.logs[at]
 
-    def without(self, node, bit, slots):
-        """Inputs, gates and mixed log odds as if the counts of these decisions had not been added."""
-        inputs, seen = np.empty((len(node), CONTEXTS + 2), np.float32), []
+    def without(self, node, bit, slots, first=(0,)):
+        """Inputs, gates and mixed log odds as if the counts of a decision's own text, which begins at ``first``, had not been added."""
+        ends = [*first[1:], len(node)]
+        inputs, seen = np.empty((len(node), CONTEXTS + 2), np.float32, order="F"), []
         for k, (table, at) in enumerate(zip(self.counts, [*slots, node], strict=True)):
-            own = np.bincount(2 * at + bit, minlength=len(table))
-            zeros, ones = (table[2 * at + b] - own[2 * at + b] for b in (0, 1))
+            place, own = 2 * at + bit, np.zeros(len(table), np.int32)
+            pairs, mine = own.view(np.int64), np.empty(len(at), np.int64)  # both counts of a slot are read at once
+            for a, b in zip(first, ends, strict=True):
+                np.add.at(own, place[a:b], np.int32(1))
+                mine[a:b] = pairs[at[a:b]]
+                own[place[a:b]] = 0
+            mine = mine.view(np.int32)
+            zeros, ones = table[::2][at] - mine[::2], table[1::2][at] - mine[1::2]
             inputs[:, k] = _odds(zeros, ones)
-            seen.append(_much(zeros + ones))
+            seen.append(_much(zeros + ones) if k < 2 else None)
         inputs[:, -1] = 0.3
         gate = seen[0] * np.int8(4) + seen[1]
-        odds = (self.weights[gate] * inputs).sum(axis=1)
+        odds = sum(self.weights[:, k][gate] * inputs[:, k] for k in range(CONTEXTS + 2))
         return inputs, gate, np.clip(odds, -8, 8)
 
     def refine(self, odds, level):
@@ -236,27 +244,48 @@ class Mixer:
         mapped = self.refined[level, low] * (1 - part) + self.refined[level, low + 1] * part
         return np.clip((mapped + 1 / (1 + np.exp(-odds))) / 2, 1e-5, 1 - 1e-5), low, part
 
-    def learn(self, node, bit, slots, level, rate: float) -> None:
-        """One text moves weights and map by the errors of its predictions."""
-        level = np.minimum(level, LEVELS - 1)
-        inputs, gate, odds = self.without(node, bit, slots)
-        error = bit - 1 / (1 + np.exp(-odds))
-        rows = np.maximum(np.bincount(gate, minlength=GATES), 1)
-        for k in range(CONTEXTS + 2):
-            self.weights[:, k] += rate * np.bincount(gate, error * inputs[:, k], GATES) / np.sqrt(rows)
-        _, low, part = self.refine(odds, level)
-        at = level * STEPS + low + (part > 0.5)
-        hits, ones = (np.bincount(at, w, LEVELS * STEPS).reshape(LEVELS, STEPS) for w in (None, bit.astype(float)))
-        pace = np.minimum(0.02, hits / (hits + 2_000))
-        self.refined += pace * (ones / np.maximum(hits, 1) - self.refined) * (hits > 0)
+    def errors(self, node, bit, slots, first) -> np.ndarray:
+        """By gate the sums of error times input, and of the products of inputs times the variance; whole numbers."""
+        inputs, gate, odds = self.without(node, bit, slots, first)
+        p = 1 / (1 + np.exp(-odds))
+        gate = gate.astype(np.int64)
+        x = [np.rint(inputs[:, k] * np.float32(ODDS_PARTS)).astype(float) for k in range(CONTEXTS + 2)]
+        error, spread = (np.rint(v * PARTS) for v in (bit - p, p * (1 - p)))
+        sums = np.zeros((CONTEXTS + 3, CONTEXTS + 2, GATES))
+        for k, own in enumerate(x):
+            sums[0, k] = np.bincount(gate, own * error, GATES)
+            own = own * spread
+            for j in range(k + 1):
+                sums[1 + k, j] = sums[1 + j, k] = np.bincount(gate, own * x[j], GATES)
+        return sums.ravel().astype(np.int64)
+
+    def outcomes(self, node, bit, slots, first, level) -> np.ndarray:
+        """How many decisions fall on each step of the last map, and how many of them are ones."""
+        _, _, odds = self.without(node, bit, slots, first)
+        at = np.minimum(level, LEVELS - 1) * STEPS + np.rint((odds + 8) * ((STEPS - 1) / 16)).astype(np.int64)
+        return np.concatenate([np.bincount(at[keep], minlength=LEVELS * STEPS) for keep in (slice(None), bit == 1)])
+
+    def weigh(self, sums: np.ndarray) -> None:
+        """One Newton step of every gate, from the sums of ``errors``."""
+        n = CONTEXTS + 2
+        for gate, own in enumerate(sums.reshape(n + 1, n, GATES).transpose(2, 0, 1).astype(float)):
+            slope, curve = own[0] / (ODDS_PARTS * PARTS), own[1:] / (ODDS_PARTS**2 * PARTS)
+            self.weights[gate] += np.clip(np.linalg.solve(curve + PRIOR * np.eye(n), slope), -1, 1)
+        self.weights = np.rint(self.weights * 2**20) / 2**20
+
+    def map(self, sums: np.ndarray) -> None:
+        """The share of ones on every step, from the sums of ``outcomes``."""
+        hits, ones = sums.reshape(2, LEVELS, STEPS)
+        self.refined = (ones + PRIOR * self.refined) / (hits + PRIOR)
 
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+    some = np.float32(0.4)
+    return np.log((ones.astype(np.float32) + some) / (zeros.astype(np.float32) + some))
 
 
 def _much(seen: np.ndarray) -> np.ndarray:
-    return np.digitize(seen, (1, 4, 24)).astype(np.int8)
+    return (seen >= 1).astype(np.int8) + (seen >= 4) + (seen >= 24)
 
 
 def _streams(book: Book, texts: list):
@@ -280,7 +309,7 @@ def _groups(texts: list, most: int = 400_000):
 
 
 def learn(training: DataFrame, book: Book, text: str = "text") -> Mixer:
-    """Tables from all training texts, weights and map from a bounded sample; neither depends on how rows are dealt.
+    """Tables, weights and map from all training texts; none depends on how rows are dealt.
 
     Counts are whole numbers: each task adds up its own and Spark adds the slices of the tables.
     """
@@ -319,32 +348,39 @@ def learn(training: DataFrame, book: Book, text: str = "text") -> Mixer:
     if found:
         for k in range(CONTEXTS + 1):
             mixer.counts[k] = np.concatenate([found[k * _SLICES + s] for s in range(_SLICES)])
-        _fit(mixer, book, sampled(training, int(book.count[book.end]), text))
+        mixer.weigh(_summed(training, book, mixer, "errors", text))
+        mixer.map(_summed(training, book, mixer, "outcomes", text))
     mixer.prepare()
     mixer.counts = None
     return mixer
 
 
-def sampled(training: DataFrame, documents: int, text: str = "text") -> list[str]:
-    """The texts that weights and map are fitted on: some ``FITTED`` of bounded length, chosen by a hash of the text.
+def _summed(training: DataFrame, book: Book, mixer: Mixer, what: str, text: str) -> np.ndarray:
+    """The sums of one pass over all training texts, each predicted by the counts of all others."""
+    shared = training.sparkSession.sparkContext.broadcast((book, mixer))
 
-    Rows are chosen where they are read, so what leaves the tasks does not grow with the corpus; a text counts once.
-    """
-    rows = training.where(F.octet_length(F.encode(text, "utf-8")).between(1, FITTED_BYTES))
-    rows = rows.select(F.md5(F.col(text).cast("binary")).alias("h"), F.col(text).alias("t"))
-    share = F.conv(F.substring("h", 1, 12), 16, 10).cast("double") / 2.0**48
-    chosen = rows.where(share * max(documents, 1) < FITTED).distinct()
-    return [r.t for r in chosen.orderBy("h", "t").limit(FITTED).collect()]
-
-
-def _fit(mixer: Mixer, book: Book, texts: list[str]) -> None:
-    """Online passes over the sample, each text predicted by the counts of all others before it moves the weights."""
-    with np.errstate(over="ignore"):
-        for turn in range(FIT_TURNS):
-            for t in texts:
-                node, bit, slots, _, level = _decisions(book, *_streams(book, [t]))
-                if len(node):
-                    mixer.learn(node, bit, slots, level, RATE / (1 + turn))
+    def run(batches):
+        known, model = shared.value
+        sums = None
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for texts in _groups(batch.column(0).to_pylist()):
+                    symbols, first = _streams(known, texts)
+                    node, bit, slots, token, level = _decisions(known, symbols, first)
+                    if len(node):
+                        begins = np.searchsorted(token, first).tolist()
+                        part = model.errors(node, bit, slots, begins) if what == "errors" else model.outcomes(node, bit, slots, begins, level)
+                        sums = part if sums is None else sums + part
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.int64())], ["place", "n"])
+
+    parts = training.select(text).mapInArrow(run, "place int, n long")
+    size = GATES * (CONTEXTS + 2) * (CONTEXTS + 3) if what == "errors" else 2 * LEVELS * STEPS
+    sums = np.zeros(size, np.int64)
+    for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():
+        sums[r["place"]] = r["n"]
+    shared.unpersist()
+    return sums
 
 
 def code_book(counts: DataFrame) -> Book:

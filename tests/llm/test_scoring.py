@@ -102,3 +102,26 @@ def test_edges(spark):
     assert scoring.scored_documents(frame.limit(0)).count() == 0
     lonely = [(k, t) for k, t in ((i, "a b") for i in range(60)) if zlib.crc32(str(k).encode()) % 7 == 2]
     check(scoring.scored_documents(spark.createDataFrame(lonely, "doc_id long, text string")).collect(), bases(lonely))
+
+
+def test_weights_and_map_come_from_all_training_texts(spark):
+    """Texts of over 64 kB count too, and the sums of several texts are the sums of each, whatever they are read with."""
+    arrow_rows(spark)
+    texts = [" ".join(f"w{(i * k) % 17}" for i in range(30_000)) for k in range(1, 7)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string")
+    book = scoring.code_book(scoring.count_words(training).cache())
+    mixer = scoring.learn(training, book)
+    assert np.abs(mixer.weights[:, :-1] - 0.3).max() > 0.01
+    assert np.abs(mixer.refined - scoring.Mixer(book.nodes).refined).max() > 0.01
+    with np.errstate(over="ignore"):
+        fresh = scoring.Mixer(book.nodes)
+        alone = [scoring._decisions(book, *scoring._streams(book, [t])) for t in texts]
+        for node, bit, slots, _, _ in alone:
+            fresh.count(node, bit, slots)
+        symbols, first = scoring._streams(book, texts)
+        node, bit, slots, token, level = scoring._decisions(book, symbols, first)
+        begins = np.searchsorted(token, first).tolist()
+        assert np.array_equal(fresh.errors(node, bit, slots, begins), sum(fresh.errors(n, b, s, [0]) for n, b, s, _, _ in alone))
+        together = fresh.outcomes(node, bit, slots, begins, level)
+        assert np.array_equal(together, sum(fresh.outcomes(n, b, s, [0], v) for n, b, s, _, v in alone))
+        assert together[: len(together) // 2].sum() == len(node)
