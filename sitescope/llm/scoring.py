@@ -12,10 +12,14 @@ words never seen: the probabilities of all texts add up to at most 1.
 
 Counting reads all training documents; counts are whole numbers that tasks add up, so a score
 does not depend on how rows are dealt. Weights and map, some hundred numbers, are fitted on all
-training texts too, in two passes: every text is predicted by the counts of all other texts; a
-Newton step over the sums of all errors gives the weights, and how often each mixed
-probability came true gives the map. Sums are of whole numbers as well. Predictor tables have a fixed number of slots; the counts of words follow the corpus and are
-joined by Spark, never broadcast, but for the words with a code.
+training texts too, in one pass: every text is predicted by the counts of all other texts under the first
+weights; a Newton step over the sums of all errors gives the weights, and how often each mixed
+probability came true gives the map. Sums are of whole numbers as well. Predictor tables have a
+fixed number of slots; the counts of words follow the corpus and are joined by Spark, never
+broadcast, but for the words with a code.
+
+The work is held down by what a core keeps near: texts are taken in runs of some thousand tokens,
+four decisions in a row share a line of each table, and Arrow splits and looks up the words.
 
 A null or empty text is one end. A null id is neither held out nor trained on, and
 repeated rows are scored alike; with no training rows every token is unknown.
@@ -25,10 +29,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,36 +55,49 @@ GRID = 1024  # steps of the mixed log odds in the table that scoring looks up
 END, ESCAPE = b" ", b"  "
 #: Parts of one in the sums of a fit, for log odds and for probabilities; products add up exactly.
 ODDS_PARTS, PARTS = 64, 1024
+#: Of the contexts, of the decision alone, and the constant.
+FIRST_WEIGHTS = (0.3, 0.3, 0.5, -0.4, 0.0)
 #: Decisions that the first weights and the first map count as.
 PRIOR = 50
+#: Tokens that are taken at once, but for longer texts; their arrays of decisions stay in a core's cache.
+RUN = 6_000
+#: Rows of counts that a task holds before it adds them up.
+HELD = 500_000
 _PRIME = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_ODD, _SALT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 #: Whole numbers of one, two, four and eight bytes.
 _KINDS = (np.uint8, np.uint16, np.uint32, np.int64)
 _SLICES = 128  # of each table, for the sum
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split() if text else []
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, as bytes, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, own = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    kept = pc.greater(pc.binary_length(found), 0)  # white space at an edge leaves an empty one
+    row = np.repeat(np.arange(len(own)), own)[kept.to_numpy(zero_copy_only=False)]
+    return found.filter(kept), np.bincount(row, minlength=len(own))
 
 
 def count_words(training: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over whole training texts with their ends; each task adds up what it holds."""
 
     def run(batches):
-        counts: Counter = Counter()
+        held, rows, ends = [], 0, 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        def added():
+            every = pa.concat_tables([*held, pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([ends], pa.int64())})])
+            return every.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).to_batches()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(words(t))
-                counts[END] += 1
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
+            found = pc.value_counts(words(batch.column(0))[0])
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            rows, ends = rows + len(found), ends + batch.num_rows
+            if rows > HELD:
+                yield from added()
+                held, rows, ends = [], 0, 0
+        if ends:
+            yield from added()
 
     return training.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -98,6 +115,7 @@ class Book:
         self.count = np.array([n for _, n in coded] + [0], np.int64)
         weight = [n + 1 for _, n in coded] + [self.rare_total + 1]
         self.symbol = {w: i for i, (w, _) in enumerate(coded)}
+        self.words = pa.array([w for w, _ in coded], pa.binary())
         self.escape = len(coded)
         self.end = self.symbol[END]
         self._code(weight)
@@ -128,12 +146,18 @@ class Book:
             inner += 1
         self.nodes = max(1, inner)
         self.starts = np.cumsum(self.depth) - self.depth
-        self.node = np.array([v for nodes, _ in codes for v in nodes], np.int64)
-        self.bit = np.array([v for _, bits in codes for v in bits], np.int64)
+        self.steps = np.array([2 * v + b for nodes, bits in codes for v, b in zip(nodes, bits, strict=True)], np.int64)
+        # Four decisions in a row share a cell of sixteen slots, named by the node of the first; a slot in it, by the bits between.
+        self.salt = np.array([nodes[k - k % 4] for nodes, _ in codes for k in range(len(nodes))], np.uint32) * _SALT
+        self.local = np.array([_local(bits[k - k % 4 : k]) for _, bits in codes for k in range(len(bits))], np.uint32)
+
+    def symbols(self, found: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(found, value_set=self.words), self.escape).to_numpy(zero_copy_only=False)
 
-    def symbols(self, found: list[bytes]) -> np.ndarray:
-        get, escape = self.symbol.get, self.escape
-        return np.fromiter((get(w, escape) for w in found), np.int64, len(found))
+
+def _local(bits: list[int]) -> int:
+    """One, and the bits behind it."""
+    return sum(b << k for k, b in enumerate([*reversed(bits), 1]))
 
 
 def _decisions(book: Book, symbols: np.ndarray, first: np.ndarray):
@@ -156,20 +180,24 @@ def _decisions(book: Book, symbols: np.ndarray, first: np.ndarray):
     keys = (one * _PRIME[0], (one * _PRIME[1] + two) * _PRIME[2] + _PRIME[0], mark * _PRIME[1] + _PRIME[2])
     depth = book.depth[symbols]
     token = np.repeat(np.arange(len(symbols)), depth)
-    level = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
-    place = np.repeat(book.starts[symbols], depth) + level
-    node, bit = book.node[place], book.bit[place]
-    salt = node.view(np.uint64) * _PRIME[2]
-    shift = np.uint64(64 - TABLE_BITS)
+    begin = np.cumsum(depth) - depth
+    at = np.arange(len(token))
+    level = at - np.repeat(begin, depth)
+    at += np.repeat(book.starts[symbols] - begin, depth)
+    node = book.steps[at]
+    bit = node & 1
+    node >>= 1
+    salt, local = book.salt[at], book.local[at]
+    shift = np.uint32(32 - TABLE_BITS)
     slots = []
     for key in keys:
         key = (key ^ (key >> np.uint64(29))) * _PRIME[1]
-        key ^= key >> np.uint64(32)
-        h = np.repeat(key, depth)
+        h = np.repeat((key >> np.uint64(32)).astype(np.uint32), depth)
         h ^= salt
-        h *= _PRIME[0]
+        h *= _ODD
         h >>= shift
-        slots.append(h.view(np.int64))
+        h ^= local
+        slots.append(h.astype(np.int64))
     return node, bit, slots, token, level
 
 
@@ -179,19 +207,19 @@ class Mixer:
     def __init__(self, nodes: int):
         self.sizes = [1 << TABLE_BITS] * CONTEXTS + [nodes]
         self.counts = [np.zeros(2 * s, np.int64) for s in self.sizes]
-        self.weights = np.full((GATES, CONTEXTS + 2), 0.3)
-        self.weights[:, -1] = 0
+        self.weights = np.tile(FIRST_WEIGHTS, (GATES, 1))
         self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, STEPS))), (LEVELS, 1)) * 1.0
+        self.zeros = None
 
     def count(self, node, bit, slots) -> None:
         """Every decision adds one to the counts of its slots."""
         for table, at in zip(self.counts, [*slots, node], strict=True):
-            table += np.bincount(2 * at + bit, minlength=len(table))
+            np.add.at(table, 2 * at + bit, 1)
 
     def prepare(self) -> None:
         """What scoring looks up: log odds and gates of every slot, and logs of refined probabilities by bit, level and mixed odds."""
-        self.odds = [_odds(c[::2], c[1::2]) for c in self.counts]
-        self.gates = [_much(c[::2] + c[1::2]) for c in self.counts[:2]]
+        self.odds = [_odds(c) for c in self.counts]
+        self.gates = [_much(c) for c in self.counts[:2]]
         self.gates[0] *= np.int8(4)
         self.columns = np.ascontiguousarray(self.weights.T.astype(np.float32))
         self.columns[-1] *= 0.3
@@ -218,23 +246,35 @@ class Mixer:
 
     def without(self, node, bit, slots, first=(0,)):
         """Inputs, gates and mixed log odds as if the counts of a decision's own text, which begins at ``first``, had not been added."""
-        ends = [*first[1:], len(node)]
         inputs, seen = np.empty((len(node), CONTEXTS + 2), np.float32, order="F"), []
+        ends = [*first[1:], len(node)]
         for k, (table, at) in enumerate(zip(self.counts, [*slots, node], strict=True)):
-            place, own = 2 * at + bit, np.zeros(len(table), np.int32)
-            pairs, mine = own.view(np.int64), np.empty(len(at), np.int64)  # both counts of a slot are read at once
+            own, one = self._own(table), table.dtype.type(1)
+            kind = np.int64 if table.itemsize == 4 else np.complex128  # both counts of a slot are read at once
+            pairs, place = own.view(kind), 2 * at + bit
+            left, mine = table.view(kind).take(at), np.empty(len(at), kind)
             for a, b in zip(first, ends, strict=True):
-                np.add.at(own, place[a:b], np.int32(1))
+                np.add.at(own, place[a:b], one)
                 mine[a:b] = pairs[at[a:b]]
                 own[place[a:b]] = 0
-            mine = mine.view(np.int32)
-            zeros, ones = table[::2][at] - mine[::2], table[1::2][at] - mine[1::2]
-            inputs[:, k] = _odds(zeros, ones)
-            seen.append(_much(zeros + ones) if k < 2 else None)
+            left = left.view(table.dtype)
+            left -= mine.view(table.dtype)
+            inputs[:, k] = _odds(left)
+            if k < 2:
+                seen.append(_much(left))
         inputs[:, -1] = 0.3
-        gate = seen[0] * np.int8(4) + seen[1]
-        odds = sum(self.weights[:, k][gate] * inputs[:, k] for k in range(CONTEXTS + 2))
-        return inputs, gate, np.clip(odds, -8, 8)
+        gate = (seen[0] * np.int8(4) + seen[1]).astype(np.int64)
+        columns = self.weights.T.astype(np.float32)
+        odds = columns[0][gate] * inputs[:, 0]
+        for k in range(1, CONTEXTS + 2):
+            odds += columns[k][gate] * inputs[:, k]
+        return inputs, gate, np.clip(odds, -8, 8, out=odds)
+
+    def _own(self, table: np.ndarray) -> np.ndarray:
+        """Zeros as long as ``table``; who adds to them sets them back."""
+        if self.zeros is None or self.zeros.dtype != table.dtype:
+            self.zeros = np.zeros(max(map(len, self.counts)), table.dtype)
+        return self.zeros[: len(table)]
 
     def refine(self, odds, level):
         """The mixed probability, averaged with the map's between its two nearest steps."""
@@ -244,26 +284,41 @@ class Mixer:
         mapped = self.refined[level, low] * (1 - part) + self.refined[level, low + 1] * part
         return np.clip((mapped + 1 / (1 + np.exp(-odds))) / 2, 1e-5, 1 - 1e-5), low, part
 
-    def errors(self, node, bit, slots, first) -> np.ndarray:
+    def errors(self, node, bit, slots, first, given=None) -> np.ndarray:
         """By gate the sums of error times input, and of the products of inputs times the variance; whole numbers."""
-        inputs, gate, odds = self.without(node, bit, slots, first)
+        inputs, gate, odds = given or self.without(node, bit, slots, first)
+        n = CONTEXTS + 2
         p = 1 / (1 + np.exp(-odds))
-        gate = gate.astype(np.int64)
-        x = [np.rint(inputs[:, k] * np.float32(ODDS_PARTS)).astype(float) for k in range(CONTEXTS + 2)]
-        error, spread = (np.rint(v * PARTS) for v in (bit - p, p * (1 - p)))
-        sums = np.zeros((CONTEXTS + 3, CONTEXTS + 2, GATES))
+        rows = np.empty((n + 2, len(node)), np.float32)  # inputs, error, variance
+        np.multiply(inputs.T, np.float32(ODDS_PARTS), out=rows[:n])
+        np.subtract(bit.astype(np.float32), p, out=rows[n])
+        np.multiply(p, 1 - p, out=rows[n + 1])
+        rows[n:] *= np.float32(PARTS)
+        np.rint(rows, out=rows)
+        *x, error, spread = rows.take(np.argsort(gate.astype(np.uint8), kind="stable"), axis=1).astype(float)
+        hits = np.bincount(gate, minlength=GATES)
+        seen = np.flatnonzero(hits)
+        begins = (np.cumsum(hits) - hits)[seen]
+        sums = np.zeros((n + 1, n, GATES))
         for k, own in enumerate(x):
-            sums[0, k] = np.bincount(gate, own * error, GATES)
+            sums[0, k, seen] = np.add.reduceat(error * own, begins)
             own = own * spread
             for j in range(k + 1):
-                sums[1 + k, j] = sums[1 + j, k] = np.bincount(gate, own * x[j], GATES)
+                sums[1 + k, j, seen] = sums[1 + j, k, seen] = np.add.reduceat(own * x[j], begins)
         return sums.ravel().astype(np.int64)
 
-    def outcomes(self, node, bit, slots, first, level) -> np.ndarray:
+    def outcomes(self, node, bit, slots, first, level, given=None) -> np.ndarray:
         """How many decisions fall on each step of the last map, and how many of them are ones."""
-        _, _, odds = self.without(node, bit, slots, first)
-        at = np.minimum(level, LEVELS - 1) * STEPS + np.rint((odds + 8) * ((STEPS - 1) / 16)).astype(np.int64)
-        return np.concatenate([np.bincount(at[keep], minlength=LEVELS * STEPS) for keep in (slice(None), bit == 1)])
+        _, _, odds = given or self.without(node, bit, slots, first)
+        at = np.minimum(level, LEVELS - 1) * STEPS + np.rint((odds + 8) * np.float32((STEPS - 1) / 16)).astype(np.int64)
+        zeros, ones = np.bincount(2 * at + bit, minlength=2 * LEVELS * STEPS).reshape(-1, 2).T
+        return np.concatenate([zeros + ones, ones])
+
+    def fit(self, sums: np.ndarray) -> None:
+        """Weights and map from the sums of ``errors`` and ``outcomes``, behind each other."""
+        split = GATES * (CONTEXTS + 2) * (CONTEXTS + 3)
+        self.weigh(sums[:split])
+        self.map(sums[split:])
 
     def weigh(self, sums: np.ndarray) -> None:
         """One Newton step of every gate, from the sums of ``errors``."""
@@ -279,33 +334,43 @@ class Mixer:
         self.refined = (ones + PRIOR * self.refined) / (hits + PRIOR)
 
 
-def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    some = np.float32(0.4)
-    return np.log((ones.astype(np.float32) + some) / (zeros.astype(np.float32) + some))
+def narrowed(table: np.ndarray) -> np.ndarray:
+    """The same counts in four bytes each, where they fit: a cache holds twice as many."""
+    return table.astype(np.int32) if table.max(initial=0) <= np.iinfo(np.int32).max // 2 else table
 
 
-def _much(seen: np.ndarray) -> np.ndarray:
+def _odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of a one, from counts of zeros and ones in turn."""
+    some = counts.astype(np.float32)
+    some += np.float32(0.4)
+    return np.log(some[1::2] / some[::2])
+
+
+def _much(counts: np.ndarray) -> np.ndarray:
+    seen = counts[::2] + counts[1::2]
     return (seen >= 1).astype(np.int8) + (seen >= 4) + (seen >= 24)
 
 
-def _streams(book: Book, texts: list):
+def _streams(book: Book, texts):
     """Symbols of whole texts, and where each begins."""
-    found = [book.symbols([*words(t), END]) for t in texts]
-    sizes = np.array([len(f) for f in found])
-    return np.concatenate(found), np.cumsum(sizes) - sizes
+    return _ended(book, *words(pa.array(texts, pa.string())))
+
+
+def _ended(book: Book, found: pa.Array, sizes: np.ndarray):
+    """The symbols of ``found`` with the end of each text, and where each begins."""
+    first = np.cumsum(sizes + 1) - sizes - 1
+    symbols = np.full(len(found) + len(sizes), book.end, np.int64)
+    word = np.ones(len(symbols), bool)
+    word[first + sizes] = False
+    symbols[word] = book.symbols(found)
+    return symbols, first
 
 
-def _groups(texts: list, most: int = 400_000):
-    """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
-    run, total = [], 0
-    for t in texts:
-        run.append(t)
-        total += len(t or "")
-        if total > most:
-            yield run
-            run, total = [], 0
-    if run:
-        yield run
+def _runs(symbols: np.ndarray, first: np.ndarray):
+    """Runs of about ``RUN`` tokens of whole texts; a longer text is a run of its own."""
+    edges = [*np.flatnonzero(np.diff(first // RUN, prepend=-1)).tolist(), len(first)]
+    for a, b in zip(edges, edges[1:]):
+        yield symbols[first[a] : first[b] if b < len(first) else None], first[a:b] - first[a]
 
 
 def learn(training: DataFrame, book: Book, text: str = "text") -> Mixer:
@@ -321,8 +386,8 @@ def learn(training: DataFrame, book: Book, text: str = "text") -> Mixer:
         mixer, seen = Mixer(known.nodes), False
         with np.errstate(over="ignore"):
             for batch in batches:
-                for texts in _groups(batch.column(0).to_pylist(), 800_000):
-                    node, bit, slots, _, _ = _decisions(known, *_streams(known, texts))
+                for part in _runs(*_ended(known, *words(batch.column(0)))):
+                    node, bit, slots, _, _ = _decisions(known, *part)
                     if len(node):
                         mixer.count(node, bit, slots)
                         seen = True
@@ -347,15 +412,14 @@ def learn(training: DataFrame, book: Book, text: str = "text") -> Mixer:
     mixer = Mixer(book.nodes)
     if found:
         for k in range(CONTEXTS + 1):
-            mixer.counts[k] = np.concatenate([found[k * _SLICES + s] for s in range(_SLICES)])
-        mixer.weigh(_summed(training, book, mixer, "errors", text))
-        mixer.map(_summed(training, book, mixer, "outcomes", text))
+            mixer.counts[k] = narrowed(np.concatenate([found[k * _SLICES + s] for s in range(_SLICES)]))
+        mixer.fit(_summed(training, book, mixer, text))
     mixer.prepare()
     mixer.counts = None
     return mixer
 
 
-def _summed(training: DataFrame, book: Book, mixer: Mixer, what: str, text: str) -> np.ndarray:
+def _summed(training: DataFrame, book: Book, mixer: Mixer, text: str) -> np.ndarray:
     """The sums of one pass over all training texts, each predicted by the counts of all others."""
     shared = training.sparkSession.sparkContext.broadcast((book, mixer))
 
@@ -364,18 +428,18 @@ def _summed(training: DataFrame, book: Book, mixer: Mixer, what: str, text: str)
         sums = None
         with np.errstate(over="ignore"):
             for batch in batches:
-                for texts in _groups(batch.column(0).to_pylist()):
-                    symbols, first = _streams(known, texts)
+                for symbols, first in _runs(*_ended(known, *words(batch.column(0)))):
                     node, bit, slots, token, level = _decisions(known, symbols, first)
                     if len(node):
                         begins = np.searchsorted(token, first).tolist()
-                        part = model.errors(node, bit, slots, begins) if what == "errors" else model.outcomes(node, bit, slots, begins, level)
+                        given = model.without(node, bit, slots, begins)
+                        part = np.concatenate([model.errors(node, bit, slots, begins, given), model.outcomes(node, bit, slots, begins, level, given)])
                         sums = part if sums is None else sums + part
         if sums is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums, pa.int64())], ["place", "n"])
 
     parts = training.select(text).mapInArrow(run, "place int, n long")
-    size = GATES * (CONTEXTS + 2) * (CONTEXTS + 3) if what == "errors" else 2 * LEVELS * STEPS
+    size = GATES * (CONTEXTS + 2) * (CONTEXTS + 3) + 2 * LEVELS * STEPS
     sums = np.zeros(size, np.int64)
     for r in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():
         sums[r["place"]] = r["n"]
@@ -405,30 +469,28 @@ def score(documents: DataFrame, counts: DataFrame, book: Book, mixer: Mixer, tex
         known, model = shared.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                out: dict[str, list] = {k: [] for k in ("n_tokens", "n_bytes", "n_known", "base", "model", "rare")}
-                for texts in _groups(batch.column(1).to_pylist()):
-                    lists = [[*words(t), END] for t in texts]
-                    found = [known.symbols(x) for x in lists]
-                    sizes = np.array([len(f) for f in found])
-                    symbols, first = np.concatenate(found), np.cumsum(sizes) - sizes
-                    logs = np.zeros(len(symbols))
-                    node, bit, slots, token, level = _decisions(known, symbols, first)
-                    if len(node):
-                        logs += np.bincount(token, model.scored(node, bit, slots, level), len(symbols))
-                    coded = symbols != known.escape
-                    out["model"] += np.add.reduceat(logs, first).tolist()
-                    out["base"] += np.add.reduceat(np.where(coded, known.base[symbols], 0.0), first).tolist()
-                    out["n_known"] += np.add.reduceat((coded & (known.count[symbols] > 0)).astype(np.int64), first).tolist()
-                    out["n_tokens"] += sizes.tolist()
-                    out["n_bytes"] += [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
-                    for x, own in zip(lists, found, strict=True):
-                        rare = Counter(x[i] for i in np.flatnonzero(own == known.escape).tolist())
-                        out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *[pa.array(out[n], k) for n, k in zip(out, kinds, strict=True)]], ["row", *out]
-                )
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+                found, sizes = words(batch.column(1))
+                symbols, first = _ended(known, found, sizes)
+                logs = [np.zeros(0)]
+                for part in _runs(symbols, first):
+                    node, bit, slots, token, level = _decisions(known, *part)
+                    logs.append(np.bincount(token, model.scored(node, bit, slots, level), len(part[0])))
+                coded = symbols != known.escape
+                row = np.repeat(np.arange(len(sizes)), sizes + 1)[~coded]
+                rare = pa.table({"row": row, "word": found.filter(pa.array(~np.delete(coded, first + sizes)))})
+                rare = rare.group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("row")
+                own = np.bincount(rare["row"].to_numpy(), minlength=len(sizes))
+                pairs = pa.StructArray.from_arrays([rare[c].combine_chunks() for c in ("word", "count_all")], ["word", "times"])
+                out = {
+                    "n_tokens": pa.array(sizes + 1),
+                    "n_bytes": pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64()),
+                    "n_known": pa.array(np.add.reduceat((coded & (known.count[symbols] > 0)).astype(np.int64), first)),
+                    "base": pa.array(np.add.reduceat(np.where(coded, known.base[symbols], 0.0), first)),
+                    "model": pa.array(np.add.reduceat(np.concatenate(logs), first)),
+                    "rare": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(own)), pa.int32()), pairs),
+                }
+                yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["row", *out])
+
     own = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     others = [c for c in documents.columns if c not in own and c != text]
     rows = documents.select(F.struct(F.monotonically_increasing_id().alias("_row"), *others).alias("row"), text)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitescope.llm import scoring
@@ -125,3 +126,35 @@ def test_weights_and_map_come_from_all_training_texts(spark):
         together = fresh.outcomes(node, bit, slots, begins, level)
         assert np.array_equal(together, sum(fresh.outcomes(n, b, s, [0], v) for n, b, s, _, v in alone))
         assert together[: len(together) // 2].sum() == len(node)
+
+
+def test_words_are_split_alike():
+    """White space at edges and between, null, other blanks and letters that are not A-Z."""
+    texts = ["A b\tC\x0b\x0cd\r\ne", None, "", " lead", "tail\n", " \t ", "Ä a\x1cb c\u0085 d", "x"]
+    found, sizes = scoring.words(pa.array(texts, pa.string()))
+    assert sizes.tolist() == [len(words(t)) for t in texts]
+    assert [w.decode() for w in found.to_pylist()] == [w for t in texts for w in words(t)]
+
+
+def test_four_decisions_share_a_line_and_counts_keep_their_width():
+    """Slots of up to four decisions in a row lie in sixteen; counts of four and of eight bytes predict alike."""
+    book = scoring.Book([(scoring.END, 9)] + [(b"%d" % k, 1 + k % 7) for k in range(300)], 1500, 310)
+    with np.errstate(over="ignore"):
+        symbols, first = scoring._streams(book, [" ".join(str(k * k % 300) for k in range(500)), "1 2 1", None])
+        node, bit, slots, token, level = scoring._decisions(book, symbols, first)
+        for at in slots:
+            start = level % 4 == 0
+            same = ~start[1:]
+            assert np.array_equal(at[1:][same] // 16, at[:-1][same] // 16)
+            four = {}
+            for s, n, t in zip(at.tolist(), node.tolist(), (token * 100 + level // 4).tolist()):
+                four.setdefault(t, set()).add((s, n))
+            assert all(len({s for s, _ in v}) == len(v) for v in four.values())
+        wide, narrow = scoring.Mixer(book.nodes), scoring.Mixer(book.nodes)
+        wide.count(node, bit, slots)
+        narrow.counts = [scoring.narrowed(c) for c in wide.counts]
+        assert narrow.counts[0].itemsize == 4
+        begins = np.searchsorted(token, first).tolist()
+        for a, b in zip(wide.without(node, bit, slots, begins), narrow.without(node, bit, slots, begins), strict=True):
+            assert np.array_equal(a, b)
+    assert scoring.narrowed(np.array([1 << 31, 1])).itemsize == 8
